@@ -17,7 +17,7 @@ from sojourn.functions.labels import profile_label, visibility_from_history
 from sojourn.operators.skew import exact_quantiles, null_safe_join, stack_dimensions, stacked_sums
 
 
-def _quantiles(
+def group_quantiles(
     rows: DataFrame, keys: Sequence[str], value: str, quantiles: Mapping[str, float], whole_days: bool
 ) -> DataFrame:
     if not whole_days:
@@ -47,7 +47,7 @@ def summarize(
             "adoptions": F.col(label).cast("bigint"),
         },
     )
-    medians = _quantiles(
+    medians = group_quantiles(
         stack_dimensions(rows, dims, [days]), ["variable", "value"], days, {"median_days_to_outcome": 0.5}, whole_days
     )
     out = null_safe_join(sums, medians, ["variable", "value"], "left").withColumn(
@@ -127,7 +127,7 @@ def adopted_timing(
         .filter(F.col("mean_days_to_adoption").isNotNull())
     )
     names = {"p25_days_to_adoption": 0.25, "median_days_to_adoption": 0.5, "p75_days_to_adoption": 0.75}
-    spread = _quantiles(split, keys, "_days", names, whole_days)
+    spread = group_quantiles(split, keys, "_days", names, whole_days)
     return (
         null_safe_join(sums, spread, keys, "inner")
         .withColumnRenamed("variable", "group_variable")
@@ -184,7 +184,7 @@ def archetypes(
             for name, value in end_types.items()
         ],
     ).filter(F.col("records") >= min_records)
-    medians = _quantiles(rows, profile, days, {"median_days_to_outcome": 0.5}, whole_days)
+    medians = group_quantiles(rows, profile, days, {"median_days_to_outcome": 0.5}, whole_days)
     return null_safe_join(grouped, medians, profile, "left").withColumns(
         {
             "profile_label": profile_label([[F.col(c) for c in group] for group in label_groups]),
@@ -238,7 +238,7 @@ def contrasts(
             for name, value in end_types.items()
         ],
     )
-    medians = _quantiles(tagged, keys, "_d", {"median_days_to_outcome": 0.5}, whole_days)
+    medians = group_quantiles(tagged, keys, "_d", {"median_days_to_outcome": 0.5}, whole_days)
     return sums.join(medians, keys, "left")
 
 
@@ -261,7 +261,7 @@ def profile_error(
         (F.avg(score) * 100).alias("mean_predicted_adoption_probability"),
         F.avg(absolute_error).alias("mae"),
     )
-    medians = _quantiles(scored, profile, predicted_days, {"median_predicted_days": 0.5}, whole_days)
+    medians = group_quantiles(scored, profile, predicted_days, {"median_predicted_days": 0.5}, whole_days)
     named = null_safe_join(sums, medians, profile, "left").withColumns(
         {
             "prediction_gap_pct": F.col("mean_predicted_adoption_probability") - F.col("adoption_rate_pct"),
@@ -281,8 +281,8 @@ def period_matrix(
     sums = base.groupBy(period).agg(
         F.count(F.lit(1)).alias("n_records"), F.avg(F.col(label).cast("double")).alias("adoption_rate")
     )
-    every = _quantiles(base, [period], days, {"median_los_days": 0.5}, whole_days)
-    adopted = _quantiles(base, [period], "_positive_days", {"median_days_to_adoption": 0.5}, whole_days)
+    every = group_quantiles(base, [period], days, {"median_los_days": 0.5}, whole_days)
+    adopted = group_quantiles(base, [period], "_positive_days", {"median_days_to_adoption": 0.5}, whole_days)
     out = listed.join(sums, period, "left").join(every, period, "left").join(adopted, period, "left")
     return out.fillna(0, subset=["n_records"]).withColumn("intake_volume", F.col("n_records"))
 
@@ -339,7 +339,7 @@ def group_evidence(
     )
     adopted = tagged.filter(F.col(label) == 1)
     counts = adopted.groupBy(*keys).agg(F.count(days).alias("adopted_records"))
-    medians = _quantiles(adopted, keys, days, {"median_days_to_adoption": 0.5}, whole_days)
+    medians = group_quantiles(adopted, keys, days, {"median_days_to_adoption": 0.5}, whole_days)
     timing = null_safe_join(counts, medians, keys, "left")
     renamed = timing.select(F.col(group).alias("_g"), F.col("animal_subset").alias("_s"), "adopted_records", "median_days_to_adoption")
     return rates.join(
@@ -355,7 +355,7 @@ def group_evidence(
     )
 
 
-def duration_quantiles(
+def durationgroup_quantiles(
     rows: DataFrame,
     *,
     group: str,
@@ -365,7 +365,7 @@ def duration_quantiles(
 ) -> DataFrame:
     """Linear quantiles of a duration per group, one row per quantile."""
     names = {f"q{i}": q for i, q in enumerate(quantiles)}
-    wide = _quantiles(rows, [group], days, names, whole_days)
+    wide = group_quantiles(rows, [group], days, names, whole_days)
     counts = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
     pairs = F.explode(
         F.array(*[F.struct(F.lit(float(q)).alias("quantile"), F.col(name).alias("days")) for name, q in names.items()])

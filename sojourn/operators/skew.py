@@ -52,6 +52,8 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     condition = reduce(
         lambda a, b: a & b, [left[key].eqNullSafe(renamed[f"_r_{key}"]) for key in keys]
     )
+    if how == "leftsemi":
+        return left.join(renamed, condition, how)
     return left.join(renamed, condition, how).drop(*[f"_r_{key}" for key in keys])
 
 
