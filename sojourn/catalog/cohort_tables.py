@@ -361,3 +361,44 @@ select value, 'adopted_by_day_7_pct' as metric, a as metric_value from m union a
 def milestone_curves(spark: SparkSession, folder: str) -> DataFrame:
     table = rounded(co.milestones(stays(spark, folder), ["o_orderpriority"], label="label", days="days"))
     return co.long_form(table, ["value"], ["adopted_by_day_7_pct", "adopted_by_day_90_pct"])
+
+
+TIERS = (
+    ("exact visible profile", ("o_orderstatus", "o_orderpriority", "segment", "order_year")),
+    ("profile without year", ("o_orderstatus", "o_orderpriority", "segment")),
+    ("coarse context", ("o_orderstatus", "segment")),
+)
+
+
+@registry.query(
+    f"""with {LINES_SQL},
+h as (select l.*, c_mktsegment as segment from lines l join customer on c_custkey = o_custkey where days >= 0 and order_year <= 1999),
+p as (select o_orderkey as profile, o_orderstatus, o_orderpriority, c_mktsegment as segment, year(o_orderdate) as order_year from orders join customer on c_custkey = o_custkey),
+pt as (select distinct o_orderstatus, o_orderpriority, segment, order_year from p),
+m as (
+""" + " union all ".join(
+        f"""select pt.*, {i} as tier, '{name}' as matching_level, '{", ".join(used)}' as matched_fields, count(*)::BIGINT as similar_records,
+count(*) filter (where end_type = 'Transfer') * 100.0::DOUBLE / count(*) as t, count(*) filter (where end_type = 'Euthanasia') * 100.0::DOUBLE / count(*) as e,
+avg(label) * 100 as a, quantile_cont(days::DOUBLE, 0.5) as d
+from pt join h on {" and ".join(f"h.{u} is not distinct from pt.{u}" for u in used)} group by pt.o_orderstatus, pt.o_orderpriority, pt.segment, pt.order_year"""
+        for i, (name, used) in enumerate(TIERS)
+    ) + """), b as (select * from m qualify row_number() over (partition by o_orderstatus, o_orderpriority, segment, order_year order by tier) = 1)
+select p.profile, b.similar_records, b.matching_level, b.matched_fields, round(t, 6) as transfer_rate_pct, round(e, 6) as euthanasia_rate_pct,
+round(a, 6) as historical_adoption_rate_pct, round(d, 6) as median_days_to_outcome
+from p join b on p.o_orderstatus = b.o_orderstatus and p.o_orderpriority = b.o_orderpriority and p.segment = b.segment and p.order_year = b.order_year"""
+)
+def similar_cases(spark: SparkSession, folder: str) -> DataFrame:
+    """Every order asks for the lines most like it among earlier ones."""
+    from sojourn.operators.similar import similar_cases as find
+
+    customers = read_table(spark, folder, "customer").select("c_custkey", F.col("c_mktsegment").alias("segment"))
+    history = stays(spark, folder).filter(F.col("order_year") <= 1999).join(customers, F.col("o_custkey") == F.col("c_custkey"))
+    profiles = read_table(spark, folder, "orders").join(customers, F.col("o_custkey") == F.col("c_custkey")).select(
+        F.col("o_orderkey").alias("profile"), "o_orderstatus", "o_orderpriority", "segment", F.year("o_orderdate").alias("order_year")
+    )
+    return rounded(
+        find(
+            history, profiles, profile_id="profile", tiers=TIERS, label="label", days="days", end_type="end_type",
+            end_types=END_TYPES, whole_days=True,
+        )
+    )
