@@ -1,3 +1,285 @@
+"""Training, calibration, ensembles, search, backtests and explanations over order lines.
+
+Labels carry a planted signal: quantity, discount and priority raise the chance of the positive
+class, the rest is a hash of the line's key. The queries use small models; the library's defaults
+are the full-size ones.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
 from sojourn.catalog import Registry
+from sojourn.catalog.splits import PERIODS
+from sojourn.catalog.tables import rounded
+from sojourn.functions.labels import visibility_from_history
+from sojourn.operators import metrics as mx
+from sojourn.operators import splits as sp
+from sojourn.operators.similar import similar_cases
+from sojourn.plans import calibration as cal
+from sojourn.plans import experiments as ex
+from sojourn.plans import explain
+from sojourn.plans import training as tr
+from sojourn.sources.tables import read_table
 
 registry = Registry()
+
+KEY = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+FEATURES = tr.Features(
+    numeric=("l_quantity", "l_discount", "l_tax", "p_size"),
+    categorical=("o_orderpriority", "o_orderstatus", "p_brand"),
+    key=KEY,
+    label="label",
+)
+DAYS = FEATURES.with_label("days")
+
+SMALL_TREES = {"numTrees": 8, "maxDepth": 4}
+SMALL_BOOST = {"maxIter": 6, "maxDepth": 3}
+
+
+def _subsets():
+    return {"combined": F.lit(True), "open": F.col("l_linestatus") == "O"}
+
+
+def model_rows(spark: SparkSession, folder: str) -> DataFrame:
+    orders = read_table(spark, folder, "orders")
+    part = read_table(spark, folder, "part").select("p_partkey", "p_brand", "p_size")
+    items = read_table(spark, folder, "lineitem")
+    noise = sp.hash_share([F.col(k) for k in KEY], 7)
+    urgent = F.col("o_orderpriority").isin("1-URGENT", "2-HIGH").cast("double")
+    signal = F.col("l_quantity") / 50 + F.col("l_discount") * 4 + 0.4 * urgent + noise
+    return (
+        items.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        .join(part, F.col("l_partkey") == F.col("p_partkey"))
+        .select(
+            *KEY, "l_quantity", "l_discount", "l_tax", "p_size", "p_brand", "o_orderpriority", "o_orderstatus", "l_linestatus",
+            "o_custkey", "o_orderdate",
+            F.year("o_orderdate").alias("yr"),
+            (signal > 1.4).cast("int").alias("label"),
+            (5.0 + F.col("l_quantity") * 0.6 + 8 * urgent + noise * 20).alias("days"),
+        )
+    )
+
+
+def split_rows(spark: SparkSession, folder: str) -> DataFrame:
+    return sp.time_split(model_rows(spark, folder), year="yr", target="label", periods=PERIODS)
+
+
+@registry.query()
+def baseline_models(spark: SparkSession, folder: str) -> DataFrame:
+    models = [tr.dummy_classifier(), tr.logistic(maxIter=15), tr.forest_classifier(**SMALL_TREES)]
+    return rounded(tr.train_models(split_rows(spark, folder), FEATURES, models, _subsets(), task=tr.CLASSIFICATION)[0])
+
+
+@registry.query()
+def regression_models(spark: SparkSession, folder: str) -> DataFrame:
+    models = [tr.dummy_regressor(), tr.ridge(maxIter=15), tr.forest_regressor(**SMALL_TREES)]
+    return rounded(
+        tr.train_models(
+            split_rows(spark, folder), DAYS, models, {"combined": F.lit(True)}, task=tr.REGRESSION, winsor=(0.01, 0.99)
+        )[0]
+    )
+
+
+@registry.query()
+def boosting_models(spark: SparkSession, folder: str) -> DataFrame:
+    models = [tr.boosting_classifier(**SMALL_BOOST), tr.target_boosting_classifier(**SMALL_BOOST)]
+    return rounded(
+        tr.train_models(split_rows(spark, folder), FEATURES, models, {"combined": F.lit(True)}, task=tr.CLASSIFICATION)[0]
+    )
+
+
+@registry.query()
+def adopted_regression(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(
+        tr.adopted_regression(
+            split_rows(spark, folder), DAYS, tr.target_boosting_regressor(**SMALL_BOOST), adopted="label",
+            subsets={"combined": F.lit(True)},
+        )
+    )
+
+
+def _fitted_forest(rows: DataFrame) -> tr.Fitted:
+    return tr.fit(tr.forest_classifier(**SMALL_TREES), rows.filter(F.col("split") == "train"), FEATURES)
+
+
+@registry.query()
+def calibrated_models(spark: SparkSession, folder: str) -> DataFrame:
+    """A balanced forest before and after both calibrations, fitted on the calibration year only."""
+    rows = split_rows(spark, folder)
+    model = _fitted_forest(rows)
+    held = model.score(rows.filter(F.col("split") == "calibration"))
+    test = model.score(rows.filter(F.col("split").isin("selection", "test")))
+    for method in ("isotonic", "sigmoid"):
+        test = cal.calibrate(held, label="label", method=method).apply(test, f"c_{method}")
+    long = test.select(
+        F.col("split").alias("metric_split"),
+        "label",
+        F.explode(
+            F.create_map(
+                F.lit("none"), F.col("score"), F.lit("isotonic"), F.col("c_isotonic"), F.lit("sigmoid"), F.col("c_sigmoid")
+            )
+        ).alias("calibration_method", "score"),
+    )
+    return rounded(tr.evaluate(long, ["calibration_method", "metric_split"], tr.CLASSIFICATION))
+
+
+@registry.query(
+    """with s as (select l_orderkey, l_linenumber, l_partkey, l_suppkey, (l_returnflag = 'R')::INTEGER as label, l_discount * 10 as a, l_quantity / 50 as b, l_tax * 12 as c from lineitem)
+select l_orderkey, l_linenumber, l_partkey, l_suppkey, round((a + b + c) / 3, 6) as equal_weights, round((2 * a + b + c) / 4, 6) as own_weights from s"""
+)
+def weighted_ensemble(spark: SparkSession, folder: str) -> DataFrame:
+    rows = read_table(spark, folder, "lineitem").select(
+        *KEY, (F.col("l_discount") * 10).alias("a"), (F.col("l_quantity") / 50).alias("b"), (F.col("l_tax") * 12).alias("c")
+    )
+    return rounded(
+        rows.select(
+            *KEY,
+            cal.weighted_score(["a", "b", "c"]).alias("equal_weights"),
+            cal.weighted_score(["a", "b", "c"], {"a": 2.0, "b": 1.0, "c": 1.0}).alias("own_weights"),
+        )
+    )
+
+
+@registry.query()
+def stacked_ensemble(spark: SparkSession, folder: str) -> DataFrame:
+    rows = split_rows(spark, folder)
+    bases = [tr.logistic(maxIter=10), tr.forest_classifier(**SMALL_TREES)]
+    stacked = cal.stack(rows.filter(F.col("split") == "train"), FEATURES, bases, k=2)
+    scored = stacked.score(rows.filter(F.col("split") == "test")).select("label", "score", F.lit("stacked").alias("model_name"))
+    return rounded(tr.evaluate(scored, ["model_name"], tr.CLASSIFICATION))
+
+
+@registry.query()
+def parameter_search(spark: SparkSession, folder: str) -> DataFrame:
+    rows = split_rows(spark, folder).filter(F.col("split") == "train").withColumn(
+        "_tie", F.xxhash64(*KEY)
+    )
+    draws = ex.draw_params({"maxDepth": (2, 5), "stepSize": (0.05, 0.3, "log")}, 2)
+    spec = tr.boosting_classifier(maxIter=4)
+    return rounded(ex.search(rows, FEATURES, spec, draws, ts="o_orderdate", tie="_tie", k=2))
+
+
+@registry.query()
+def backtest_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(
+        ex.backtest(
+            model_rows(spark, folder), FEATURES, [tr.forest_classifier(**SMALL_TREES)], year="yr", subset="l_linestatus",
+            cluster="o_custkey", test_years=[1995, 1998, 2000], first_year=1995, replicates=10,
+        )
+    )
+
+
+@registry.query()
+def recency_runs(spark: SparkSession, folder: str) -> DataFrame:
+    strategies = [s for s in sp.recency_strategies(2001, first_year=1995, gap=2) if s.name != "recent_5yr"]
+    return rounded(
+        ex.recency_comparison(
+            model_rows(spark, folder), FEATURES, tr.logistic(maxIter=10), tr.ridge(maxIter=10), strategies, {"combined": F.lit(True)},
+            days="days", year="yr", test_years=(2001, 2001), cluster="o_custkey", replicates=10,
+        )
+    )
+
+
+@registry.query()
+def family_ablation(spark: SparkSession, folder: str) -> DataFrame:
+    families = {
+        "intake_context": ["o_orderpriority", "o_orderstatus"],
+        "appearance": ["p_brand", "p_size"],
+        "age": ["l_quantity"],
+    }
+    return rounded(
+        ex.family_ablation(
+            split_rows(spark, folder), FEATURES, tr.logistic(maxIter=8), families, {"combined": F.lit(True)},
+            context="intake_context", appearance="appearance", age="age",
+        )
+    )
+
+
+@registry.query(
+    """with s as (select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_discount * 12 as p, case when l_quantity = 13 then null else l_quantity / 6 - 0.5 end as raw from lineitem),
+d as (select *, exp(raw) - 1 as days from s), e as (select *, case when p < 0 or p > 1 then 'INVALID_PROB' when days is null or days < 0 then 'INVALID_DAYS' when days > 4000 then 'OUT_OF_BOUNDS' end as error_code from d)
+select l_orderkey, l_linenumber, l_partkey, l_suppkey, error_code is null as ok, error_code, case when error_code is null then round(p, 6) end as adoption_probability,
+case when error_code is null then round(days, 4) end as predicted_days_to_outcome,
+case when error_code is null then case when days <= 7 then '0-7d' when days <= 30 then '8-30d' when days <= 60 then '31-60d' when days <= 90 then '61-90d' else '90+d' end end as los_bucket from e"""
+)
+def batch_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    rows = read_table(spark, folder, "lineitem").select(
+        *KEY, (F.col("l_discount") * 12).alias("p"), F.when(F.col("l_quantity") != 13, F.col("l_quantity") / 6 - 0.5).alias("raw")
+    )
+    out = cal.bounded_predictions(rows, probability="p", raw_days="raw", transform="expm1").drop("p", "raw")
+    return out.withColumns(
+        {
+            "adoption_probability": F.round("adoption_probability", 6),
+            "predicted_days_to_outcome": F.round("predicted_days_to_outcome", 4),
+        }
+    )
+
+
+@registry.query()
+def coefficients(spark: SparkSession, folder: str) -> DataFrame:
+    train = split_rows(spark, folder).filter(F.col("split") == "train")
+    return rounded(explain.coefficient_table(tr.fit(tr.logistic(maxIter=10), train, FEATURES), train))
+
+
+@registry.query()
+def tree_importances(spark: SparkSession, folder: str) -> DataFrame:
+    rows = split_rows(spark, folder)
+    return rounded(explain.tree_importance_table(_fitted_forest(rows), rows))
+
+
+@registry.query()
+def permutation_importance(spark: SparkSession, folder: str) -> DataFrame:
+    rows = split_rows(spark, folder)
+    validation = rows.filter(F.col("split").isin("calibration", "selection"))
+    return rounded(explain.permutation_importance(_fitted_forest(rows), validation, repeats=2, max_rows=3000))
+
+
+@registry.query()
+def local_reasons(spark: SparkSession, folder: str) -> DataFrame:
+    """Reasons for every test row."""
+    rows = split_rows(spark, folder)
+    model = _fitted_forest(rows)
+    base = explain.baselines(rows.filter(F.col("split") == "train"), FEATURES)
+    long = explain.contributions(model, rows.filter(F.col("split") == "test"), base)
+    return rounded(explain.local_reasons(long, list(KEY), top=3))
+
+
+@registry.query()
+def profile_journeys(spark: SparkSession, folder: str) -> DataFrame:
+    """Profiles of the data with their prediction, similar cases and reasons."""
+    rows = split_rows(spark, folder)
+    model = _fitted_forest(rows)
+    train = rows.filter(F.col("split") == "train")
+    base = explain.baselines(train, FEATURES)
+    named = rows.withColumn("profile_id", F.concat_ws(" | ", "o_orderpriority", "o_orderstatus"))
+    profiles = named.groupBy("profile_id", "o_orderpriority", "o_orderstatus").agg(
+        F.count(F.lit(1)).alias("records"), F.avg("label").alias("observed_rate")
+    )
+    filled = profiles.select(
+        "profile_id", "o_orderpriority", "o_orderstatus",
+        *[F.lit(base[c]).alias(c) for c in (*FEATURES.numeric, "p_brand")],
+    )
+    by_profile = tr.Fitted(model.spec, tr.Features(FEATURES.numeric, FEATURES.categorical, ("profile_id",), "label"), model.preparation, model.model)
+    scored = by_profile.score(filled).select("profile_id", F.col("score").alias("predicted_adoption_probability"))
+    reasons = explain.local_reasons(explain.contributions(by_profile, filled, base), ["profile_id"], top=3)
+    history = train.withColumn("end_type", F.when(F.col("label") == 1, "Adoption").otherwise("Transfer"))
+    tiers = (("exact visible profile", ("o_orderpriority", "o_orderstatus")), ("coarse", ("o_orderstatus",)))
+    similar = similar_cases(
+        history, filled, profile_id="profile_id", tiers=tiers, label="label", days="days", end_type="end_type",
+        end_types={"transfer": "Transfer"},
+    ).withColumn("median_days", F.col("median_days_to_outcome"))
+    out = explain.journeys(
+        profiles, scored.join(similar.select("profile_id", "median_days"), "profile_id"), similar, reasons, profile_id="profile_id",
+        visibility=visibility_from_history(F.col("predicted_adoption_probability") * 100, F.col("median_days")),
+    )
+    return rounded(out.drop("o_orderpriority", "o_orderstatus"))
+
+
+@registry.query()
+def drift_of_model(spark: SparkSession, folder: str) -> DataFrame:
+    """One forest scored on successive years."""
+    rows = model_rows(spark, folder)
+    model = tr.fit(tr.forest_classifier(**SMALL_TREES), rows.filter(F.col("yr") <= 1996), FEATURES)
+    return rounded(mx.drift_by_period(model.score(rows.filter(F.col("yr") > 1996)), "yr", label="label", score="score"))

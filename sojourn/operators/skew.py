@@ -46,15 +46,14 @@ def value_slice(value: Column, resolution: int = 256) -> Column:
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join in which a null key matches a null key; keeps the left keys."""
-    renamed = right
-    for key in keys:
-        renamed = renamed.withColumnRenamed(key, f"_r_{key}")
+    renamed = right.select(
+        *[F.col(key).alias(f"_r_{key}") for key in keys], *[c for c in right.columns if c not in keys]
+    )
     condition = reduce(
-        lambda a, b: a & b, [left[key].eqNullSafe(renamed[f"_r_{key}"]) for key in keys]
+        lambda a, b: a & b, [F.col(key).eqNullSafe(F.col(f"_r_{key}")) for key in keys]
     )
-    if how == "leftsemi":
-        return left.join(renamed, condition, how)
-    return left.join(renamed, condition, how).drop(*[f"_r_{key}" for key in keys])
+    joined = left.join(renamed, condition, how)
+    return joined if how == "leftsemi" else joined.drop(*[f"_r_{key}" for key in keys])
 
 
 def hot_keys(frames: Sequence[DataFrame], keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -115,9 +114,11 @@ def running_totals(
         ],
     )
     joined = null_safe_join(local, carried, [*keys, "_slice"])
-    for name in totals:
-        joined = joined.withColumn(f"{name}_before", F.col(f"_l_{name}") + F.col(f"_c_{name}"))
-    return joined.drop("_slice", *[f"_l_{name}" for name in totals], *[f"_c_{name}" for name in totals])
+    return joined.select(
+        *rows.columns,
+        *[(F.col(f"_l_{name}") + F.col(f"_c_{name}")).alias(f"{name}_before") for name in totals],
+        *[f"{name}_all" for name in totals],
+    )
 
 
 def exact_quantiles(

@@ -22,7 +22,10 @@ def product_limit(rows: DataFrame, keys: Sequence[str], *, time: str, event: str
         .groupBy(*keys, F.col(time).cast("double").alias("time"))
         .agg(F.count(F.lit(1)).alias("_n"), F.count_if(F.col(event).cast("int") == 1).alias("events"))
     )
-    risk = running_totals(counts, keys, "time", {"n": "_n"}).withColumn("at_risk", F.col("n_all") - F.col("n_before"))
+    # events ride along as a total so that both branches of the running sum read the same shuffle
+    risk = running_totals(counts, keys, "time", {"n": "_n", "d": "events"}).withColumn(
+        "at_risk", F.col("n_all") - F.col("n_before")
+    )
     all_gone = F.col("events") == F.col("at_risk")
     step = F.when(all_gone, F.lit(0.0)).otherwise(F.ln(1 - F.when(all_gone, 0).otherwise(F.col("events")) / F.col("at_risk")))
     steps = risk.withColumns({"_step": step, "_gone": all_gone.cast("bigint")})
