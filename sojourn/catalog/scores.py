@@ -131,7 +131,7 @@ select k as o_orderstatus, {_CONFUSION_OUT}, round(roc_auc, 6) as roc_auc, round
 round(expected_calibration_error, 6) as expected_calibration_error from c join auc using (k) join ece using (k)"""
 )
 def classification_report(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(mx.classification_report(scored(spark, folder), ["o_orderstatus"], **_COLS))
+    return rounded(mx.classification_report(scored(spark, folder), ["o_orderstatus"], label="label", score="score"))
 
 
 _REGRESSION_OUT = """count(*)::BIGINT as records, round(avg(e), 6) as mae, round(sqrt(avg(e * e)), 6) as rmse,

@@ -73,9 +73,9 @@ def metric_rows(spark: SparkSession, folder: str) -> DataFrame:
     )
     rows = _tagged(spark, folder).select("animal_subset", "metric_split", "label", scores.alias("_m")).select(
         "animal_subset", "metric_split", "label", "_m.*"
-    ).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    )
     keys = ["model_name", "feature_set", "animal_subset", "metric_split"]
-    report = mx.classification_report(rows, keys, label="label", score="score", predicted="predicted")
+    report = mx.classification_report(rows, keys, label="label", score="score")
     return report.select(
         *keys,
         "roc_auc", "pr_auc", "brier_score", "expected_calibration_error", "f1",

@@ -168,7 +168,7 @@ def rare_levels(spark: SparkSession, folder: str) -> DataFrame:
     part = read_table(spark, folder, "part").select("p_partkey", "p_type", "p_brand")
     counts = en.level_counts(part, ["p_brand"])
     gaps = part.withColumn("p_brand", F.when(F.col("p_type") != "SMALL", F.col("p_brand")))
-    return en.apply_levels(gaps, en.level_map(counts, 80), counts, "p_brand").select("p_partkey", "p_brand")
+    return en.apply_levels(gaps, en.level_map(counts, 80), "p_brand", en.level_modes(counts)["p_brand"]).select("p_partkey", "p_brand")
 
 
 @registry.query(

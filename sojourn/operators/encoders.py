@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -68,18 +68,29 @@ def level_map(counts: DataFrame, min_records: int = 20, rare: str = "_rare") ->
     )
 
 
-def apply_levels(rows: DataFrame, levels: DataFrame, counts: DataFrame, column: str) -> DataFrame:
-    """Nulls become the most frequent level, rare levels share one, unseen ones become null."""
-    mode = (
-        counts.filter((F.col("column") == column) & F.col("level").isNotNull())
-        .agg(F.max_by("level", F.struct("records", "level")))
-        .first()[0]
+def level_modes(counts: DataFrame) -> dict[str, str]:
+    """Most frequent level of every column: one small row per column."""
+    modes = (
+        counts.filter(F.col("level").isNotNull())
+        .groupBy("column")
+        .agg(F.max_by("level", F.struct("records", "level")).alias("mode"))
     )
+    return {r["column"]: r["mode"] for r in modes.collect()}
+
+
+def apply_levels(rows: DataFrame, levels: DataFrame, column: str, mode: str | None) -> DataFrame:
+    """Nulls become the most frequent level, rare levels share one, unseen ones become null."""
     own = levels.filter(F.col("column") == column).select(F.col("level").alias("_level"), F.col("encoded").alias("_encoded"))
     filled = rows.withColumn("_level", F.coalesce(F.col(column).cast("string"), F.lit(mode)))
     return filled.join(own, "_level", "left").withColumn(column, F.col("_encoded")).drop("_level", "_encoded")
 
 
+def apply_level_literals(rows: DataFrame, encoded: Mapping[str, str], column: str, mode: str | None) -> DataFrame:
+    """The same for a column with few levels, without a join."""
+    table = F.create_map(*[F.lit(x) for pair in encoded.items() for x in pair])
+    return rows.withColumn(column, F.try_element_at(table, F.coalesce(F.col(column).cast("string"), F.lit(mode))))
+
+
 def ordinal_map(counts: DataFrame) -> DataFrame:
     """Number of each level in the order of its name, per column, from the level table."""
     from pyspark.sql import Window

@@ -155,23 +155,55 @@ def calibration_errors(scored: DataFrame, keys: Sequence[str], *, label: str, sc
 
 
 def classification_report(
-    scored: DataFrame, keys: Sequence[str], *, label: str, score: str, predicted: str
+    scored: DataFrame, keys: Sequence[str], *, label: str, score: str, threshold: float = 0.5, bins: int = 10
 ) -> DataFrame:
-    """All classification metrics per group; score metrics are null for one class."""
-    parts = [
-        confusion(scored, keys, label=label, predicted=predicted),
-        ranking_metrics(score_counts(scored, keys, label=label, score=score), keys).drop("pr_auc_trapezoid"),
-        calibration_errors(scored, keys, label=label, score=score),
+    """All classification metrics per group at one threshold; score metrics are null for one class.
+
+    Rows are read once, into counts per distinct score; everything else follows from those counts
+    in one aggregate.
+    """
+    ranked = ranked_counts(score_counts(scored, keys, label=label, score=score), keys)
+    pos, neg, s = F.col("pos"), F.col("neg"), F.col("score")
+    tp, fp = F.col("tp"), F.col("fp")
+    above_tp = tp - pos
+    hit, zero = s >= threshold, F.lit(0).cast("bigint")
+    number = probability_bin(s, bins)
+    in_bin = [
+        (F.sum(F.when(number == b, pos).otherwise(zero)), F.sum(F.when(number == b, (pos + neg) * s).otherwise(0.0)))
+        for b in range(bins)
     ]
-    if keys:
-        out = null_safe_join(null_safe_join(parts[0], parts[1], keys), parts[2], keys)
-    else:
-        tagged = [p.withColumn("_k", F.lit(0)) for p in parts]
-        out = tagged[0].join(tagged[1], "_k").join(tagged[2], "_k").drop("_k")
-    both = (F.col("positives") > 0) & (F.col("negatives") > 0)
-    return out.withColumns(
-        {c: F.when(both, F.col(c)) for c in ("brier_score", "expected_calibration_error")}
-    ).drop("positives", "negatives")
+    sums = ranked.groupBy(*keys).agg(
+        F.max("positives").alias("_P"),
+        F.max("negatives").alias("_N"),
+        F.sum(F.when(hit, pos).otherwise(zero)).alias("tp"),
+        F.sum(F.when(hit, neg).otherwise(zero)).alias("fp"),
+        F.sum(F.when(hit, zero).otherwise(pos)).alias("fn"),
+        F.sum(F.when(hit, zero).otherwise(neg)).alias("tn"),
+        F.sum(neg * (above_tp + pos / 2.0)).alias("_wins"),
+        F.sum(pos * ratio(tp, tp + fp)).alias("_steps"),
+        F.sum(pos * (1 - s) * (1 - s) + neg * s * s).alias("_sq"),
+        *[y.alias(f"_y{b}") for b, (y, _) in enumerate(in_bin)],
+        *[p.alias(f"_p{b}") for b, (_, p) in enumerate(in_bin)],
+    )
+    p, n, total = F.col("_P"), F.col("_N"), F.col("_P") + F.col("_N")
+    both = (p > 0) & (n > 0)
+    gaps = sum((F.abs(F.col(f"_y{b}") - F.col(f"_p{b}")) for b in range(bins)), F.lit(0.0))
+    tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
+    return sums.select(
+        *keys,
+        "tn",
+        "fp",
+        "fn",
+        "tp",
+        ratio(tp + tn, total).alias("accuracy"),
+        ratio(tp, tp + fp).alias("precision"),
+        ratio(tp, tp + fn).alias("recall"),
+        f1_of(tp, fp, fn).alias("f1"),
+        F.when(both, F.col("_wins") / F.nullif(p.cast("double") * n, F.lit(0.0))).alias("roc_auc"),
+        F.when(both, F.col("_steps") / F.nullif(p, zero)).alias("pr_auc"),
+        F.when(both, F.col("_sq") / total).alias("brier_score"),
+        F.when(both, gaps / total).alias("expected_calibration_error"),
+    )
 
 
 def regression_report(

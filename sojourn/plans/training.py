@@ -29,6 +29,7 @@ from sojourn.sources.contracts import check_no_leakage
 
 CLASSIFICATION, REGRESSION = "classification", "regression"
 MIN_LEVEL_ROWS = 20
+FEW_LEVELS = 200
 
 
 @dataclass(frozen=True)
@@ -128,7 +129,8 @@ class Preparation:
     features: Features
     encoding: str
     levels: DataFrame | None
-    counts: DataFrame | None
+    literals: Mapping[str, Mapping[str, str]]
+    modes: Mapping[str, str]
     means: Mapping[str, DataFrame]
     pipeline: PipelineModel
 
@@ -139,7 +141,12 @@ class Preparation:
         out = _numbers(rows, self.features.numeric)
         if self.encoding == "onehot":
             for c in self.features.categorical:
-                out = en.apply_levels(out.withColumn(f"{c}__x", F.col(c)), self.levels, self.counts, f"{c}__x")
+                name = f"{c}__x"
+                out = out.withColumn(name, F.col(c))
+                if name in self.literals:
+                    out = en.apply_level_literals(out, self.literals[name], name, self.modes.get(name))
+                else:
+                    out = en.apply_levels(out, self.levels, name, self.modes.get(name))
             return out
         for c in self.features.categorical:
             if training:
@@ -156,7 +163,9 @@ def _numbers(rows: DataFrame, numeric: Sequence[str]) -> DataFrame:
 def prepare(train: DataFrame, features: Features, encoding: str) -> Preparation:
     """Fit the preprocessing on training rows only."""
     check_no_leakage(features.columns())
-    levels = counts = None
+    levels = None
+    literals: dict[str, dict[str, str]] = {}
+    modes: dict[str, str] = {}
     means: dict[str, DataFrame] = {}
     numeric_inputs = [f"{c}__n" for c in features.numeric]
     stages = []
@@ -165,18 +174,21 @@ def prepare(train: DataFrame, features: Features, encoding: str) -> Preparation:
         renamed = train.select(*[F.col(c).alias(f"{c}__x") for c in features.categorical])
         counts = en.level_counts(renamed, renamed.columns).checkpoint()
         levels = en.level_map(counts, MIN_LEVEL_ROWS)
+        modes = en.level_modes(counts)
+        sizes = {r["column"]: r["n"] for r in counts.groupBy("column").agg(F.count("level").alias("n")).collect()}
+        few = [c for c, n in sizes.items() if 0 < n <= FEW_LEVELS]
+        for r in levels.filter(F.col("column").isin(few)).collect():
+            literals.setdefault(r["column"], {})[r["level"]] = r["encoded"]
         # labels of a one-hot column are part of the model and have at least MIN_LEVEL_ROWS rows each
         labels = {
             r["column"]: sorted(r["labels"])
             for r in levels.groupBy("column").agg(F.collect_set("encoded").alias("labels")).collect()
         }
         names = list(renamed.columns)
-        stages.append(
-            StringIndexerModel.from_arrays_of_labels(
-                [labels.get(n, ["_none"]) for n in names], inputCols=names, outputCols=[f"{n}_i" for n in names],
-                handleInvalid="keep",
-            )
-        )
+        stages += [
+            StringIndexerModel.from_labels(labels.get(n, ["_none"]), inputCol=n, outputCol=f"{n}_i", handleInvalid="keep")
+            for n in names
+        ]
         # the extra index of unknown levels is last and dropped: they become zeros
         stages.append(OneHotEncoder(inputCols=[f"{n}_i" for n in names], outputCols=[f"{n}_v" for n in names], dropLast=True))
         vectors = [f"{n}_v" for n in names]
@@ -197,9 +209,9 @@ def prepare(train: DataFrame, features: Features, encoding: str) -> Preparation:
         ]
         vectors = ["_scaled", *vectors]
     stages.append(VectorAssembler(inputCols=vectors, outputCol="features"))
-    empty = Preparation(features, encoding, levels, counts, means, None)
+    empty = Preparation(features, encoding, levels, literals, modes, means, None)
     fitted = Pipeline(stages=stages).fit(empty.encode(train, training=encoding == "target"))
-    return Preparation(features, encoding, levels, counts, means, fitted)
+    return Preparation(features, encoding, levels, literals, modes, means, fitted)
 
 
 # --- fitting and scoring -------------------------------------------------------------------
@@ -228,7 +240,7 @@ class Fitted:
         self.preparation.pipeline.write().overwrite().save(f"{path}/preparation")
         self.model.write().overwrite().save(f"{path}/model")
         if self.preparation.levels is not None:
-            self.preparation.counts.write.mode("overwrite").parquet(f"{path}/levels")
+            self.preparation.levels.write.mode("overwrite").parquet(f"{path}/levels")
         for c, means in self.preparation.means.items():
             means.write.mode("overwrite").parquet(f"{path}/means_{c}")
 
@@ -252,7 +264,25 @@ def fit(
     winsor: tuple[float, float] | None = None,
 ) -> Fitted:
     """Fit one model on training rows; a regression target may be clipped to training quantiles."""
-    train = train.filter(F.col(features.label).isNotNull())
+    owned = not train.is_cached
+    if owned:
+        # fitting reads the rows many times
+        train = train.filter(F.col(features.label).isNotNull()).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _fit(spec, train, features, validation, weight, winsor)
+    finally:
+        if owned:
+            train.unpersist()
+
+
+def _fit(
+    spec: Model,
+    train: DataFrame,
+    features: Features,
+    validation: DataFrame | None,
+    weight: str | None,
+    winsor: tuple[float, float] | None,
+) -> Fitted:
     if winsor and spec.task == REGRESSION:
         bounds = en.winsor_bounds(train, [], features.label, *winsor)
         train = en.winsorize(train, bounds, [], features.label)
@@ -297,8 +327,7 @@ def _constant(spec: Model, train: DataFrame, label: str) -> float:
 def evaluate(scored: DataFrame, keys: Sequence[str], task: str, label: str = "label") -> DataFrame:
     """Metric rows of a long scored table."""
     if task == CLASSIFICATION:
-        rows = scored.withColumn("_predicted", (F.col("score") >= 0.5).cast("int"))
-        return mx.classification_report(rows, keys, label=label, score="score", predicted="_predicted")
+        return mx.classification_report(scored, keys, label=label, score="score")
     return mx.regression_report(scored, keys, actual=label, predicted="score")
 
 
@@ -319,7 +348,7 @@ def train_models(
     scored = []
     for subset, test in subsets.items():
         rows = split.filter(test)
-        train = rows.filter(F.col("split") == "train").persist(StorageLevel.MEMORY_AND_DISK)
+        train = rows.filter((F.col("split") == "train") & F.col(features.label).isNotNull()).persist(StorageLevel.MEMORY_AND_DISK)
         calibration = rows.filter(F.col("split") == "calibration")
         held = rows.filter(F.col("split").isin("selection", "test"))
         for spec in models:
@@ -335,7 +364,9 @@ def train_models(
                 )
             )
         train.unpersist()
-    long = reduce(DataFrame.unionByName, scored)
+    ensure_checkpoint_dir(split.sparkSession)
+    # scoring is expensive and the metrics read the scores more than once
+    long = reduce(DataFrame.unionByName, scored).checkpoint()
     table = evaluate(long, ["model_name", "animal_subset", "metric_split"], task)
     return (
         table.withColumns(
