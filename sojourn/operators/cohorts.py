@@ -29,6 +29,27 @@ def group_quantiles(
     )
 
 
+def grouped(
+    rows: DataFrame,
+    keys: Sequence[str],
+    measures: Sequence[Column],
+    value: str,
+    quantiles: Mapping[str, float],
+    whole_days: bool,
+) -> DataFrame:
+    """Measures and quantiles of one value per group; one aggregate where the value allows it."""
+    if whole_days:
+        spread = [F.percentile(value, q).alias(name) for name, q in quantiles.items()]
+        return rows.groupBy(*keys).agg(*measures, *spread)
+    sums = rows.groupBy(*keys).agg(*measures)
+    spread = exact_quantiles(rows, keys, value, quantiles)
+    if not keys:
+        # two one-row tables
+        tagged = sums.withColumn("_k", F.lit(0))
+        return tagged.join(F.broadcast(spread.withColumn("_k", F.lit(0))), "_k").drop("_k")
+    return null_safe_join(sums, spread, keys, "left")
+
+
 def summarize(
     rows: DataFrame,
     dims: Sequence[str],
@@ -39,20 +60,18 @@ def summarize(
     value_labels: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """Records, positives, rate and median days per value of every dimension, in long form."""
-    sums = stacked_sums(
-        rows,
-        dims,
-        {
-            "records": F.when(F.col(label).isNotNull(), 1).otherwise(0).cast("bigint"),
-            "adoptions": F.col(label).cast("bigint"),
-        },
-    )
-    medians = group_quantiles(
-        stack_dimensions(rows, dims, [days]), ["variable", "value"], days, {"median_days_to_outcome": 0.5}, whole_days
-    )
-    out = null_safe_join(sums, medians, ["variable", "value"], "left").withColumn(
-        "adoption_rate_pct", F.col("adoptions") / F.nullif(F.col("records"), F.lit(0)) * 100
-    )
+    y = F.col(label)
+    cells = rows.groupBy(*dims, days).agg(F.count(y).alias("_n"), F.sum(y.cast("bigint")).alias("_y"), F.count(F.lit(1)).alias("_w"))
+    long = stack_dimensions(cells, dims, [days, "_n", "_y", "_w"])
+    keys = ["variable", "value"]
+    measures = [F.sum("_n").alias("records"), F.sum("_y").alias("adoptions")]
+    if whole_days:
+        median = F.percentile(days, 0.5, F.col("_w")).alias("median_days_to_outcome")
+        table = long.groupBy(*keys).agg(*measures, median)
+    else:
+        medians = exact_quantiles(long, keys, days, {"median_days_to_outcome": 0.5}, weight="_w")
+        table = null_safe_join(long.groupBy(*keys).agg(*measures), medians, keys, "left")
+    out = table.withColumn("adoption_rate_pct", F.col("adoptions") / F.nullif(F.col("records"), F.lit(0)) * 100)
     if value_labels:
         shown = F.col("value")
         for key, text in value_labels.items():
@@ -116,20 +135,16 @@ def adopted_timing(
         [entity_type, "_hit", "_days"],
     ).select("variable", "value", both.alias("animal_type"), "_hit", "_days")
     keys = ["variable", "value", "animal_type"]
-    sums = (
-        split.groupBy(*keys)
-        .agg(
-            F.count(F.lit(1)).alias("all_records"),
-            F.count_if("_hit").alias("adopted_records"),
-            F.avg("_days").alias("mean_days_to_adoption"),
-            *[F.count_if(F.col("_days") <= m).alias(f"adopted_within_{m}_days") for m in marks],
-        )
-        .filter(F.col("mean_days_to_adoption").isNotNull())
-    )
     names = {"p25_days_to_adoption": 0.25, "median_days_to_adoption": 0.5, "p75_days_to_adoption": 0.75}
-    spread = group_quantiles(split, keys, "_days", names, whole_days)
+    measures = [
+        F.count(F.lit(1)).alias("all_records"),
+        F.count_if("_hit").alias("adopted_records"),
+        F.avg("_days").alias("mean_days_to_adoption"),
+        *[F.count_if(F.col("_days") <= m).alias(f"adopted_within_{m}_days") for m in marks],
+    ]
     return (
-        null_safe_join(sums, spread, keys, "inner")
+        grouped(split, keys, measures, "_days", names, whole_days)
+        .filter(F.col("mean_days_to_adoption").isNotNull())
         .withColumnRenamed("variable", "group_variable")
         .withColumnRenamed("value", "group_value")
     )
@@ -174,7 +189,7 @@ def archetypes(
     whole_days: bool = False,
 ) -> DataFrame:
     """One row per profile: size, rate, duration, share of every end type, and two labels."""
-    grouped = rows.groupBy(*profile).agg(
+    measures = [
         F.count(label).alias("records"),
         F.sum(F.col(label).cast("bigint")).alias("adoptions"),
         (F.avg(F.col(label).cast("double")) * 100).alias("adoption_rate_pct"),
@@ -183,9 +198,9 @@ def archetypes(
             (F.count_if(F.col(end_type) == value) * 100.0 / F.count(F.lit(1))).alias(f"{name}_rate_pct")
             for name, value in end_types.items()
         ],
-    ).filter(F.col("records") >= min_records)
-    medians = group_quantiles(rows, profile, days, {"median_days_to_outcome": 0.5}, whole_days)
-    return null_safe_join(grouped, medians, profile, "left").withColumns(
+    ]
+    table = grouped(rows, profile, measures, days, {"median_days_to_outcome": 0.5}, whole_days)
+    return table.filter(F.col("records") >= min_records).withColumns(
         {
             "profile_label": profile_label([[F.col(c) for c in group] for group in label_groups]),
             "visibility_need": visibility_from_history(
@@ -230,16 +245,15 @@ def contrasts(
         tags.alias("_t"), F.col(label).alias("_y"), F.col(days).alias("_d"), F.col(end_type).alias("_e")
     ).select("_t.contrast", "_t.contrast_value", "_y", "_d", "_e")
     keys = ["contrast", "contrast_value"]
-    sums = tagged.groupBy(*keys).agg(
+    measures = [
         F.count("_y").alias("records"),
         (F.avg(F.col("_y").cast("double")) * 100).alias("adoption_rate_pct"),
         *[
             (F.count_if(F.col("_e") == value) * 100.0 / F.count(F.lit(1))).alias(f"{name}_rate_pct")
             for name, value in end_types.items()
         ],
-    )
-    medians = group_quantiles(tagged, keys, "_d", {"median_days_to_outcome": 0.5}, whole_days)
-    return sums.join(medians, keys, "left")
+    ]
+    return grouped(tagged, keys, measures, "_d", {"median_days_to_outcome": 0.5}, whole_days)
 
 
 def profile_error(
@@ -255,14 +269,13 @@ def profile_error(
     whole_days: bool = False,
 ) -> DataFrame:
     """Model error per profile with the profile's label from the archetype table."""
-    sums = scored.groupBy(*profile).agg(
+    measures = [
         F.count(label).alias("records"),
         (F.avg(F.col(label).cast("double")) * 100).alias("adoption_rate_pct"),
         (F.avg(score) * 100).alias("mean_predicted_adoption_probability"),
         F.avg(absolute_error).alias("mae"),
-    )
-    medians = group_quantiles(scored, profile, predicted_days, {"median_predicted_days": 0.5}, whole_days)
-    named = null_safe_join(sums, medians, profile, "left").withColumns(
+    ]
+    named = grouped(scored, profile, measures, predicted_days, {"median_predicted_days": 0.5}, whole_days).withColumns(
         {
             "prediction_gap_pct": F.col("mean_predicted_adoption_probability") - F.col("adoption_rate_pct"),
             "profile_label": profile_label([[F.col(c) for c in group] for group in label_groups]),
@@ -278,12 +291,10 @@ def period_matrix(
     positive = F.when(F.col(label) == 1, F.col(days))
     base = rows.select(period, label, days, positive.alias("_positive_days"))
     listed = rows.sparkSession.createDataFrame([(p,) for p in periods], f"{period} string")
-    sums = base.groupBy(period).agg(
-        F.count(F.lit(1)).alias("n_records"), F.avg(F.col(label).cast("double")).alias("adoption_rate")
-    )
-    every = group_quantiles(base, [period], days, {"median_los_days": 0.5}, whole_days)
+    measures = [F.count(F.lit(1)).alias("n_records"), F.avg(F.col(label).cast("double")).alias("adoption_rate")]
+    every = grouped(base, [period], measures, days, {"median_los_days": 0.5}, whole_days)
     adopted = group_quantiles(base, [period], "_positive_days", {"median_days_to_adoption": 0.5}, whole_days)
-    out = listed.join(sums, period, "left").join(every, period, "left").join(adopted, period, "left")
+    out = listed.join(every, period, "left").join(adopted, period, "left")
     return out.fillna(0, subset=["n_records"]).withColumn("intake_volume", F.col("n_records"))
 
 
@@ -338,9 +349,8 @@ def group_evidence(
         F.avg(F.col(label).cast("double")).alias("adoption_rate"),
     )
     adopted = tagged.filter(F.col(label) == 1)
-    counts = adopted.groupBy(*keys).agg(F.count(days).alias("adopted_records"))
-    medians = group_quantiles(adopted, keys, days, {"median_days_to_adoption": 0.5}, whole_days)
-    timing = null_safe_join(counts, medians, keys, "left")
+    counted = [F.count(days).alias("adopted_records")]
+    timing = grouped(adopted, keys, counted, days, {"median_days_to_adoption": 0.5}, whole_days)
     renamed = timing.select(F.col(group).alias("_g"), F.col("animal_subset").alias("_s"), "adopted_records", "median_days_to_adoption")
     return rates.join(
         renamed, rates[group].eqNullSafe(renamed["_g"]) & (rates["animal_subset"] == renamed["_s"]), "outer"
@@ -355,7 +365,7 @@ def group_evidence(
     )
 
 
-def durationgroup_quantiles(
+def duration_quantiles(
     rows: DataFrame,
     *,
     group: str,

@@ -131,10 +131,10 @@ def encode_target(rows: DataFrame, means: DataFrame, category: str, unknown: str
     return joined.withColumn("encoded", F.coalesce("encoded", F.lit(prior[0] if prior else None)))
 
 
-def encode_out_of_fold(
+def out_of_fold_table(
     train: DataFrame, category: str, target: str, fold: str, smoothing: float = 10.0
 ) -> DataFrame:
-    """Training rows encoded from the other folds only.
+    """Encoding of every (level, fold) from the other folds only.
 
     Sums per (level, fold) minus the own fold give the level's sums outside it; the prior is the
     mean outside the fold. A level not seen outside the fold gets that prior.
@@ -153,7 +153,7 @@ def encode_out_of_fold(
         .select(fold, ((F.col("_as") - F.col("_fs")) / (F.col("_an") - F.col("_fn"))).alias("_prior"))
     )
     outside_n = F.col("_ln") - F.col("_n")
-    table = (
+    return (
         null_safe_join(cells, levels, [category])
         .join(F.broadcast(priors), fold)
         .select(
@@ -164,7 +164,12 @@ def encode_out_of_fold(
             .alias("encoded"),
         )
     )
-    return null_safe_join(train, table, [category, fold], "left")
+
+def encode_out_of_fold(
+    train: DataFrame, category: str, target: str, fold: str, smoothing: float = 10.0
+) -> DataFrame:
+    """Training rows with the encoding of their level and fold."""
+    return null_safe_join(train, out_of_fold_table(train, category, target, fold, smoothing), [category, fold], "left")
 
 
 def mean_encoding(train: DataFrame, rows: DataFrame, category: str, target: str) -> DataFrame:

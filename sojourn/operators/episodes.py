@@ -94,7 +94,7 @@ def _edges(points: DataFrame, entity: str) -> DataFrame:
         F.min("_start_us").alias("first_start"),
         F.min("_end").alias("first_end"),
         F.max("_end_us").alias("last_end"),
-        F.sum("_n").alias("n"),
+        F.count_distinct("_start_us").alias("n"),
     )
     before = Window.partitionBy(entity).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     after = Window.partitionBy(entity).orderBy(F.desc("_slice")).rowsBetween(Window.unboundedPreceding, -1)
@@ -134,11 +134,11 @@ def pair_episodes(
     is one pass over one partitioning of the two inputs by entity; an entity with more than
     ``hot_rows`` rows is cut into time slices whose neighbours are passed on as marker rows.
     """
-    starts = keep_first(starts.dropna(subset=[entity, start_ts]), [entity, start_ts], tie_break)
-    ends = keep_first(ends.dropna(subset=[entity, end_ts]), [entity, end_ts], tie_break=())
-    start_cols = [c for c in starts.columns if c != entity]
+    starts = starts.dropna(subset=[entity, start_ts])
+    ends = ends.dropna(subset=[entity, end_ts])
+    start_cols = [*tie_break, *[c for c in starts.columns if c != entity and c not in tie_break]]
     end_cols = [c for c in ends.columns if c != entity]
-    points = _points(starts, ends, entity, start_ts, end_ts)
+    points = _points(starts.select(entity, *start_cols), ends, entity, start_ts, end_ts)
 
     if hot_rows is None:
         rows = points.withColumn("_slice", F.lit(0).cast("bigint"))
@@ -146,14 +146,16 @@ def pair_episodes(
         hot = hot_keys([starts, ends], [entity], hot_rows).withColumn("_hot", F.lit(True))
         cut = time_slice(F.col("_us"), slice_days)
         # at most (rows / hot_rows) keys, so this side has a proven size
-        marked = points.join(F.broadcast(hot), entity, "left")
-        rows = marked.withColumn("_slice", F.when(F.col("_hot"), cut).otherwise(F.lit(0))).drop("_hot")
+        tagged = points.join(F.broadcast(hot), entity, "left")
+        rows = tagged.withColumn("_slice", F.when(F.col("_hot"), cut).otherwise(F.lit(0))).drop("_hot")
         in_hot = points.join(F.broadcast(hot), entity, "inner").withColumn("_slice", cut).drop("_hot")
         rows = rows.unionByName(_edges(in_hot, entity), allowMissingColumns=True)
 
+    # One shuffle by (entity, slice), then two orders. Forwards, repeated starts are found (the first by
+    # tie-break stays) and the last earlier end and the start count follow; backwards, the next start and end.
     forward = (
         Window.partitionBy(entity, "_slice")
-        .orderBy(F.col("_us").asc(), F.col("_is_start").desc())
+        .orderBy(F.col("_us").asc(), F.col("_is_start").desc(), F.col("_start").asc())
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     backward = (
@@ -161,15 +163,23 @@ def pair_episodes(
         .orderBy(F.col("_us").desc(), F.col("_is_start").asc())
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    seen = rows.select(
+    marked = rows.select(
+        "*", F.max("_end_us").over(forward).alias("_prior_us"), F.max("_start_us").over(forward).alias("_last_start")
+    )
+    repeated = (F.col("_is_start") == 1) & F.coalesce(F.col("_last_start") == F.col("_us"), F.lit(False))
+    counted = marked.withColumn("_n", F.when(repeated, F.lit(0).cast("bigint")).otherwise(F.col("_n")))
+    numbered = counted.select(
+        "*", (F.coalesce(F.sum("_n").over(forward), F.lit(0)) + 1).alias("episode_number"), repeated.alias("_repeated")
+    ).filter(~F.col("_repeated"))
+    seen = numbered.select(
         entity,
         "_start",
         "_us",
         "_is_start",
-        F.last("_start_us", ignorenulls=True).over(backward).alias("_next_us"),
-        F.last("_end", ignorenulls=True).over(backward).alias("_next_end"),
-        F.max("_end_us").over(forward).alias("_prior_us"),
-        (F.coalesce(F.sum("_n").over(forward), F.lit(0)) + 1).alias("episode_number"),
+        "_prior_us",
+        "episode_number",
+        F.min("_start_us").over(backward).alias("_next_us"),
+        F.min("_end").over(backward).alias("_next_end"),
     ).filter((F.col("_is_start") == 1) & F.col("_start").isNotNull())
 
     limit = extract_end if isinstance(extract_end, Column) else F.lit(extract_end).cast("timestamp_ntz")

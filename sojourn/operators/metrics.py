@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sojourn.functions.labels import reliability_note, risk_level, risk_quadrant
-from sojourn.operators.cohorts import group_quantiles
+from sojourn.operators.cohorts import grouped
 from sojourn.operators.ranking import first_per_group
 from sojourn.operators.skew import exact_quantiles, null_safe_join, running_totals, stack_dimensions, stacked_sums
 
@@ -212,22 +212,34 @@ def regression_report(
     """MAE, RMSE, median absolute error and R squared per group."""
     y, z = F.col(actual).cast("double"), F.col(predicted).cast("double")
     rows = scored.filter(y.isNotNull() & z.isNotNull()).select(*keys, y.alias("_y"), F.abs(y - z).alias("_e"))
-    sums = rows.groupBy(*keys).agg(
+    measures = [
         F.count(F.lit(1)).alias("records"),
         F.avg("_e").alias("mae"),
         F.sqrt(F.avg(F.col("_e") * F.col("_e"))).alias("rmse"),
         F.sum(F.col("_e") * F.col("_e")).alias("_sse"),
         F.var_pop("_y").alias("_var"),
-    )
-    medians = group_quantiles(rows, keys, "_e", {"median_absolute_error": 0.5}, whole_units)
-    if keys:
-        out = null_safe_join(sums, medians, keys)
-    else:
-        out = sums.withColumn("_k", F.lit(0)).join(medians.withColumn("_k", F.lit(0)), "_k").drop("_k")
+    ]
+    out = grouped(rows, keys, measures, "_e", {"median_absolute_error": 0.5}, whole_units)
     r2 = 1.0 - F.col("_sse") / F.nullif(F.col("_var") * F.col("records"), F.lit(0.0))
     return out.withColumn("r2", r2).drop("_sse", "_var")
 
 
+def thresholds_reached(score: Column, grid: Sequence[float]) -> Column:
+    """Number of grid values at or below the score.
+
+    On an evenly spaced grid the number is computed and then corrected against the two
+    neighbouring grid values, so rounding in the division cannot move a score.
+    """
+    column = F.array(*[F.lit(float(t)) for t in grid])
+    step = (grid[-1] - grid[0]) / (len(grid) - 1) if len(grid) > 1 else 0.0
+    if not step or any(abs(grid[0] + i * step - t) > step / 10 for i, t in enumerate(grid)):
+        return F.size(F.filter(column, lambda t: t <= score))
+    guess = F.least(F.greatest(F.floor((score - grid[0]) / step), F.lit(0)), F.lit(len(grid) - 1)).cast("int")
+    above = F.coalesce(F.get(column, guess + 1) <= score, F.lit(False)).cast("int")
+    below = (F.get(column, guess) > score).cast("int")
+    return guess + 1 + above - below
+
+
 def threshold_table(
     scored: DataFrame,
     keys: Sequence[str],
@@ -236,38 +248,53 @@ def threshold_table(
     score: str,
     thresholds: Sequence[float] = COARSE_THRESHOLDS,
 ) -> DataFrame:
-    """Confusion counts and metrics at each threshold of a grid.
+    """Confusion counts and metrics at each threshold of a grid."""
+    return threshold_counts(score_counts(scored, keys, label=label, score=score), keys, thresholds)
+
+
+def threshold_counts(counts: DataFrame, keys: Sequence[str], thresholds: Sequence[float] = COARSE_THRESHOLDS) -> DataFrame:
+    """The threshold table from counts per distinct score.
 
-    Rows fall into the cell of the highest threshold they reach; cells are counted first and
+    Scores fall into the cell of the highest threshold they reach; cells are counted first and
     only cell counts are spread over thresholds.
     """
     grid = sorted(thresholds)
     grid_column = F.array(*[F.lit(float(t)) for t in grid])
-    reached = F.size(F.filter(grid_column, lambda t: t <= F.col(score)))
-    cells = scored.groupBy(*keys, reached.alias("_cell")).agg(
-        F.count_if(F.col(label) == 1).alias("_p"), F.count_if(F.col(label) == 0).alias("_n")
-    )
-    totals = cells.groupBy(*keys).agg(F.sum("_p").alias("positives"), F.sum("_n").alias("negatives"))
-    listed = totals.select(
-        *keys, "positives", "negatives", F.posexplode(grid_column).alias("_i", "threshold")
-    ).withColumn("_i", F.col("_i") + 1)
-    flagged = (
-        cells.filter(F.col("_cell") > 0)
-        .select(*keys, F.explode(F.sequence(F.lit(1), F.col("_cell"))).alias("_i"), "_p", "_n")
-        .groupBy(*keys, "_i")
-        .agg(F.sum("_p").alias("tp"), F.sum("_n").alias("fp"))
-    )
-    out = null_safe_join(listed, flagged, [*keys, "_i"], "left").fillna(0, subset=["tp", "fp"])
-    tp, fp = F.col("tp"), F.col("fp")
-    out = out.withColumns({"fn": F.col("positives") - tp, "tn": F.col("negatives") - fp})
-    total = F.col("positives") + F.col("negatives")
+    cells = counts.groupBy(*keys, thresholds_reached(F.col("score"), grid).alias("_cell")).agg(
+        F.sum("pos").alias("_p"), F.sum("neg").alias("_n")
+    )
+    # one row per group with its cells (at most one per threshold), spread over the grid
+    listed = (
+        cells.groupBy(*keys)
+        .agg(F.collect_list(F.struct("_cell", "_p", "_n")).alias("_cells"))
+        .select(*keys, "_cells", F.posexplode(grid_column).alias("_i", "threshold"))
+    )
+
+    def total(name: str, flagged: bool) -> Column:
+        start = F.lit(0).cast("bigint")
+        return F.aggregate(
+            "_cells",
+            start,
+            lambda sum_, cell: sum_
+            + F.when((cell["_cell"] > F.col("_i")) if flagged else (cell["_cell"] <= F.col("_i")), cell[name]).otherwise(start),
+        )
+
+    out = listed.select(
+        *keys,
+        "threshold",
+        total("_p", True).alias("tp"),
+        total("_n", True).alias("fp"),
+        total("_p", False).alias("fn"),
+        total("_n", False).alias("tn"),
+    )
+    tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
     return out.select(
         *keys,
         "threshold",
         ratio(tp, tp + fp).alias("precision"),
-        ratio(tp, F.col("positives")).alias("recall"),
-        f1_of(tp, fp, F.col("fn")).alias("f1"),
-        ratio(tp + fp, total).alias("flagged_for_adoption_share"),
+        ratio(tp, tp + fn).alias("recall"),
+        f1_of(tp, fp, fn).alias("f1"),
+        ratio(tp + fp, tp + fp + fn + tn).alias("flagged_for_adoption_share"),
         "tn",
         "fp",
         "fn",
@@ -282,7 +309,8 @@ def operating_points(
 
     Ties go to the lower grid threshold, for Youden's J to the higher score.
     """
-    grid = threshold_table(scored, [], label=label, score=score, thresholds=FINE_THRESHOLDS)
+    counts = score_counts(scored, [], label=label, score=score)
+    grid = threshold_counts(counts, [], FINE_THRESHOLDS)
     t, low = F.col("threshold"), -F.col("threshold")
     enough = F.col("recall") >= min_recall
     from_grid = grid.agg(
@@ -294,12 +322,12 @@ def operating_points(
             "balanced_precision_recall"
         ),
     )
-    counts = score_counts(scored, [], label=label, score=score)
     curve = roc_curve(counts, [])
     youden = curve.agg(
         F.max_by("threshold", F.struct((F.col("tpr") - F.col("fpr")).alias("j"), "threshold")).alias("youden_j")
     )
-    top = exact_quantiles(scored, [], score, {"top_10_percent_capacity": 0.9})
+    weighted = counts.select("score", (F.col("pos") + F.col("neg")).alias("_w"))
+    top = exact_quantiles(weighted, [], "score", {"top_10_percent_capacity": 0.9}, weight="_w")
     # three one-row tables
     chosen = (
         from_grid.withColumn("_k", F.lit(0))
@@ -321,11 +349,12 @@ def operating_points(
 
 
 def apply_thresholds(thresholds: DataFrame, counts: DataFrame, prefix: str = "") -> DataFrame:
-    """Metrics of given (label, threshold) rows on counts per distinct score.
+    """Metrics of given threshold rows on counts per distinct score, next to their other columns.
 
     ``thresholds`` is a handful of rows and is sent to the counts.
     """
-    listed = thresholds.agg(F.collect_list(F.struct("threshold_label", "threshold")).alias("_list"))
+    carried = thresholds.columns
+    listed = thresholds.agg(F.collect_list(F.struct(*carried)).alias("_list"))
     spread = (
         counts.withColumn("_k", F.lit(0))
         .join(F.broadcast(listed.withColumn("_k", F.lit(0))), "_k")
@@ -333,15 +362,13 @@ def apply_thresholds(thresholds: DataFrame, counts: DataFrame, prefix: str = "")
     )
     hit = F.col("score") >= F.col("_t.threshold")
     zero = F.lit(0).cast("bigint")
-    table = spread.groupBy(
-        F.col("_t.threshold_label").alias("threshold_label"), F.col("_t.threshold").alias("threshold")
-    ).agg(
-        F.sum(F.when(hit, F.col("pos")).otherwise(zero)).alias("tp"),
-        F.sum(F.when(hit, F.col("neg")).otherwise(zero)).alias("fp"),
-        F.sum(F.when(~hit, F.col("neg")).otherwise(zero)).alias("tn"),
-        F.sum(F.when(~hit, F.col("pos")).otherwise(zero)).alias("fn"),
+    table = spread.groupBy("_t").agg(
+        F.sum(F.when(hit, F.col("pos")).otherwise(zero)).alias("_tp"),
+        F.sum(F.when(hit, F.col("neg")).otherwise(zero)).alias("_fp"),
+        F.sum(F.when(~hit, F.col("neg")).otherwise(zero)).alias("_tn"),
+        F.sum(F.when(~hit, F.col("pos")).otherwise(zero)).alias("_fn"),
     )
-    tp, fp, tn, fn = (F.col(c) for c in ("tp", "fp", "tn", "fn"))
+    tp, fp, tn, fn = (F.col(c) for c in ("_tp", "_fp", "_tn", "_fn"))
     metrics = {
         "precision": ratio(tp, tp + fp),
         "recall": ratio(tp, tp + fn),
@@ -350,10 +377,9 @@ def apply_thresholds(thresholds: DataFrame, counts: DataFrame, prefix: str = "")
         "false_negative_rate": ratio(fn, fn + tp),
     }
     return table.select(
-        "threshold_label",
-        "threshold",
+        *[F.col(f"_t.{c}").alias(c) for c in carried],
         *[F.round(c, 4).alias(f"{prefix}{n}") for n, c in metrics.items()],
-        *[F.col(c).alias(f"{prefix}{c}") for c in ("tp", "fp", "tn", "fn")],
+        *[F.col(f"_{c}").alias(f"{prefix}{c}") for c in ("tp", "fp", "tn", "fn")],
     )
 
 
@@ -361,13 +387,9 @@ def frozen_thresholds(selection: DataFrame, test: DataFrame, *, label: str, scor
     """Thresholds chosen on one period, applied unchanged to another."""
     chosen = operating_points(selection, label=label, score=score)
     metrics = ("precision", "recall", "f1", "false_positive_rate", "false_negative_rate", "tp", "fp", "tn", "fn")
-    renamed = chosen.select(
-        "threshold_label", "threshold", *[F.col(m).alias(f"selection_{m}") for m in metrics]
-    )
-    on_test = apply_thresholds(
-        chosen.select("threshold_label", "threshold"), score_counts(test, [], label=label, score=score), "test_"
-    ).drop("threshold", "test_false_positive_rate", "test_false_negative_rate")
-    return renamed.join(on_test, "threshold_label", "left")
+    renamed = chosen.select("threshold_label", "threshold", *[F.col(m).alias(f"selection_{m}") for m in metrics])
+    on_test = apply_thresholds(renamed, score_counts(test, [], label=label, score=score), "test_")
+    return on_test.drop("test_false_positive_rate", "test_false_negative_rate")
 
 
 def calibration_table(scored: DataFrame, keys: Sequence[str], *, label: str, score: str, bins: int = 10) -> DataFrame:
@@ -558,10 +580,10 @@ def error_slices(
     )
     long = stack_dimensions(scored, dims, [absolute_error])
     keys = ["variable", "value"]
-    sums = long.groupBy(*keys).agg(F.count(absolute_error).alias("records"), F.avg(absolute_error).alias("mae"))
-    medians = group_quantiles(long, keys, absolute_error, {"median_absolute_error": 0.5}, whole_units)
+    measures = [F.count(absolute_error).alias("records"), F.avg(absolute_error).alias("mae")]
     regression = (
-        null_safe_join(sums.filter(F.col("records") >= min_records), medians, keys, "left")
+        grouped(long, keys, measures, absolute_error, {"median_absolute_error": 0.5}, whole_units)
+        .filter(F.col("records") >= min_records)
         .withColumnRenamed("variable", "slice")
         .orderBy(F.desc("mae"), F.desc("records"), "slice", "value")
     )
@@ -573,13 +595,12 @@ def risk_quadrants(
 ) -> DataFrame:
     """Size, rate, mean probability and median predicted days per quadrant."""
     rows = scored.withColumn("risk_quadrant", risk_quadrant(F.col(score), F.col(predicted_days), long_days))
-    sums = rows.groupBy("risk_quadrant").agg(
+    measures = [
         F.count(label).alias("records"),
         F.avg(F.col(label).cast("double")).alias("observed_adoption_rate"),
         F.avg(score).alias("mean_predicted_adoption_probability"),
-    )
-    medians = group_quantiles(rows, ["risk_quadrant"], predicted_days, {"median_predicted_days_to_outcome": 0.5}, whole_days)
-    return sums.join(medians, "risk_quadrant", "left")
+    ]
+    return grouped(rows, ["risk_quadrant"], measures, predicted_days, {"median_predicted_days_to_outcome": 0.5}, whole_days)
 
 
 def subgroup_report(

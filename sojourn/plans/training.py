@@ -23,6 +23,7 @@ from pyspark.storagelevel import StorageLevel
 from sojourn.operators import encoders as en
 from sojourn.operators import metrics as mx
 from sojourn.operators.cohorts import group_quantiles
+from sojourn.operators.skew import null_safe_join
 from sojourn.operators.splits import folds
 from sojourn.session import ensure_checkpoint_dir
 from sojourn.sources.contracts import check_no_leakage
@@ -132,6 +133,7 @@ class Preparation:
     literals: Mapping[str, Mapping[str, str]]
     modes: Mapping[str, str]
     means: Mapping[str, DataFrame]
+    folds: Mapping[str, DataFrame]
     pipeline: PipelineModel
 
     def apply(self, rows: DataFrame, training: bool = False) -> DataFrame:
@@ -150,7 +152,7 @@ class Preparation:
             return out
         for c in self.features.categorical:
             if training:
-                out = en.encode_out_of_fold(out, c, self.features.label, "_fold").withColumnRenamed("encoded", f"{c}__x")
+                out = null_safe_join(out, self.folds[c], [c, "_fold"], "left").withColumnRenamed("encoded", f"{c}__x")
             else:
                 out = en.encode_target(out, self.means[c], c).withColumnRenamed("encoded", f"{c}__x")
         return out
@@ -167,6 +169,7 @@ def prepare(train: DataFrame, features: Features, encoding: str) -> Preparation:
     literals: dict[str, dict[str, str]] = {}
     modes: dict[str, str] = {}
     means: dict[str, DataFrame] = {}
+    by_fold: dict[str, DataFrame] = {}
     numeric_inputs = [f"{c}__n" for c in features.numeric]
     stages = []
     if encoding == "onehot" and features.categorical:
@@ -196,6 +199,7 @@ def prepare(train: DataFrame, features: Features, encoding: str) -> Preparation:
         ensure_checkpoint_dir(train.sparkSession)
         for c in features.categorical:
             means[c] = en.target_means(train, c, features.label).checkpoint()
+            by_fold[c] = en.out_of_fold_table(train, c, features.label, "_fold").checkpoint()
         numeric_inputs += [f"{c}__x" for c in features.categorical]
         vectors = []
     else:
@@ -209,9 +213,9 @@ def prepare(train: DataFrame, features: Features, encoding: str) -> Preparation:
         ]
         vectors = ["_scaled", *vectors]
     stages.append(VectorAssembler(inputCols=vectors, outputCol="features"))
-    empty = Preparation(features, encoding, levels, literals, modes, means, None)
+    empty = Preparation(features, encoding, levels, literals, modes, means, by_fold, None)
     fitted = Pipeline(stages=stages).fit(empty.encode(train, training=encoding == "target"))
-    return Preparation(features, encoding, levels, literals, modes, means, fitted)
+    return Preparation(features, encoding, levels, literals, modes, means, by_fold, fitted)
 
 
 # --- fitting and scoring -------------------------------------------------------------------
