@@ -171,8 +171,8 @@ def write_dataset(
     if not counts["conserved"] or not counts["matched"]:
         raise ValueError(f"start counts do not add up: {counts.asDict()}")
 
-    columns = [c for c in built.dataset.columns]
-    episodes = stored.filter("is_matched").select(*columns)
+    columns = built.dataset.columns
+    episodes = contracts.select_with_defaults(stored.filter("is_matched"), dict(built.dataset.dtypes), DEFAULTS)
     raise_on_violations(
         episode_violations(episodes.withColumn("_t", F.trim("animal_type")), entity_type="_t", allowed=SUPPORTED_TYPES)
     )
