@@ -108,21 +108,8 @@ def _fitted_forest(rows: DataFrame) -> tr.Fitted:
 def calibrated_models(spark: SparkSession, folder: str) -> DataFrame:
     """A balanced forest before and after both calibrations, fitted on the calibration year only."""
     rows = split_rows(spark, folder)
-    model = _fitted_forest(rows)
-    held = model.score(rows.filter(F.col("split") == "calibration"))
-    test = model.score(rows.filter(F.col("split").isin("selection", "test")))
-    for method in ("isotonic", "sigmoid"):
-        test = cal.calibrate(held, label="label", method=method).apply(test, f"c_{method}")
-    long = test.select(
-        F.col("split").alias("metric_split"),
-        "label",
-        F.explode(
-            F.create_map(
-                F.lit("none"), F.col("score"), F.lit("isotonic"), F.col("c_isotonic"), F.lit("sigmoid"), F.col("c_sigmoid")
-            )
-        ).alias("calibration_method", "score"),
-    )
-    return rounded(tr.evaluate(long, ["calibration_method", "metric_split"], tr.CLASSIFICATION))
+    subsets = {"combined": F.lit(True)}
+    return rounded(cal.calibrated_reports(rows, {"combined": _fitted_forest(rows)}, subsets, label="label"))
 
 
 @registry.query(
@@ -277,6 +264,11 @@ def profile_journeys(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(out.drop("o_orderpriority", "o_orderstatus"))
 
 
+@registry.query()
+def explanation_examples(spark: SparkSession, folder: str) -> DataFrame:
+    return explain.explanation_examples(profile_journeys(spark, folder), profile_id="profile_id")
+
+
 @registry.query()
 def drift_of_model(spark: SparkSession, folder: str) -> DataFrame:
     """One forest scored on successive years."""

@@ -131,8 +131,9 @@ def pair_episodes(
 
     Also adds the running episode number, whether the entity was seen before, and the
     whole days since its last earlier end. Starts are unique per (entity, start). All of it
-    is one pass over one partitioning of the two inputs by entity; an entity with more than
-    ``hot_rows`` rows is cut into time slices whose neighbours are passed on as marker rows.
+    is one pass over one partitioning of the two inputs by entity. Rows per entity are counted
+    first; entities with more than ``hot_rows`` rows are cut into time slices whose neighbours
+    are passed on as marker rows.
     """
     starts = starts.dropna(subset=[entity, start_ts])
     ends = ends.dropna(subset=[entity, end_ts])
@@ -140,15 +141,15 @@ def pair_episodes(
     end_cols = [c for c in ends.columns if c != entity]
     points = _points(starts.select(entity, *start_cols), ends, entity, start_ts, end_ts)
 
-    if hot_rows is None:
+    hot = None if hot_rows is None else hot_keys([starts, ends], [entity], hot_rows)
+    if hot is None or hot.isEmpty():
         rows = points.withColumn("_slice", F.lit(0).cast("bigint"))
     else:
-        hot = hot_keys([starts, ends], [entity], hot_rows).withColumn("_hot", F.lit(True))
         cut = time_slice(F.col("_us"), slice_days)
-        # at most (rows / hot_rows) keys, so this side has a proven size
-        tagged = points.join(F.broadcast(hot), entity, "left")
+        # every hot key has more than hot_rows rows, so there are at most (rows / hot_rows) of them
+        tagged = points.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), entity, "left")
         rows = tagged.withColumn("_slice", F.when(F.col("_hot"), cut).otherwise(F.lit(0))).drop("_hot")
-        in_hot = points.join(F.broadcast(hot), entity, "inner").withColumn("_slice", cut).drop("_hot")
+        in_hot = points.join(F.broadcast(hot), entity, "leftsemi").withColumn("_slice", cut)
         rows = rows.unionByName(_edges(in_hot, entity), allowMissingColumns=True)
 
     # One shuffle by (entity, slice), then two orders. Forwards, repeated starts are found (the first by

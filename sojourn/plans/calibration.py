@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from sojourn.functions.labels import days_bucket
 from sojourn.operators.splits import folds
-from sojourn.plans.training import CLASSIFICATION, Features, Fitted, Model, fit
+from sojourn.plans.training import CLASSIFICATION, Features, Fitted, Model, evaluate, fit
+from sojourn.session import ensure_checkpoint_dir
 
 MAX_DAYS = 4000.0
 
@@ -57,6 +58,43 @@ def calibrate(scored: DataFrame, *, label: str, method: str = "isotonic", digits
     return Calibrator(method, LogisticRegression(featuresCol="_v", labelCol="label", weightCol="weight").fit(rows))
 
 
+def calibrated_reports(
+    split: DataFrame,
+    fitted: Mapping[str, Fitted],
+    subsets: Mapping[str, Column],
+    *,
+    label: str,
+    methods: Sequence[str] = ("isotonic", "sigmoid"),
+) -> DataFrame:
+    """Metric rows of each subset's model before and after calibration on the calibration period.
+
+    The selection and test periods are only scored.
+    """
+    ensure_checkpoint_dir(split.sparkSession)
+    parts = []
+    for subset, condition in subsets.items():
+        scored = (
+            fitted[subset]
+            .score(split.filter(condition & F.col("split").isin("calibration", "selection", "test")))
+            .select("split", label, "score")
+            .checkpoint()
+        )
+        own, rest = scored.filter(F.col("split") == "calibration"), scored.filter(F.col("split") != "calibration")
+        versions = {"none": rest} | {
+            m: calibrate(own, label=label, method=m).apply(rest).drop("score").withColumnRenamed("calibrated", "score")
+            for m in methods
+        }
+        parts += [
+            rows.select(
+                F.lit(subset).alias("animal_subset"), F.lit(m).alias("calibration_method"),
+                F.col("split").alias("metric_split"), F.col(label).alias("label"), "score",
+            )
+            for m, rows in versions.items()
+        ]
+    keys = ["animal_subset", "calibration_method", "metric_split"]
+    return evaluate(reduce(DataFrame.unionByName, parts), keys, CLASSIFICATION)
+
+
 def weighted_score(columns: Sequence[str], weights: Mapping[str, float] | None = None) -> Column:
     """Weighted mean of score columns; equal weights by default."""
     w = {c: (weights or {}).get(c, 1.0 / len(columns)) for c in columns}
