@@ -381,7 +381,8 @@ def risk_quadrants(spark: SparkSession, folder: str) -> DataFrame:
 @registry.query(
     f"""with {_DOCS_SQL}, {_auc_sql('docs', 'lang')}, {_ece_sql('docs', 'lang')}
 select auc.k as subgroup, (select count(*) from docs d where d.lang = auc.k)::BIGINT as n_samples, {_r6('pr_auc', 'roc_auc', 'brier_score', 'expected_calibration_error')}
-from auc join ece on auc.k = ece.k"""
+from auc join ece on auc.k = ece.k
+where (select count(distinct label) from docs d where d.lang = auc.k) = 2"""
 )
 def subgroup_metrics(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(mx.subgroup_report(_documents(spark, folder), "lang", label="label", score="score"))
