@@ -3,17 +3,42 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+import public_tokenizers
+
+from sojourn.llm.bpe import decode, encode
+from sojourn.llm.embeddings import near_vectors
 from sojourn.llm.exact import exact_duplicates
+from sojourn.llm.langid import fit, identify, remainder
 from sojourn.llm.mixing import mix_report
+from sojourn.llm.pii import find_personal_data
 from sojourn.llm.simhash import near_duplicates
 from sojourn.llm.store import documents
+from sojourn.llm.tokenfile import read_token_files, token_folder, write_token_files
+from sojourn.llm.urls import judge_urls, rule
 
 
 def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(documents(spark, folder), words=4, radius=4)
 
 
+def op2_pii(spark: SparkSession, folder: str) -> DataFrame:
+    rows = find_personal_data(documents(spark, folder))
+    return rows.withColumn("base_sha256", F.sha2("base_spans", 256)).drop("base_spans")
+
+
+def op3_embeddings(spark: SparkSession, folder: str) -> DataFrame:
+    return near_vectors(spark.read.parquet(f"{folder}/embeddings.parquet"))
+
+
+def op4_language(spark: SparkSession, folder: str) -> DataFrame:
+    rows = documents(spark, folder)
+    held_out = F.coalesce(remainder(F.col("doc_id"), 4) == 2, F.lit(False))
+    model = fit(rows.filter(~held_out))
+    return identify(rows.select("doc_id", held_out.alias("held_out"), "text"), model).drop("text")
+
+
 def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
     rows = mix_report(documents(spark, folder))
     return rows.select("doc_id", "size", "source_size", "target", "taken")
@@ -58,5 +83,31 @@ select doc_id, max(doc_id) over same as keep_id, count(*) over same as group_siz
 from texts window same as (partition by text)
 """
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op5_mixing, op8_exact)}
+def op6_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    manifest = write_token_files(documents(spark, folder), token_folder(spark), path, end_id=1, vocabulary=49408)
+    return read_token_files(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+URL_RULES = (
+    rule("allow", "com/"), rule("block", "example.com/en/"), rule("allow", "www.example.com/en/"), rule("block", "net/es/"), rule("block", "net/fr/"),
+)
+
+
+def op9_urls(spark: SparkSession, folder: str) -> DataFrame:
+    return judge_urls(spark.read.parquet(f"{folder}/pages.parquet"), URL_RULES)
+
+
+def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    ids = encode(documents(spark, folder).select("doc_id", "text"), path, public_tokenizers.PATTERN).drop("text")
+    return decode(ids, path).select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("bytes", 256).alias("decoded_sha256"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_pii, op3_embeddings, op4_language, op5_mixing, op6_token_files, op8_exact, op9_urls, op10_byte_bpe)}
 SQL = {"op5_mixing": OP5_SQL, "op8_exact": OP8_SQL}
