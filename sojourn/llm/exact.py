@@ -9,7 +9,8 @@ and rows that differ in spite of an equal digest are grouped again by their text
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,8 +18,11 @@ from pyspark.sql import functions as F
 
 from sojourn.llm.store import new_path, saved
 
-STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+# State on disk, without space laid out ahead for every one of many small stores.
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 # Rows of one group that are compared with one copy of the holder's text.
 SPLIT_ROWS = 256
@@ -41,6 +45,18 @@ def located(docs: DataFrame) -> DataFrame:
         return pick(saved(docs.select("doc_id", "text"), "exact-documents"))
 
 
+@contextmanager
+def state_on_disk(spark: SparkSession) -> Iterator[None]:
+    before = {key: spark.conf.get(key, None) for key in STATE_STORE}
+    for key, value in STATE_STORE.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 def _state_of(spark: SparkSession, path: str, schema, files_per_batch: int) -> DataFrame:
     """``digest, holder, n`` of all rows under ``path`` after the stream has taken them in."""
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
@@ -48,16 +64,8 @@ def _state_of(spark: SparkSession, path: str, schema, files_per_batch: int) -> D
         F.max(F.struct("doc_id", "file", "row")).alias("holder"), F.count(F.lit(1)).alias("n")
     )
     checkpoint = new_path(spark, "exact-state")
-    before = spark.conf.get(STATE_STORE)
-    spark.conf.set(STATE_STORE, ROCKSDB)
-    try:
-        query = (
-            kept.writeStream.format("noop").outputMode("update").option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start()
-        )
-        query.awaitTermination()
-    finally:
-        spark.conf.set(STATE_STORE, before)
+    writer = kept.writeStream.format("noop").outputMode("update").option("checkpointLocation", checkpoint)
+    writer.trigger(availableNow=True).start().awaitTermination()
     state = spark.read.format("statestore").load(checkpoint)
     holder, n = (f"value.`{f.name}`" for f in state.schema["value"].dataType.fields)
     return state.select("key.digest", F.col(holder).alias("holder"), F.col(n).alias("n"))
@@ -82,7 +90,8 @@ def exact_duplicates(
     staged = spark.read.schema(texts.drop("text").schema).parquet(path)
     if not len(staged.inputFiles()):
         return _result(staged.withColumns({"holder": F.struct("doc_id", "file", "row"), "n": F.lit(1)}))
-    state = saved(_state_of(spark, path, staged.schema, files_per_batch), "exact-holders")
+    with state_on_disk(spark):
+        state = saved(_state_of(spark, path, staged.schema, files_per_batch), "exact-holders")
 
     hits = texts.drop("sha").join(state.filter("n > 1"), "digest")
     hits = hits.withColumns(
@@ -91,6 +100,7 @@ def exact_duplicates(
             "is_holder": (F.col("file") == F.col("holder.file")) & (F.col("row") == F.col("holder.row")),
         }
     )
+    hits = saved(hits, "exact-hits")  # their texts, moved once
     held = hits.filter("is_holder").select(
         "digest", F.col("text").alias("held"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
     )
