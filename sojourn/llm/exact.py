@@ -28,21 +28,26 @@ STATE_STORE = {
 SPLIT_ROWS = 256
 
 
-def located(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``text`` (null as empty) and the locator of each row."""
+def with_locator(docs: DataFrame) -> DataFrame:
+    """The rows with ``_file`` and ``_row``, where their content lies; rows that come from no file are written first."""
 
     def pick(rows: DataFrame) -> DataFrame:
-        return rows.select(
-            F.col("doc_id").cast("bigint").alias("doc_id"),
-            F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
-            F.col("_metadata.file_path").alias("file"),
-            F.col("_metadata.row_index").alias("row"),
-        )
+        return rows.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
 
     try:
         return pick(docs)
-    except AnalysisException:  # not read from files
-        return pick(saved(docs.select("doc_id", "text"), "exact-documents"))
+    except AnalysisException:
+        return pick(saved(docs, "located"))
+
+
+def located(docs: DataFrame) -> DataFrame:
+    """``doc_id``, ``text`` (null as empty) and the locator of each row."""
+    return with_locator(docs.select("doc_id", "text")).select(
+        F.col("doc_id").cast("bigint").alias("doc_id"),
+        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
+        F.col("_file").alias("file"),
+        F.col("_row").alias("row"),
+    )
 
 
 @contextmanager
@@ -82,6 +87,34 @@ def exact_duplicates(
     ignored. ``digest`` derives the state's key from the SHA-256 (default: the hash itself); whatever
     it is, the full texts decide.
     """
+    rows = _judged(docs, digest, files_per_batch)
+    return rows.select(
+        "doc_id",
+        F.col("holder.doc_id").alias("keep_id"),
+        F.col("n").cast("bigint").alias("group_size"),
+        _is_holder().alias("kept"),
+        F.lower(F.hex("sha")).alias("text_sha256"),
+    )
+
+
+def distinct_texts(docs: DataFrame, files_per_batch: int = 1000) -> DataFrame:
+    """The rows of ``docs`` that ``exact_duplicates`` keeps, one for every text, with all their columns."""
+    rows = with_locator(docs)
+    gone = _judged(rows, None, files_per_batch).filter(~_is_holder()).select(F.col("file").alias("_file"), F.col("row").alias("_row"))
+    return without(rows, gone).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """Located rows without those whose locators are listed."""
+    return rows.join(saved(gone, "gone"), ["_file", "_row"], "left_anti")
+
+
+def _is_holder() -> Column:
+    return (F.col("file") == F.col("holder.file")) & (F.col("row") == F.col("holder.row"))
+
+
+def _judged(docs: DataFrame, digest: Callable[[Column], Column] | None, files_per_batch: int) -> DataFrame:
+    """Locator, doc_id and sha of every row with the holder of its text and the number of rows that have it."""
     spark = docs.sparkSession
     texts = located(docs).withColumn("sha", F.unhex(F.sha2("text", 256)))
     texts = texts.withColumn("digest", digest(F.col("sha")) if digest else F.col("sha"))
@@ -89,7 +122,7 @@ def exact_duplicates(
     texts.drop("text").write.parquet(path)
     staged = spark.read.schema(texts.drop("text").schema).parquet(path)
     if not len(staged.inputFiles()):
-        return _result(staged.withColumns({"holder": F.struct("doc_id", "file", "row"), "n": F.lit(1)}))
+        return staged.withColumns({"holder": F.struct("doc_id", "file", "row"), "n": F.lit(1).cast("bigint")})
     with state_on_disk(spark):
         state = saved(_state_of(spark, path, staged.schema, files_per_batch), "exact-holders")
 
@@ -97,7 +130,7 @@ def exact_duplicates(
     hits = hits.withColumns(
         {
             "parts": F.ceil(F.col("n") / SPLIT_ROWS).cast("int"),
-            "is_holder": (F.col("file") == F.col("holder.file")) & (F.col("row") == F.col("holder.row")),
+            "is_holder": _is_holder(),
         }
     )
     hits = saved(hits, "exact-hits")  # their texts, moved once
@@ -114,20 +147,9 @@ def exact_duplicates(
     moved = differing.join(regrouped, ["digest", "text"]).select("file", "row", "own_holder", "own_n")
     gone = differing.groupBy("digest").agg(F.count(F.lit(1)).alias("gone"))
     rows = staged.join(state, "digest").join(gone, "digest", "left").join(moved, ["file", "row"], "left")
-    rows = rows.withColumns(
+    return rows.withColumns(
         {
             "holder": F.coalesce("own_holder", "holder"),
             "n": F.coalesce("own_n", F.col("n") - F.coalesce("gone", F.lit(0))),
         }
     )
-    return _result(rows)
-
-
-def _result(rows: DataFrame) -> DataFrame:
-    return rows.select(
-        "doc_id",
-        F.col("holder.doc_id").alias("keep_id"),
-        F.col("n").cast("bigint").alias("group_size"),
-        ((F.col("file") == F.col("holder.file")) & (F.col("row") == F.col("holder.row"))).alias("kept"),
-        F.lower(F.hex("sha")).alias("text_sha256"),
-    )

@@ -11,6 +11,7 @@ from sojourn.llm.bpe import decode, encode
 from sojourn.llm.embeddings import near_vectors
 from sojourn.llm.exact import exact_duplicates
 from sojourn.llm.langid import fit, identify, remainder
+from sojourn.llm.lm import score_texts
 from sojourn.llm.mixing import mix_report
 from sojourn.llm.pii import find_personal_data
 from sojourn.llm.simhash import near_duplicates
@@ -72,6 +73,11 @@ from drawn
 """
 
 
+def op7_language_model(spark: SparkSession, folder: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return score_texts(documents(spark, folder), remainder(F.col("doc_id"), 10) == 0, path, end_id=49407, vocabulary=49408)
+
+
 def op8_exact(spark: SparkSession, folder: str) -> DataFrame:
     return exact_duplicates(documents(spark, folder))
 
@@ -109,5 +115,5 @@ def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_pii, op3_embeddings, op4_language, op5_mixing, op6_token_files, op8_exact, op9_urls, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_pii, op3_embeddings, op4_language, op5_mixing, op6_token_files, op7_language_model, op8_exact, op9_urls, op10_byte_bpe)}
 SQL = {"op5_mixing": OP5_SQL, "op8_exact": OP8_SQL}

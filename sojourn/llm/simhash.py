@@ -14,7 +14,7 @@ dealt out evenly.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sojourn.llm.components import connected_components
+from sojourn.llm.exact import with_locator, without
 from sojourn.llm.runs import blocks, joined, pieces
 from sojourn.llm.store import document_rows, saved
 
@@ -55,17 +56,21 @@ def fingerprint(text: str | None, words: int) -> int:
     return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, words: int = 5) -> DataFrame:
-    """``(doc_id, fingerprint)`` of every row; the 64 bits as a signed long. A null text is empty."""
+def fingerprints(docs: DataFrame, words: int = 5, ties: Sequence[str] = ()) -> DataFrame:
+    """``doc_id, fingerprint`` and the columns ``ties`` of every row; the 64 bits as a signed long. A null text is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1)
             prints = np.fromiter((fingerprint(t.as_py(), words) for t in texts), dtype=np.uint64, count=len(texts))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["doc_id", "fingerprint"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(prints.view(np.int64)), *batch.columns[2:]], ["doc_id", "fingerprint", *ties]
+            )
 
-    rows = document_rows(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "doc_id bigint, fingerprint bigint")
+    rows = document_rows(docs, "doc_id", "text", *ties)
+    rows = rows.withColumns({"doc_id": F.col("doc_id").cast("bigint"), "text": F.col("text").cast("string")})
+    kinds = dict(rows.dtypes)
+    return rows.mapInArrow(run, ", ".join(["doc_id bigint", "fingerprint bigint", *[f"`{c}` {kinds[c]}" for c in ties]]))
 
 
 def gray_rank(code: Column) -> Column:
@@ -246,26 +251,39 @@ def hamming_links(codes: DataFrame, radius: int = 3, piece_rows: int = PIECE_ROW
     return found.filter("codes is null").select("a", "b").unionByName(across)
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, radius: int = 3, piece_rows: int = PIECE_ROWS) -> DataFrame:
-    """``(doc_id, fingerprint, component_id)`` for every row of ``docs(doc_id, text)``.
+def near_duplicates(
+    docs: DataFrame, words: int = 5, radius: int = 3, piece_rows: int = PIECE_ROWS, ties: Sequence[str] = ()
+) -> DataFrame:
+    """``doc_id, fingerprint, component_id, kept`` and the columns ``ties`` for every row of ``docs(doc_id, text)``.
 
     ``component_id`` is the smallest doc_id reachable over links of at most ``radius`` differing
     bits, the row's own included. Equal fingerprints are one node, so copies cost nothing. A null text
-    counts as empty; texts without words have fingerprint zero and link like any other. Rows that repeat
-    a doc_id are all returned; a null doc_id never names a component unless it has no other member. An
-    empty table gives no rows; other columns are ignored.
+    counts as empty; texts without words have fingerprint zero and link like any other. ``kept`` marks the row that
+    names its component; rows that repeat a doc_id are told apart by ``ties`` and otherwise kept together.
+    Null doc_ids come last, so they name a component only if it has no other member. An empty table gives no
+    rows; other columns are ignored.
     """
-    prints = saved(fingerprints(docs, words), "simhash")
-    nodes = saved(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first")), "simhash-nodes")
+    prints = saved(fingerprints(docs, words, ties), "simhash")
+    own = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", *ties)
+    nodes = saved(prints.groupBy("fingerprint").agg(F.min(own).alias("first")), "simhash-nodes")
     labels = connected_components(hamming_links(nodes.select(F.col("fingerprint").alias("code")), radius, piece_rows))
     linked = nodes.join(labels, nodes["fingerprint"] == labels["node"]).select("fingerprint", "component", "first")
     linked = saved(linked, "simhash-linked")
     names = linked.groupBy("component").agg(F.min("first").alias("name"))
     named = linked.join(names, "component").select("fingerprint", "name")
     # every fingerprint has a row here: linked ones their component's name, others their own
-    named = nodes.join(named, "fingerprint", "left").select("fingerprint", F.coalesce("name", "first").alias("component_id"))
+    named = nodes.join(named, "fingerprint", "left").select("fingerprint", F.coalesce("name", "first").alias("name"))
     return prints.join(named, "fingerprint").select(
         "doc_id",
         F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"),
-        "component_id",
+        F.col("name.doc_id").alias("component_id"),
+        own.eqNullSafe(F.col("name")).alias("kept"),
+        *ties,
     )
+
+
+def distinct_documents(docs: DataFrame, words: int = 5, radius: int = 3) -> DataFrame:
+    """The rows of ``docs`` with one document of each group of near duplicates, the one with the smallest doc_id."""
+    rows = with_locator(docs)
+    report = near_duplicates(rows, words, radius, ties=["_file", "_row"])
+    return without(rows, report.filter("not kept").select("_file", "_row")).select(*[F.col(f"`{c}`") for c in docs.columns])
