@@ -1,8 +1,8 @@
 """Byte-level BPE with a hierarchical-bitmap rank queue.
 
 Every pre-token starts as a linked list of bytes. Adjacent pairs wait in buckets by merge rank, each
-a heap of list positions. A bitmap marks the ranks whose bucket is not empty, bitmaps above it mark
-the words that are not zero; find-first-set from the top gives the lowest rank in three steps however
+a heap of list positions. A bitmap marks the ranks whose bucket is not empty, a bitmap above it marks
+its words that are not zero; find-first-set from the top gives the lowest rank in two steps however
 long the pre-token is. A merge changes the pairs on both sides; entries that no longer describe their
 position are skipped when they come up. The work is a few steps per merge, so a pre-token of a
 million bytes is no different from many short ones.
@@ -11,6 +11,7 @@ million bytes is no different from many short ones.
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
@@ -23,19 +24,24 @@ from pyspark.sql import functions as F
 
 from sojourn.llm.cache import Recent
 
-CACHED = 250_000  # texts between spaces, and pre-tokens, remembered by a worker
-WORD_BITS = 64
+CACHED = 300_000  # texts between spaces that a worker remembers (up to twice as many)
+SHIFT = 8
+WORD = 1 << SHIFT  # ranks in a word of the lower bitmap
+LOW = WORD - 1
+BITS = [1 << i for i in range(WORD)]
 
 
 class RankQueue:
-    """List positions by merge rank, lowest rank first and then leftmost."""
+    """List positions by merge rank, lowest rank first and then leftmost.
+
+    ``buckets[rank]`` is a heap of positions or None; ``words`` has a bit for every bucket that is not
+    empty, ``top`` a bit for every word that is not zero.
+    """
 
     def __init__(self, ranks: int) -> None:
         self.buckets: list[list[int] | None] = [None] * ranks
-        self.levels: list[list[int]] = []
-        while not self.levels or len(self.levels[-1]) > 1:
-            ranks = -(-ranks // WORD_BITS)
-            self.levels.append([0] * ranks)
+        self.words = [0] * (-(-ranks // WORD))
+        self.top = 0
 
     def push(self, rank: int, position: int) -> None:
         bucket = self.buckets[rank]
@@ -43,38 +49,27 @@ class RankQueue:
             heappush(bucket, position)
             return
         self.buckets[rank] = [position]
-        at = rank
-        for level in self.levels:
-            word, bit = at >> 6, 1 << (at & 63)
-            was = level[word]
-            level[word] = was | bit
-            if was:
-                return
-            at = word
-
-    def first(self) -> int:
-        """Lowest rank with a waiting position, or -1."""
-        at = 0
-        for level in reversed(self.levels):
-            word = level[at]
-            if not word:
-                return -1
-            at = (at << 6) | ((word & -word).bit_length() - 1)
-        return at
-
-    def pop(self, rank: int) -> int:
+        at = rank >> SHIFT
+        self.words[at] |= BITS[rank & LOW]
+        self.top |= 1 << at
+
+    def pop(self) -> tuple[int, int]:
+        """The lowest waiting rank and its leftmost position; (-1, -1) if nothing waits."""
+        top = self.top
+        if not top:
+            return -1, -1
+        at = (top & -top).bit_length() - 1
+        word = self.words[at]
+        low = word & -word
+        rank = (at << SHIFT) + low.bit_length() - 1
         bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            self.buckets[rank] = None
-            at = rank
-            for level in self.levels:
-                word = at >> 6
-                level[word] &= ~(1 << (at & 63))
-                if level[word]:
-                    break
-                at = word
-        return position
+        if len(bucket) > 1:
+            return rank, heappop(bucket)
+        self.buckets[rank] = None
+        self.words[at] = word = word ^ low
+        if not word:
+            self.top = top ^ (1 << at)
+        return rank, bucket[0]
 
 
 class Merger:
@@ -84,44 +79,78 @@ class Merger:
         self.ranks = ranks
         self.longest = max(map(len, ranks))
         self.queue = RankQueue(max(ranks.values()) + 1)
+        self.pairs = [ranks.get(bytes((a, b)), -1) for a in range(256) for b in range(256)]
 
     def __call__(self, piece: bytes) -> list[int]:
-        ranks, queue, longest = self.ranks, self.queue, self.longest
+        ranks, longest, pairs = self.ranks, self.longest, self.pairs
         whole = ranks.get(piece) if len(piece) <= longest else None
         if whole is not None:
             return [whole]
-        n = len(piece)
-        after = list(range(1, n + 1))  # start of the following token; n at the end
-        before = list(range(-1, n - 1))
-        waiting = [-1] * (n + 1)  # rank of the pair that starts here
-        for i in range(n - 1):
-            rank = ranks.get(piece[i : i + 2])
-            if rank is not None:
-                waiting[i] = rank
-                queue.push(rank, i)
-        while (rank := queue.first()) >= 0:
-            i = queue.pop(rank)
+        n, find = len(piece), ranks.get
+        after = list(range(1, n + 2))  # start of the following token; n at the end
+        before = list(range(-1, n))
+        waiting = [pairs[a << 8 | b] for a, b in zip(piece, piece[1:])]  # rank of the pair that starts here
+        waiting.append(-1)
+        # the steps of RankQueue.push and .pop, with its tables at hand; the queue is empty before and after
+        buckets, words, top = self.queue.buckets, self.queue.words, self.queue.top
+        for i, rank in enumerate(waiting):
+            if rank >= 0:
+                bucket = buckets[rank]
+                if bucket:
+                    bucket.append(i)  # positions come in order
+                else:
+                    buckets[rank] = [i]
+                    at = rank >> SHIFT
+                    words[at] |= BITS[rank & LOW]
+                    top |= 1 << at
+        while top:
+            at = (top & -top).bit_length() - 1
+            word = words[at]
+            low = word & -word
+            rank = (at << SHIFT) + low.bit_length() - 1
+            bucket = buckets[rank]
+            if len(bucket) > 1:
+                i = heappop(bucket)
+            else:
+                i = bucket[0]
+                buckets[rank] = None
+                words[at] = word = word ^ low
+                if not word:
+                    top ^= 1 << at
             if waiting[i] != rank:
                 continue  # stale
             gone = after[i]
-            right = after[gone]
-            after[i] = right
+            after[i] = right = after[gone]
             waiting[gone] = -1
+            left = before[i]
             new = -1
             if right < n:
                 before[right] = i
                 end = after[right]
                 if end - i <= longest:
-                    new = ranks.get(piece[i:end], -1)
+                    new = find(piece[i:end], -1)
             waiting[i] = new
-            if new >= 0:
-                queue.push(new, i)
-            left = before[i]
             if left >= 0:
-                new = ranks.get(piece[left:right], -1) if right - left <= longest else -1
-                waiting[left] = new
-                if new >= 0:
-                    queue.push(new, left)
+                other = find(piece[left:right], -1) if right - left <= longest else -1
+                waiting[left] = other
+                if other >= 0:
+                    bucket = buckets[other]
+                    if bucket:
+                        heappush(bucket, left)
+                    else:
+                        buckets[other] = [left]
+                        at = other >> SHIFT
+                        words[at] |= BITS[other & LOW]
+                        top |= 1 << at
+            if new >= 0:
+                bucket = buckets[new]
+                if bucket:
+                    heappush(bucket, i)
+                else:
+                    buckets[new] = [i]
+                    at = new >> SHIFT
+                    words[at] |= BITS[new & LOW]
+                    top |= 1 << at
         out, i = [], 0
         while i < n:
             out.append(ranks[piece[i : after[i]]])
@@ -140,22 +169,30 @@ class Encoder:
     def __init__(self, path: str, pattern: str, cached: int = CACHED) -> None:
         self.merge = Merger(load_ranks(path))
         self.find = regex.compile(pattern).findall
-        self.tokens = Recent(lambda t: np.array(self.merge(t.encode("utf-8", "surrogatepass")), dtype="<i4").tobytes(), cached)
-        self.after_space = Recent(lambda w: self._split(" " + w), cached)
-        # A space between two other non-space characters starts a pre-token of its own right part, so
-        # such texts may be cut at spaces. Others go through the pattern as a whole.
-        self.odd_space = regex.compile(r"\s | \s|^ | $").search
+        self.tokens = Recent(lambda t: array("i", self.merge(t.encode("utf-8", "surrogatepass"))).tobytes(), cached)
+        self.after_space = Recent(self._word, cached)
+        self.is_space = regex.compile(r"\s").match
+
+    def _edged(self, word: str) -> bool:
+        return not word or bool(self.is_space(word[0]) or self.is_space(word[-1]))
+
+    def _word(self, word: str) -> bytes | None:
+        """What a space and this text stand for; None if white space meets at its edges."""
+        return None if self._edged(word) else self._split(" " + word)
 
     def _split(self, text: str) -> bytes:
         tokens = self.tokens
         return b"".join([tokens[t] for t in self.find(text)])
 
     def __call__(self, text: str) -> bytes:
-        if self.odd_space(text):
-            return self._split(text)
+        # A space between characters that are not white space starts a pre-token, so texts may be cut at such
+        # spaces. Where white space meets, the pattern goes over the whole text.
         head, *rest = text.split(" ")
         after_space = self.after_space
-        return self._split(head) + b"".join([after_space[w] for w in rest])
+        parts = [after_space[w] for w in rest]
+        if None in parts or rest and self._edged(head):
+            return self._split(text)
+        return self._split(head) + b"".join(parts)
 
 
 @lru_cache(maxsize=1)

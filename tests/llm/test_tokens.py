@@ -45,14 +45,13 @@ def test_queue_gives_lowest_rank_then_leftmost():
         if waiting and rng.random() < 0.45:
             want = min(waiting)
             waiting.remove(want)
-            assert (queue.first(), queue.pop(queue.first())) == want
+            assert queue.pop() == want
         else:
             waiting.append((int(rng.integers(70_000) ** rng.random()), int(rng.integers(1000))))
             queue.push(*waiting[-1])
     while waiting:
-        rank = queue.first()
-        waiting.remove((rank, queue.pop(rank)))
-    assert queue.first() == -1 and not any(map(any, queue.levels))
+        waiting.remove(queue.pop())
+    assert queue.pop() == (-1, -1) and not any(queue.words) and not queue.top
 
 
 @pytest.mark.parametrize("text", TEXTS)
