@@ -40,6 +40,16 @@ def with_locator(docs: DataFrame) -> DataFrame:
         return pick(saved(docs, "located"))
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """Located rows whose columns other than doc_id and text have names that meet no others."""
+    return with_locator(docs.toDF(*[c if c in ("doc_id", "text") else f"_{i}" for i, c in enumerate(docs.columns)]))
+
+
+def unpacked(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """Packed rows with the columns of ``docs`` again."""
+    return rows.drop("_file", "_row").toDF(*docs.columns)
+
+
 def located(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``text`` (null as empty) and the locator of each row."""
     return with_locator(docs.select("doc_id", "text")).select(
@@ -99,14 +109,14 @@ def exact_duplicates(
 
 def distinct_texts(docs: DataFrame, files_per_batch: int = 1000) -> DataFrame:
     """The rows of ``docs`` that ``exact_duplicates`` keeps, one for every text, with all their columns."""
-    rows = with_locator(docs)
+    rows = packed(docs)
     gone = _judged(rows, None, files_per_batch).filter(~_is_holder()).select(F.col("file").alias("_file"), F.col("row").alias("_row"))
-    return without(rows, gone).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return unpacked(without(rows, gone), docs)
 
 
 def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
     """Located rows without those whose locators are listed."""
-    return rows.join(saved(gone, "gone"), ["_file", "_row"], "left_anti")
+    return rows.join(saved(gone, "gone"), ["_file", "_row"], "left_anti").select(*rows.columns)
 
 
 def _is_holder() -> Column:

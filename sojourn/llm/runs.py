@@ -62,15 +62,22 @@ def pieces(key: np.ndarray, most: int, open_left: bool, open_right: bool) -> lis
     return out
 
 
-def joined(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-    """Merge the classes of a[i] and b[i] in place; labels point to the smallest member."""
-    while len(a):
-        x, y = labels[a], labels[b]
+def joined(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Merge the classes of a[i] and b[i] in place; labels point to the smallest member.
+
+    Returns the positions i of a spanning forest: the pairs, earlier ones first, that joined two classes.
+    """
+    used, at = [], np.arange(len(a))
+    while True:
+        x, y = labels[a[at]], labels[b[at]]
         open_ = x != y
-        a, b, x, y = a[open_], b[open_], x[open_], y[open_]
-        if not len(a):
-            return
-        np.minimum.at(labels, np.maximum(x, y), np.minimum(x, y))
+        at, x, y = at[open_], x[open_], y[open_]
+        if not len(at):
+            return np.concatenate(used) if used else at
+        # every larger root hooks to the smaller one of its first pair
+        high, first = np.unique(np.maximum(x, y), return_index=True)
+        labels[high] = np.minimum(x, y)[first]
+        used.append(at[first])
         while True:
             up = labels[labels]
             if np.array_equal(up, labels):

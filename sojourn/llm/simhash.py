@@ -7,7 +7,7 @@ share most bits, a node keeps the bits (mask and pattern) that all rows below it
 only what it adds to its parent. A search walks a whole level at a time, adds up the differences on
 the way down, and leaves a group once they exceed the radius.
 
-Only a spanning forest of the links leaves a task, never all pairs. A bucket that is larger than a
+Only links that span what is linked leave a task, never all pairs. A bucket that is larger than a
 piece is spread over pieces; pairs of pieces are joined by bucket, pruned by their root patterns, and
 dealt out evenly.
 """
@@ -15,6 +15,7 @@ dealt out evenly.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sojourn.llm.components import connected_components
-from sojourn.llm.exact import with_locator, without
+from sojourn.llm.exact import packed, unpacked, without
 from sojourn.llm.runs import blocks, joined, pieces
 from sojourn.llm.store import document_rows, saved
 
@@ -35,42 +36,71 @@ BLOCK_ROWS = 1 << 16
 FRONTIER = 1 << 21
 
 
-def fingerprint(text: str | None, words: int) -> int:
-    """Majority bits of the XXH64 of all word shingles; no words give zero."""
+def _majority(hashes: np.ndarray) -> int:
+    """The bits that are set in more than half of the 64-bit hashes."""
+    bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+    n, whole = len(bits), len(bits) // 255 * 255
+    counts = bits[whole:].sum(axis=0, dtype=np.int64)
+    if whole:
+        counts += bits[:whole].reshape(-1, 255, 64).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
+
+
+def shingles(text: str | None, words: int) -> list[bytes]:
+    """All runs of ``words`` words, A-Z lower-cased, joined by spaces; a shorter text is one; none without words."""
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not tokens:
-        return 0
-    joined_ = b" ".join(tokens)
+        return []
+    whole = b" ".join(tokens)
     if len(tokens) <= words:
-        return xxhash.xxh64_intdigest(joined_, SEED)
+        return [whole]
     ends = np.cumsum(np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens)) + 1)
     starts = np.r_[0, ends[:-words]].tolist()
-    stops = (ends[words - 1 :] - 1).tolist()
+    return [whole[a:b] for a, b in zip(starts, (ends[words - 1 :] - 1).tolist())]
+
+
+def fingerprint(text: str | None, words: int, which: int = 0) -> int:
+    """Majority bits of the XXH64 of all word shingles; no words give zero. ``which`` picks further, independent ones."""
+    found = shingles(text, words)
+    if not found:
+        return 0
     digest = xxhash.xxh64_digest
-    hashes = b"".join([digest(joined_[a:b], SEED) for a, b in zip(starts, stops)])
-    bits = np.unpackbits(np.frombuffer(hashes, dtype=np.uint8).reshape(-1, 8), axis=1)
-    n, whole = len(bits), len(bits) // 255 * 255
-    counts = bits[whole:].sum(axis=0, dtype=np.int64)
-    if whole:
-        counts += bits[:whole].reshape(-1, 255, 64).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
+    hashes = np.frombuffer(b"".join([digest(s, SEED) for s in found]), dtype=">u8").astype(np.uint64)
+    return _fingerprint_of(hashes, which)
 
 
-def fingerprints(docs: DataFrame, words: int = 5, ties: Sequence[str] = ()) -> DataFrame:
-    """``doc_id, fingerprint`` and the columns ``ties`` of every row; the 64 bits as a signed long. A null text is empty."""
+def _fingerprint_of(hashes: np.ndarray, which: int) -> int:
+    for _ in range(which):
+        hashes = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return _majority(hashes ^ (hashes >> np.uint64(29)) if which else hashes)
+
+
+def _fingerprints_of(text: str | None, words: int, prints: int) -> list[int]:
+    found = shingles(text, words)
+    if not found:
+        return [0] * prints
+    digest = xxhash.xxh64_digest
+    hashes = np.frombuffer(b"".join([digest(s, SEED) for s in found]), dtype=">u8").astype(np.uint64)
+    return [_fingerprint_of(hashes, k) for k in range(prints)]
+
+
+def fingerprints(docs: DataFrame, words: int = 5, ties: Sequence[str] = (), prints: int = 1) -> DataFrame:
+    """``doc_id, fingerprint`` and the columns ``ties`` of every row; the 64 bits as a signed long.
+
+    With more ``prints`` there are columns ``fingerprint1``, ... for the further ones. A null text is empty.
+    """
+    names = ["fingerprint", *[f"fingerprint{k}" for k in range(1, prints)]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1)
-            prints = np.fromiter((fingerprint(t.as_py(), words) for t in texts), dtype=np.uint64, count=len(texts))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(prints.view(np.int64)), *batch.columns[2:]], ["doc_id", "fingerprint", *ties]
-            )
+            found = np.array([_fingerprints_of(t.as_py(), words, prints) for t in batch.column(1)], dtype=np.uint64).reshape(-1, prints)
+            columns = [pa.array(np.ascontiguousarray(found[:, k]).view(np.int64)) for k in range(prints)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, *batch.columns[2:]], ["doc_id", *names, *ties])
 
     rows = document_rows(docs, "doc_id", "text", *ties)
     rows = rows.withColumns({"doc_id": F.col("doc_id").cast("bigint"), "text": F.col("text").cast("string")})
     kinds = dict(rows.dtypes)
-    return rows.mapInArrow(run, ", ".join(["doc_id bigint", "fingerprint bigint", *[f"`{c}` {kinds[c]}" for c in ties]]))
+    return rows.mapInArrow(run, ", ".join(["doc_id bigint", *[f"{n} bigint" for n in names], *[f"`{c}` {kinds[c]}" for c in ties]]))
 
 
 def gray_rank(code: Column) -> Column:
@@ -115,7 +145,7 @@ class GrayTree:
         self.root_of = owner
 
     def search(self, queries: np.ndarray, roots: np.ndarray, radius: int, after: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (query position, row) within the radius; with ``after`` only rows beyond that row."""
+        """Pairs (query position, row) within the radius, nearest first; with ``after`` only rows beyond that row."""
         spans = self._spans()
         q, node = np.arange(len(queries)), roots
         above = np.zeros(len(q), dtype=np.uint64)
@@ -136,7 +166,8 @@ class GrayTree:
         keep = sums <= radius
         if after is not None:
             keep &= node > after[q]
-        return q[keep], node[keep]
+        nearest = np.argsort(sums[keep], kind="stable")
+        return q[keep][nearest], node[keep][nearest]
 
     def _spans(self) -> list[np.ndarray]:
         """Last row (exclusive) under each node, by level."""
@@ -158,30 +189,33 @@ def _chunks(weight: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
 
 
 def _links(codes: np.ndarray, run: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning forest of the links inside each run."""
+    """Links that span what is linked inside each run."""
     tree = GrayTree(codes, run)
     labels = np.arange(len(codes))
     first = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
     sizes = np.diff(np.r_[first, len(run)])
     roots = np.repeat(np.arange(len(first)), sizes)
+    left, right = [], []
     for a, b in _chunks(np.repeat(sizes, sizes), FRONTIER):
         rows = np.arange(a, b)
         q, found = tree.search(codes[a:b], roots[a:b], radius, rows)
-        joined(labels, rows[q], found)
-    moved = np.flatnonzero(labels != np.arange(len(labels)))
-    return codes[moved], codes[labels[moved]]
+        used = joined(labels, rows[q], found)
+        left.append(codes[rows[q[used]]])
+        right.append(codes[found[used]])
+    return np.concatenate(left), np.concatenate(right)
 
 
 def _cross_links(left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning forest of the links between two pieces of a bucket."""
+    """Links that span what is linked between two pieces of a bucket."""
     tree = GrayTree(right, np.zeros(len(right), dtype=np.int64))
-    both = np.concatenate([left, right])
-    labels = np.arange(len(both))
+    labels = np.arange(len(left) + len(right))
+    one, other = [left[:0]], [right[:0]]
     for a, b in _chunks(np.full(len(left), len(right)), FRONTIER):
         q, found = tree.search(left[a:b], np.zeros(b - a, dtype=np.int64), radius)
-        joined(labels, a + q, len(left) + found)
-    moved = np.flatnonzero(labels != np.arange(len(labels)))
-    return both[moved], both[labels[moved]]
+        used = joined(labels, a + q, len(left) + found)
+        one.append(left[a + q[used]])
+        other.append(right[found[used]])
+    return np.concatenate(one), np.concatenate(other)
 
 
 EDGES = "a bigint, b bigint"
@@ -282,8 +316,62 @@ def near_duplicates(
     )
 
 
-def distinct_documents(docs: DataFrame, words: int = 5, radius: int = 3) -> DataFrame:
-    """The rows of ``docs`` with one document of each group of near duplicates, the one with the smallest doc_id."""
-    rows = with_locator(docs)
-    report = near_duplicates(rows, words, radius, ties=["_file", "_row"])
-    return without(rows, report.filter("not kept").select("_file", "_row")).select(*[F.col(f"`{c}`") for c in docs.columns])
+def _alike(words: int, least: float):
+    """Keeps the pairs whose sets of shingles overlap by ``least`` (Jaccard)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for left, right in zip(batch.column(2), batch.column(3)):
+                x, y = set(shingles(left.as_py(), words)), set(shingles(right.as_py(), words))
+                both = len(x & y)
+                keep.append(both >= least * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def similar_links(rows: DataFrame, words: int = 5, least: float = 0.8, prints: int = 3, radius: int = 8) -> tuple[DataFrame, DataFrame]:
+    """Rows with a number, and verified edges ``(a, b)`` between their numbers, from located rows.
+
+    Candidates are the links of ``prints`` independent fingerprints of every text at ``radius`` or fewer bits, nearest
+    first: enough of them to span what is linked in each bucket. The whole texts of a candidate pair decide:
+    Jaccard of their shingle sets of at least ``least``.
+    """
+    numbered = fingerprints(rows, words, ["_file", "_row"], prints).withColumn("n", F.monotonically_increasing_id())
+    numbered = saved(numbered, "similar-prints")
+    edges = []
+    for name in [c for c in numbered.columns if c.startswith("fingerprint")]:
+        nodes = saved(numbered.groupBy(F.col(name).alias("code")).agg(F.min("n").alias("first")), "similar-nodes")
+        same = numbered.join(nodes, numbered[name] == nodes["code"]).filter("n <> first").select(F.col("n").alias("a"), F.col("first").alias("b"))
+        linked = hamming_links(nodes.select("code"), radius)
+        first = nodes.select(F.col("code").alias("a"), F.col("first").alias("x"))
+        other = nodes.select(F.col("code").alias("b"), F.col("first").alias("y"))
+        near = linked.distinct().join(first, "a").join(other, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        edges += [same, near]
+    pairs = reduce(DataFrame.unionByName, edges).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    pairs = saved(pairs, "similar-pairs")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("n")).distinct()
+    asked = saved(numbered.join(ends, "n").select("n", "_file", "_row"), "similar-ends")
+    texts = rows.select("_file", "_row", F.col("text").cast("string").alias("text")).join(asked, ["_file", "_row"]).select("n", "text")
+    texts = saved(texts, "similar-texts")
+    left, right = texts.toDF("a", "left"), texts.toDF("b", "right")
+    checked = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(_alike(words, least), EDGES)
+    return numbered.select("n", "doc_id", "_file", "_row"), checked
+
+
+def distinct_documents(docs: DataFrame, words: int = 5, least: float = 0.8, prints: int = 3, radius: int = 8) -> DataFrame:
+    """The rows of ``docs`` with one document of each group of similar texts, the one with the smallest doc_id.
+
+    Groups are the components of the links of ``similar_links``. Null and empty texts have no shingles and are all
+    alike. Null doc_ids come last; rows that repeat a doc_id are told apart by their place. An empty table gives no
+    rows; all columns come back.
+    """
+    rows = packed(docs)
+    numbered, edges = similar_links(rows, words, least, prints, radius)
+    linked = numbered.join(connected_components(edges), F.col("n") == F.col("node"))
+    own = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "n")
+    linked = saved(linked.withColumn("own", own), "similar-linked")
+    names = linked.groupBy("component").agg(F.min("own").alias("name"))
+    gone = linked.join(names, "component").filter(F.col("own") != F.col("name")).select("_file", "_row")
+    return unpacked(without(rows, gone), docs)

@@ -2,11 +2,11 @@ import public_tokenizers
 import pytest
 import tiktoken
 from test_exact_and_mixing import brute_targets
-from test_simhash import brute_components, plain_fingerprint
 
 import corpus_pipeline as pipeline
 from sojourn.llm.bpe import load_ranks
 from sojourn.llm.mixing import mix_report
+from sojourn.llm.simhash import shingles
 from sojourn.llm.store import saved
 
 STAGES = dict(pipeline.STAGES)
@@ -44,10 +44,38 @@ def test_exact_keeps_one_row_of_each_text(spark, docs, data):
     assert sorted(((i, t or "") for i, t, _ in rows_of(got)), key=repr) == sorted(((i, t) for t, i in best.items()), key=repr)
 
 
+def jaccard_components(texts, least=0.8):
+    sets = [set(shingles(t, 5)) for t in texts]
+    root, having = list(range(len(sets))), {}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, s in enumerate(sets):
+        for j in {j for x in s or {None} for j in having.get(x, ())}:
+            both = len(s & sets[j])
+            if both >= least * (len(s) + len(sets[j]) - both):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+        for x in s or {None}:
+            having.setdefault(x, []).append(i)
+    return [find(i) for i in range(len(sets))]
+
+
+def test_near_finds_nearly_all_similar_pairs(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").dropDuplicates(["text"])
+    rows = [(r.doc_id, r.text) for r in table.collect()]
+    groups = len(set(jaccard_components([t for _, t in rows])))
+    kept = pipeline.near(spark, saved(table, "table"), "").count()
+    assert groups <= kept <= groups + 0.1 * (len(rows) - groups)
+
+
 def test_near_keeps_one_document_of_each_group(spark, docs, data):
     got = pipeline.near(spark, docs, data)
     rows = rows_of(docs)
-    roots = brute_components([plain_fingerprint(t, 5) for _, t, _ in rows], 3)
+    roots = jaccard_components([t for _, t, _ in rows])
     first = {}
     for (i, _, _), root in zip(rows, roots):
         first.setdefault(root, []).append(i)

@@ -82,7 +82,7 @@ def test_every_document_against_brute_force(spark, data):
     first = {}
     for (i, _), root in zip(rows, roots):
         first[root] = min(i, first.get(root, i))
-    want = {(i, f"{p:016x}", first[root]) for (i, _), p, root in zip(rows, prints, roots)}
+    want = {(i, f"{p:016x}", first[root], i == first[root]) for (i, _), p, root in zip(rows, prints, roots)}
     assert {tuple(r) for r in near_duplicates(docs, 4, 4).collect()} == want
 
 

@@ -1,3 +1,5 @@
+import os
+
 import numpy as np
 import pytest
 
@@ -53,10 +55,25 @@ def test_all_embeddings_against_all_cosines(spark, piece_rows):
     table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     rows = [(r.vec_id, list(r.embedding)) for r in table.collect()]
     want = sorted(brute(rows), key=repr)
-    assert sum(n for _, n, _, _ in want) > 0
     assert got(near_vectors(table, piece_rows=piece_rows)) == want
 
 
+def test_recall_and_groups_on_many_links(spark):
+    folder = "/root/testdata/check_s"
+    if not os.path.isdir(folder):
+        pytest.skip("these tables are absent")
+    table = spark.read.parquet(f"{folder}/embeddings.parquet")
+    frame = table.toPandas().sort_values("vec_id")
+    x = unit(np.stack(frame.embedding).astype(float))
+    links = np.zeros(len(x), dtype=int)
+    for s in range(0, len(x), 1000):
+        links[s : s + 1000] = (x[s : s + 1000] @ x.T >= 0.95).sum(axis=1) - 1
+    mine = near_vectors(table).toPandas().sort_values("vec_id")
+    assert links.sum() > 10_000
+    assert (mine.n_links.to_numpy() <= links).all() and mine.n_links.sum() >= 0.99 * links.sum()
+    assert ((mine.component_id == mine.vec_id) == mine.kept).all() and (mine.kept | (links > 0)).all()
+
+
 def test_odd_vectors_and_large_groups(spark):
     rng = np.random.default_rng(2)
     base = rng.standard_normal(8)
