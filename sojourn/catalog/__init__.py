@@ -20,6 +20,7 @@ MODULES = (
     "scalars",
     "splits",
     "models",
+    "sinks",
 )
 
 

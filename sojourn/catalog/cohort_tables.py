@@ -192,7 +192,7 @@ def vulnerable_profiles(spark: SparkSession, folder: str) -> DataFrame:
 @registry.query(
     f"""with {_VULNERABLE_SQL} select 'animal_profiles' as section, profile_label as item, 'vulnerability_score' as metric,
 round(vulnerability_score, 6) as value,
-records::VARCHAR || ' records; observed adoption rate ' || printf('%.1f', adoption_rate_pct) || '%; label ' || visibility_need || '.' as interpretation
+records, round(adoption_rate_pct, 6) as adoption_rate_pct, visibility_need
 from vul order by vulnerability_score desc, records desc, profile_label limit 5"""
 )
 def risk_evidence(spark: SparkSession, folder: str) -> DataFrame:

@@ -7,6 +7,8 @@ are the full-size ones.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,7 +41,7 @@ SMALL_BOOST = {"maxIter": 6, "maxDepth": 3}
 
 
 def _subsets():
-    return {"combined": F.lit(True), "open": F.col("l_linestatus") == "O"}
+    return {"combined": F.lit(True), "open": F.col("l_linestatus") == "O", "finished": F.col("l_linestatus") == "F"}
 
 
 def model_rows(spark: SparkSession, folder: str) -> DataFrame:
@@ -74,10 +76,10 @@ def baseline_models(spark: SparkSession, folder: str) -> DataFrame:
 
 @registry.query()
 def regression_models(spark: SparkSession, folder: str) -> DataFrame:
-    models = [tr.dummy_regressor(), tr.ridge(maxIter=15), tr.forest_regressor(**SMALL_TREES)]
+    models = [tr.dummy_regressor(), tr.ridge(maxIter=15), tr.forest_regressor(**SMALL_TREES), tr.boosting_regressor(**SMALL_BOOST)]
     return rounded(
         tr.train_models(
-            split_rows(spark, folder), DAYS, models, {"combined": F.lit(True)}, task=tr.REGRESSION, winsor=(0.01, 0.99)
+            split_rows(spark, folder), DAYS, models, _subsets(), task=tr.REGRESSION, winsor=(0.01, 0.99)
         )[0]
     )
 
@@ -86,7 +88,7 @@ def regression_models(spark: SparkSession, folder: str) -> DataFrame:
 def boosting_models(spark: SparkSession, folder: str) -> DataFrame:
     models = [tr.boosting_classifier(**SMALL_BOOST), tr.target_boosting_classifier(**SMALL_BOOST)]
     return rounded(
-        tr.train_models(split_rows(spark, folder), FEATURES, models, {"combined": F.lit(True)}, task=tr.CLASSIFICATION)[0]
+        tr.train_models(split_rows(spark, folder), FEATURES, models, _subsets(), task=tr.CLASSIFICATION)[0]
     )
 
 
@@ -95,7 +97,7 @@ def adopted_regression(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(
         tr.adopted_regression(
             split_rows(spark, folder), DAYS, tr.target_boosting_regressor(**SMALL_BOOST), adopted="label",
-            subsets={"combined": F.lit(True)},
+            subsets=_subsets(),
         )
     )
 
@@ -108,8 +110,8 @@ def _fitted_forest(rows: DataFrame) -> tr.Fitted:
 def calibrated_models(spark: SparkSession, folder: str) -> DataFrame:
     """A balanced forest before and after both calibrations, fitted on the calibration year only."""
     rows = split_rows(spark, folder)
-    subsets = {"combined": F.lit(True)}
-    return rounded(cal.calibrated_reports(rows, {"combined": _fitted_forest(rows)}, subsets, label="label"))
+    subsets = _subsets()
+    return rounded(cal.calibrated_reports(rows, {n: _fitted_forest(rows.filter(c)) for n, c in subsets.items()}, subsets, label="label"))
 
 
 @registry.query(
@@ -143,9 +145,23 @@ def parameter_search(spark: SparkSession, folder: str) -> DataFrame:
     rows = split_rows(spark, folder).filter(F.col("split") == "train").withColumn(
         "_tie", F.xxhash64(*KEY)
     )
-    draws = ex.draw_params({"maxDepth": (2, 5), "stepSize": (0.05, 0.3, "log")}, 2)
-    spec = tr.boosting_classifier(maxIter=4)
-    return rounded(ex.search(rows, FEATURES, spec, draws, ts="o_orderdate", tie="_tie", k=2))
+    return rounded(reduce(DataFrame.unionByName, [_study(rows, *study) for study in STUDIES]))
+
+
+# name, model, label, space: one search each
+STUDIES = (
+    ("boosting", tr.boosting_classifier(maxIter=4), "label", {"maxDepth": (2, 4), "stepSize": (0.05, 0.3, "log")}),
+    ("forest", tr.forest_classifier(numTrees=6), "label", {"maxDepth": (2, 5), "minInstancesPerNode": (5, 50)}),
+    ("boosting_days", tr.boosting_regressor(maxIter=4), "days", {"maxDepth": (2, 4), "stepSize": (0.05, 0.3, "log")}),
+    ("forest_days", tr.forest_regressor(numTrees=6), "days", {"maxDepth": (2, 5), "minInstancesPerNode": (5, 50)}),
+)
+TRIALS, FOLDS = 3, 3
+
+
+def _study(rows: DataFrame, name: str, spec: tr.Model, label: str, space: dict) -> DataFrame:
+    found = ex.search(rows, FEATURES.with_label(label), spec, ex.draw_params(space, TRIALS), ts="o_orderdate", tie="_tie", k=FOLDS)
+    best = ex.best_params(found, spec.task).select("trial", F.lit(True).alias("is_best"))
+    return found.join(best, "trial", "left").withColumns({"study": F.lit(name), "is_best": F.coalesce("is_best", F.lit(False))})
 
 
 @registry.query()
@@ -153,18 +169,18 @@ def backtest_runs(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(
         ex.backtest(
             model_rows(spark, folder), FEATURES, [tr.forest_classifier(**SMALL_TREES)], year="yr", subset="l_linestatus",
-            cluster="o_custkey", test_years=[1995, 1998, 2000], first_year=1995, replicates=10,
+            cluster="o_custkey", first_year=1995, replicates=50,
         )
     )
 
 
 @registry.query()
 def recency_runs(spark: SparkSession, folder: str) -> DataFrame:
-    strategies = [s for s in sp.recency_strategies(2001, first_year=1995, gap=2) if s.name != "recent_5yr"]
+    strategies = sp.recency_strategies(2001, first_year=1995, gap=1)
     return rounded(
         ex.recency_comparison(
-            model_rows(spark, folder), FEATURES, tr.logistic(maxIter=10), tr.ridge(maxIter=10), strategies, {"combined": F.lit(True)},
-            days="days", year="yr", test_years=(2001, 2001), cluster="o_custkey", replicates=10,
+            model_rows(spark, folder), FEATURES, tr.logistic(maxIter=10), tr.ridge(maxIter=10), strategies, _subsets(),
+            days="days", year="yr", test_years=(2001, 2001), cluster="o_custkey", replicates=50,
         )
     )
 
@@ -178,7 +194,7 @@ def family_ablation(spark: SparkSession, folder: str) -> DataFrame:
     }
     return rounded(
         ex.family_ablation(
-            split_rows(spark, folder), FEATURES, tr.logistic(maxIter=8), families, {"combined": F.lit(True)},
+            split_rows(spark, folder), FEATURES, tr.logistic(maxIter=8), families, _subsets(),
             context="intake_context", appearance="appearance", age="age",
         )
     )
@@ -220,7 +236,7 @@ def tree_importances(spark: SparkSession, folder: str) -> DataFrame:
 def permutation_importance(spark: SparkSession, folder: str) -> DataFrame:
     rows = split_rows(spark, folder)
     validation = rows.filter(F.col("split").isin("calibration", "selection"))
-    return rounded(explain.permutation_importance(_fitted_forest(rows), validation, repeats=2, max_rows=3000))
+    return rounded(explain.permutation_importance(_fitted_forest(rows), validation, repeats=2))
 
 
 @registry.query()

@@ -324,7 +324,7 @@ def feature_keyword_filter(spark: SparkSession, folder: str) -> DataFrame:
 
 @registry.query(
     f"""with {_IMP_SQL}, t as (select 'classification: ' || family as item, sum(importance) as v from fam group by 1)
-select 'interpretability' as section, item, 'mean_abs_shap' as metric, round(v, 4) as value, 'Feature-family contribution is associated with model prediction, not a causal effect.' as interpretation from t order by v desc, item limit 5"""
+select 'interpretability' as section, item, 'sum_importance' as metric, round(v, 4) as value from t order by v desc, item limit 5"""
 )
 def family_evidence(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(im.family_evidence(im.family_totals(_importances(spark, folder), "importance"), "classification", "sum_importance"), 4)

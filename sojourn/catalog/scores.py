@@ -10,6 +10,7 @@ from sojourn.catalog.tables import SCORED_SQL, rounded, scored
 from sojourn.operators import bootstrap as bs
 from sojourn.operators import metrics as mx
 from sojourn.operators.cohorts import nearest_row, slice_view
+from sojourn.operators.skew import exact_quantiles
 from sojourn.sources.tables import read_table
 
 registry = Registry()
@@ -260,6 +261,47 @@ def calibration_bins(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(mx.calibration_table(scored(spark, folder), [], label="label", score="score"))
 
 
+_ODD_SCORES_SQL = f"""{SCORED_SQL},
+odd as (select * replace (case predicted_days when 70 then null when 80 then -0.25 when 90 then 1.5 when 100 then 'inf'::DOUBLE when 110 then 'nan'::DOUBLE else score end as score) from scored)"""
+
+
+def _odd_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Scored lines, some of them with a missing, infinite or out-of-range score."""
+    days = F.col("predicted_days")
+    value = F.when(days == 70, None).when(days == 80, -0.25).when(days == 90, 1.5).when(days == 100, float("inf"))
+    return scored(spark, folder).withColumn("score", value.when(days == 110, float("nan")).otherwise(F.col("score")))
+
+
+@registry.query(
+    f"""with {_ODD_SCORES_SQL}, b as (select greatest(ceil(round(score * 10, 9)), 1)::INTEGER as bin, count(label)::BIGINT as n, avg(score) as p, avg(label) as y
+  from odd where score between 0 and 1 group by 1)
+select g.bin::INTEGER as bin, coalesce(n, 0) as records, round(p, 6) as mean_predicted_probability, round(y, 6) as observed_adoption_rate
+from (select unnest(range(1, 11)) as bin) g left join b using (bin)"""
+)
+def calibration_bins_odd_scores(spark: SparkSession, folder: str) -> DataFrame:
+    table = mx.calibration_table(_odd_scores(spark, folder), [], label="label", score="score")
+    return rounded(table.select("bin", "records", "mean_predicted_probability", "observed_adoption_rate"))
+
+
+@registry.query(
+    f"""with {_ODD_SCORES_SQL}, k as (select * from odd where score is not null and not isnan(score) and not isinf(score))
+select o_orderpriority, count(*)::BIGINT as records, round(avg((score - label) * (score - label)), 6) as brier_score from k group by 1"""
+)
+def brier_odd_scores(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _odd_scores(spark, folder).filter("score is null or isnan(score) or abs(score) < double('inf')")
+    errors = mx.calibration_errors(rows, ["o_orderpriority"], label="label", score="score")
+    sizes = rows.filter(mx.known_score("label", "score")).groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("records"))
+    return rounded(errors.join(sizes, "o_orderpriority").select("o_orderpriority", "records", "brier_score"))
+
+
+@registry.query(
+    f"""with {_ODD_SCORES_SQL} select ship_year, quantile_cont(score, 0.5) as middle, quantile_cont(score, 0.99) as top
+from odd where score is not null and not isnan(score) group by 1"""
+)
+def quantiles_odd_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return exact_quantiles(_odd_scores(spark, folder), ["ship_year"], "score", {"middle": 0.5, "top": 0.99})
+
+
 _RELIABILITY_SQL = f"""{SCORED_SQL}, rel as (
 """ + " union all ".join(
     f"""select '{c}' as cohort, {c}::VARCHAR as value, count(*)::BIGINT as records, count(*) < 9000 as small_cohort_flag,
@@ -292,14 +334,10 @@ def cohort_reliability(spark: SparkSession, folder: str) -> DataFrame:
 {_r6('observed_adoption_rate', 'mean_predicted_adoption_probability', 'calibration_gap', 'false_positive_rate', 'false_negative_rate')},
 round(mean_predicted_adoption_probability, 6) as mean_predicted_probability, round(mae, 6) as regression_mae,
 case when small_cohort_flag or calibration_gap >= 0.15 then 'high' when calibration_gap >= 0.08 then 'medium' else 'low' end as risk_level,
-coalesce(nullif(concat_ws(' ', case when small_cohort_flag then 'Small cohort (n=' || records || '); estimates unreliable.' end,
- case when not small_cohort_flag and calibration_gap >= 0.15 then 'Model ' || case when mean_predicted_adoption_probability > observed_adoption_rate then 'overestimates' else 'underestimates' end
-  || ' adoption likelihood for ' || cohort || '=' || value || ' (gap=' || printf('%.2f', calibration_gap) || ', observed=' || printf('%.2f', observed_adoption_rate)
-  || ', predicted=' || printf('%.2f', mean_predicted_adoption_probability) || ').'
-  when calibration_gap >= 0.08 then 'Moderate calibration gap (' || printf('%.2f', calibration_gap) || ') for ' || cohort || '=' || value || '.' end,
- case when false_positive_rate >= 0.15 then 'High false-positive rate (' || printf('%.2f', false_positive_rate) || ').' end,
- case when false_negative_rate >= 0.2 then 'High false-negative rate (' || printf('%.2f', false_negative_rate) || ').' end), ''), 'Within acceptable calibration range.') as interpretation
-from reliability"""
+concat_ws(',', case when small_cohort_flag then 'few_records' end,
+ case when not small_cohort_flag and calibration_gap >= 0.15 then 'gap_large_' || side when calibration_gap >= 0.08 then 'gap_medium_' || side end,
+ case when false_positive_rate >= 0.15 then 'false_positives' end, case when false_negative_rate >= 0.2 then 'false_negatives' end) as cautions
+from (select *, case when mean_predicted_adoption_probability > observed_adoption_rate then 'over' else 'under' end as side from reliability)"""
 )
 def red_flags(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(mx.red_flags(_reliability(spark, folder)))
@@ -322,10 +360,10 @@ def calibration_summary(spark: SparkSession, folder: str) -> DataFrame:
     f"""with {_RELIABILITY_SQL}, f as (
 """
     + " union all ".join(
-        f"select '{mode}' as failure_mode, '{metric}' as metric, {metric} as value_score, '{text}' as interpretation, cohort, value, records from reliability where not small_cohort_flag"
-        for mode, metric, text in mx.FAILURE_MODES
+        f"select '{mode}' as failure_mode, '{metric}' as metric, {metric} as value_score, cohort, value, records from reliability where not small_cohort_flag"
+        for mode, metric in mx.FAILURE_MODES
     )
-    + """) select failure_mode, metric, round(value_score, 6) as value_score, interpretation, cohort, value, records from f
+    + """) select failure_mode, metric, round(value_score, 6) as value_score, cohort, value, records from f
 qualify row_number() over (partition by failure_mode order by value_score desc nulls last, cohort, value) <= 3"""
 )
 def failure_modes(spark: SparkSession, folder: str) -> DataFrame:
@@ -443,9 +481,9 @@ _STACKED_CELLS = " union all ".join(
     f"""with {SCORED_SQL}, {_bootstrap_sql(_STACKED_CELLS, "cohort, value")},
 n as (select 'l_linestatus' as cohort, l_linestatus as value, count(*)::BIGINT as records from scored group by 2
       union all select 'ship_year', ship_year::VARCHAR, count(*)::BIGINT from scored group by 2)
-select cohort, value, metric, records, lower, estimate, upper, bootstrap_samples, 'ok' as status, 'metric bootstrap completed' as interpretation_status
+select cohort, value, metric, records, lower, estimate, upper, bootstrap_samples, 'ok' as status
 from ci join n using (cohort, value) where records >= 8000
-union all select cohort, value, 'all', records, null, null, null, 0, 'small_cohort', 'cohort below minimum records threshold' from n where records < 8000"""
+union all select cohort, value, 'all', records, null, null, null, 0, 'small_cohort' from n where records < 8000"""
 )
 def subgroup_intervals(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(
@@ -457,11 +495,11 @@ def subgroup_intervals(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @registry.query(
-    f"""with {SCORED_SQL}, {_bootstrap_sql(f"select 1 as one, concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey) as cluster, score, {_CELL_SUMS} from scored group by all", "one").replace(f"range(0, {REPLICATES})", "range(0, 10)")}
+    f"""with {SCORED_SQL}, {_bootstrap_sql(f"select 1 as one, concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey) as cluster, score, {_CELL_SUMS} from scored group by all", "one")}
 select metric, 'combined' as animal_subset, lower, estimate, upper, bootstrap_samples, metric = 'pr_auc' as pr_auc_first from ci"""
 )
 def bootstrap_intervals_by_row(spark: SparkSession, folder: str) -> DataFrame:
     key = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
     return rounded(
-        bs.row_bootstrap_intervals(scored(spark, folder), key, replicates=10, absolute_error="absolute_error", **_COLS)
+        bs.row_bootstrap_intervals(scored(spark, folder), key, replicates=REPLICATES, absolute_error="absolute_error", **_COLS)
     )

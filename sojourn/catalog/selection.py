@@ -130,23 +130,22 @@ rf as (select animal_subset, max(roc_auc) as forest from metric_rows where metri
 
 @registry.query(
     f"""with {_WINNERS_SQL} select w.model_name, w.feature_set, w.animal_subset, true as selected, round(w.pr_auc, 6) as pr_auc,
-printf('Selected on 2023 validation: highest PR-AUC (%.4f), best calibration (Brier: %.4f, ECE: %.4f), and ROC-AUC (%.4f). Outperforms simpler baselines by %.4f ROC-AUC over random forest. Interpretability supported via SHAP and permutation importance.',
- w.pr_auc, w.brier_score, w.expected_calibration_error, w.roc_auc, w.roc_auc - rf.forest) as selection_reason
+printf('pr_auc %.4f, brier_score %.4f, expected_calibration_error %.4f, roc_auc %.4f', w.pr_auc, w.brier_score, w.expected_calibration_error, w.roc_auc) as criteria,
+round(w.roc_auc - rf.forest, 6) as gain_over_baseline
 from win w join rf using (animal_subset)"""
 )
 def best_classifiers(spark: SparkSession, folder: str) -> DataFrame:
-    winners = sel.select_winners(metric_rows(spark, folder), classification=True)
-    return rounded(winners.select("model_name", "feature_set", "animal_subset", "selected", "pr_auc", "selection_reason"))
+    winners = sel.select_winners(metric_rows(spark, folder), classification=True, baseline="random_forest")
+    return rounded(winners.select("model_name", "feature_set", "animal_subset", "selected", "pr_auc", "criteria", "gain_over_baseline"))
 
 
 @registry.query(
     f"""with {_REG_SQL}, w as (select * from regm where metric_split = 'selection' qualify row_number() over (partition by animal_subset order by mae, model_name) = 1)
-select model_name, animal_subset, round(mae, 6) as mae, printf('Selected by lowest validation MAE (%.2f days). Median absolute error (%.2f days) confirms robustness against long-stay outliers. RMSE (%.2f) indicates sensitivity to tail errors but MAE is the primary criterion.',
-mae, median_absolute_error, rmse) as selection_reason from w"""
+select model_name, animal_subset, round(mae, 6) as mae, printf('mae %.4f', mae) as criteria from w"""
 )
 def best_regressors(spark: SparkSession, folder: str) -> DataFrame:
     winners = sel.select_winners(regression_rows(spark, folder), classification=False)
-    return rounded(winners.select("model_name", "animal_subset", "mae", "selection_reason"))
+    return rounded(winners.select("model_name", "animal_subset", "mae", "criteria"))
 
 
 @registry.query(
@@ -200,10 +199,8 @@ def overview_model(spark: SparkSession, folder: str) -> DataFrame:
     f"""with {_METRICS_SQL}, c as (select * from metric_rows where metric_split = 'test' qualify row_number() over (partition by animal_subset order by pr_auc desc, roc_auc desc, model_name) = 1),
 {_REG_SQL[_REG_SQL.index('reg as'):]},
 r as (select * from regm where metric_split = 'test' qualify row_number() over (partition by animal_subset order by mae, model_name) = 1)
-select 'model_choice' as section, animal_subset || ' classification' as item, 'pr_auc' as metric, round(pr_auc, 6) as value, model_name || ' prioritizes PR-AUC for ' || animal_subset ||
-'; PR-AUC is primary for imbalanced adoption outcomes. Compare ROC-AUC, calibration, and cohort thresholds before using a decision threshold.' as interpretation from c
-union all select 'model_choice', animal_subset || ' classification', 'pr_auc', round(pr_auc, 6), 'PR-AUC summarizes adoption-positive precision/recall behavior across thresholds.' from c
-union all select 'model_choice', animal_subset || ' regression', 'mae', round(mae, 6), model_name || ' has the lowest average absolute days-to-outcome error for ' || animal_subset || '.' from r"""
+select 'model_choice' as section, animal_subset || ' classification' as item, model_name, 'pr_auc' as metric, round(pr_auc, 6) as value from c
+union all select 'model_choice', animal_subset || ' regression', model_name, 'mae', round(mae, 6) from r"""
 )
 def model_evidence(spark: SparkSession, folder: str) -> DataFrame:
     cls = metric_rows(spark, folder).filter(F.col("metric_split") == "test")

@@ -82,7 +82,7 @@ def expanding_folds(spark: SparkSession, folder: str) -> DataFrame:
 
 @registry.query(
     f"""with {_ORDERS_SQL}, y as (select o_orderstatus, yr, count(*) as n from o group by all), b as (select o_orderstatus, min(yr) as f, sum(n)::BIGINT as e from y group by 1),
-w as (select b.*, t from b cross join (select unnest([1994, 1995, 1996, 1999, 2001]) as t)), s as (select *, case when greatest(f, 1995) > t - 1 then f else greatest(f, 1995) end as start from w),
+w as (select b.*, t from b cross join (select distinct yr as t from o)), s as (select *, case when greatest(f, 1995) > t - 1 then f else greatest(f, 1995) end as start from w),
 c as (select s.o_orderstatus, t as test_year, start as train_start_year, e as eligible_target_count, coalesce(sum(n) filter (where yr between start and t - 1), 0)::BIGINT as train_rows, coalesce(sum(n) filter (where yr = t), 0)::BIGINT as test_rows
 from s join y on y.o_orderstatus = s.o_orderstatus group by all)
 select *, test_year - 1 as train_end_year, train_start_year || '-' || (test_year - 1) as train_years,
@@ -91,16 +91,16 @@ case when train_rows < 10 or test_rows < 10 then 'SKIPPED' else 'READY' end as s
 )
 def backtest_windows(spark: SparkSession, folder: str) -> DataFrame:
     return sp.backtest_windows(
-        _orders(spark, folder), year="yr", target="label", subset="o_orderstatus", test_years=[1994, 1995, 1996, 1999, 2001], first_year=1995
+        _orders(spark, folder), year="yr", target="label", subset="o_orderstatus", first_year=1995
     )
 
 
 @registry.query(
-    f"""with {_ORDERS_SQL}, s as (select * from (values ('full_history', 1995, 1999, false), ('recent_5yr', 1995, 1999, false), ('recent_3yr', 1997, 1999, false), ('recency_weighted', 1995, 1999, true)) t(strategy, a, b, w))
+    f"""with {_ORDERS_SQL}, s as (select * from (values ('full_history', 1995, 2000, false), ('recent_5yr', 1996, 2000, false), ('recent_3yr', 1998, 2000, false), ('recency_weighted', 1995, 2000, true)) t(strategy, a, b, w))
 select strategy, yr, count(*)::BIGINT as rows, round(sum(case when w then least(greatest(1 + 0.5::DOUBLE * (yr - a) / (b - a), 1), 1.5) else 1 end), 6) as total_weight from o join s on yr between a and b group by 1, 2"""
 )
 def recency_strategies(spark: SparkSession, folder: str) -> DataFrame:
-    strategies = sp.recency_strategies(2001, first_year=1995, gap=2)
+    strategies = sp.recency_strategies(2001, first_year=1995, gap=1)
     tagged = sp.strategy_rows(_orders(spark, folder), strategies, year="yr")
     return rounded(tagged.groupBy("strategy", "yr").agg(F.count(F.lit(1)).alias("rows"), F.sum("weight").alias("total_weight")))
 

@@ -115,11 +115,3 @@ def age_aliases(days: Column, per_month: float = 30.0, per_year: float = 365.0)
         "age_in_months": months,
         "age_in_years": years,
     }
-
-
-def first_of(rows: DataFrame, candidates: Sequence[str]) -> Column:
-    """The first candidate column that exists."""
-    for c in candidates:
-        if c in rows.columns:
-            return F.col(c)
-    raise ValueError(f"none of the columns {list(candidates)} exists")

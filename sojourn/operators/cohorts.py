@@ -464,12 +464,7 @@ def risk_evidence(profiles: DataFrame, top: int = 5) -> DataFrame:
         F.col("profile_label").alias("item"),
         F.lit("vulnerability_score").alias("metric"),
         F.col("vulnerability_score").alias("value"),
-        F.concat(
-            F.col("records").cast("string"),
-            F.lit(" records; observed adoption rate "),
-            F.format_string("%.1f", F.col("adoption_rate_pct")),
-            F.lit("%; label "),
-            F.col("visibility_need"),
-            F.lit("."),
-        ).alias("interpretation"),
+        "records",
+        "adoption_rate_pct",
+        "visibility_need",
     )

@@ -36,15 +36,6 @@ class Episodes:
     unresolved: DataFrame
 
 
-def keep_first(rows: DataFrame, keys: Sequence[str], tie_break: Sequence[str] = ()) -> DataFrame:
-    """One row per key: the smallest by ``tie_break``, then by the other columns."""
-    rest = [c for c in rows.columns if c not in keys]
-    ordered = [*tie_break, *[c for c in rest if c not in tie_break]]
-    if not ordered:
-        return rows.dropDuplicates(list(keys))
-    picked = rows.groupBy(*keys).agg(F.min(F.struct(*ordered)).alias("_first"))
-    return picked.select(*keys, *[F.col(f"_first.{c}").alias(c) for c in rest])
-
 
 def censoring_reason(
     end_type: Column,

@@ -136,9 +136,8 @@ def family_evidence(families: DataFrame, task: str, score: str, top: int = 5) ->
     return families.orderBy(F.desc(score), "family").limit(top).select(
         F.lit("interpretability").alias("section"),
         F.concat(F.lit(f"{task}: "), F.col("family")).alias("item"),
-        F.lit("mean_abs_shap").alias("metric"),
+        F.lit(score).alias("metric"),
         F.col(score).alias("value"),
-        F.lit("Feature-family contribution is associated with model prediction, not a causal effect.").alias("interpretation"),
     )
 
 

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sojourn.functions.labels import reliability_note, risk_level, risk_quadrant
+from sojourn.functions.labels import caution_codes, risk_level, risk_quadrant
 from sojourn.operators.cohorts import grouped
 from sojourn.operators.ranking import first_per_group
 from sojourn.operators.skew import exact_quantiles, null_safe_join, running_totals, stack_dimensions, stacked_sums
@@ -31,13 +31,18 @@ def f1_of(tp: Column, fp: Column, fn: Column) -> Column:
     return ratio(2.0 * tp, 2 * tp + fp + fn)
 
 
+def known_score(label: str, score: str) -> Column:
+    """Neither label nor score is missing; NaN counts as missing."""
+    return F.col(label).isNotNull() & F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double"))
+
+
 def score_counts(
     scored: DataFrame, keys: Sequence[str], *, label: str, score: str, weight: Column | None = None
 ) -> DataFrame:
     """Positives and negatives per distinct score."""
     one = F.lit(1).cast("bigint") if weight is None else weight
     zero = F.lit(0).cast("bigint")
-    return scored.filter(F.col(label).isNotNull() & F.col(score).isNotNull()).groupBy(
+    return scored.filter(known_score(label, score)).groupBy(
         *keys, F.col(score).cast("double").alias("score")
     ).agg(
         F.sum(F.when(F.col(label) == 1, one).otherwise(zero)).alias("pos"),
@@ -136,10 +141,11 @@ def probability_bin(score: Column, bins: int = 10) -> Column:
 
 
 def calibration_errors(scored: DataFrame, keys: Sequence[str], *, label: str, score: str, bins: int = 10) -> DataFrame:
-    """Brier score and expected calibration error per group."""
+    """Brier score and expected calibration error per group, over the rows that have label and score."""
     y, p = F.col(label).cast("double"), F.col(score)
     per_bin = (
-        scored.withColumn("_bin", probability_bin(p, bins))
+        scored.filter(known_score(label, score))
+        .withColumn("_bin", probability_bin(p, bins))
         .groupBy(*keys, "_bin")
         .agg(
             F.count(F.lit(1)).alias("_n"),
@@ -393,7 +399,11 @@ def frozen_thresholds(selection: DataFrame, test: DataFrame, *, label: str, scor
 
 
 def calibration_table(scored: DataFrame, keys: Sequence[str], *, label: str, score: str, bins: int = 10) -> DataFrame:
-    """Fixed right-closed probability bins, the lowest edge included, empty bins listed."""
+    """Fixed right-closed probability bins, the lowest edge included, empty bins listed.
+
+    Scores that are missing or outside 0 to 1 are in no bin.
+    """
+    scored = scored.filter(F.col(score).between(0, 1))
     number = F.greatest(F.ceil(F.round(F.col(score) * bins, 9)), F.lit(1)).cast("int")
     found = scored.groupBy(*keys, number.alias("bin")).agg(
         F.count(label).alias("records"),
@@ -464,7 +474,7 @@ def cohort_reliability(
 
 
 def red_flags(reliability: DataFrame) -> DataFrame:
-    """Reliability rows with a risk level and a note, under their reader-facing names."""
+    """Reliability rows with a risk level and codes for what calls for caution, under their reader-facing names."""
     c = {name: F.col(name) for name in reliability.columns}
     return reliability.select(
         "cohort",
@@ -481,17 +491,13 @@ def red_flags(reliability: DataFrame) -> DataFrame:
         c["mae"].alias("regression_mae"),
         "small_cohort_flag",
         risk_level(c["small_cohort_flag"], c["calibration_gap"]).alias("risk_level"),
-        reliability_note(
-            cohort=c["cohort"],
-            value=c["value"],
-            records=c["records"],
+        caution_codes(
             small=c["small_cohort_flag"],
             gap=c["calibration_gap"],
-            observed=c["observed_adoption_rate"],
-            predicted=c["mean_predicted_adoption_probability"],
+            over=c["mean_predicted_adoption_probability"] > c["observed_adoption_rate"],
             false_positive=c["false_positive_rate"],
             false_negative=c["false_negative_rate"],
-        ).alias("interpretation"),
+        ).alias("cautions"),
     ).orderBy(F.desc("calibration_gap"), "cohort", "value")
 
 
@@ -519,12 +525,12 @@ def calibration_summary(
     )
 
 
-# Failure modes, their metric and their reading.
+# Failure modes and their metric.
 FAILURE_MODES = (
-    ("calibration_gap", "calibration_gap", "Predicted probability differs from observed adoption rate."),
-    ("high_mae", "mae", "Days-to-outcome error is high for this cohort."),
-    ("false_negative_rate", "false_negative_rate", "Adopted animals are sometimes predicted below the default threshold."),
-    ("false_positive_rate", "false_positive_rate", "Non-adoption outcomes are sometimes predicted above the default threshold."),
+    ("calibration_gap", "calibration_gap"),
+    ("high_mae", "mae"),
+    ("false_negative_rate", "false_negative_rate"),
+    ("false_positive_rate", "false_positive_rate"),
 )
 
 
@@ -537,9 +543,8 @@ def failure_modes(reliability: DataFrame, top: int = 8) -> DataFrame:
                     F.lit(mode).alias("failure_mode"),
                     F.lit(metric).alias("metric"),
                     F.col(metric).alias("value_score"),
-                    F.lit(text).alias("interpretation"),
                 )
-                for mode, metric, text in FAILURE_MODES
+                for mode, metric in FAILURE_MODES
             ]
         )
     )

@@ -231,7 +231,3 @@ def require_no_unsafe(audit: DataFrame, columns: Sequence[str]) -> None:
     bad = [r["column"] for r in audit.filter(F.col("risk_level") == "unsafe").collect() if r["column"] in set(columns)]
     if bad:
         raise ValueError(f"unsafe columns: {sorted(bad)}")
-
-
-def drop_leakage_columns(rows: DataFrame, columns: Sequence[str] = tuple(SUSPICIOUS_WORDS)) -> DataFrame:
-    return rows.drop(*columns)

@@ -36,12 +36,14 @@ def value_slice(value: Column, resolution: int = 256) -> Column:
     tiny values get their own buckets without knowing the data's range.
     """
     size = F.abs(value.cast("double"))
-    exponent = F.floor(F.log2(size))
-    part = F.floor((size / F.pow(F.lit(2.0), exponent) - 1.0) * resolution)
+    plain = F.when(size < float("inf"), size)
+    exponent = F.floor(F.log2(plain))
+    part = F.floor((plain / F.pow(F.lit(2.0), exponent) - 1.0) * resolution)
     bucket = (exponent + 1100) * resolution + part
-    return (
-        F.when(value == 0, F.lit(0)).when(value > 0, bucket).otherwise(-bucket).cast("bigint")
-    )
+    last = F.lit(1 << 40)  # beyond every finite value's bucket
+    infinite = F.when(value > 0, last).otherwise(-last)
+    finite = F.when(value == 0, F.lit(0)).when(value > 0, bucket).otherwise(-bucket)
+    return F.when(size == float("inf"), infinite).otherwise(finite.cast("bigint"))
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -87,21 +89,20 @@ def running_totals(
     row per slice.
     """
     slice_by = value_slice(F.col(order)) if slice_by is None else slice_by
-    sliced = rows.withColumn("_slice", slice_by)
+    # a struct equals itself even where it holds null: windows and joins share one partitioning, with plain equality
+    sliced = rows.withColumns({"_slice": slice_by, "_group": F.struct(*keys) if keys else F.struct(F.lit(0).alias("_all"))})
     by_order = F.col(order).desc() if descending else F.col(order).asc()
     by_slice = F.col("_slice").desc() if descending else F.col("_slice").asc()
-    group = list(keys) if keys else [F.lit(0)]
-
-    inside = Window.partitionBy(*keys, "_slice").orderBy(by_order)
+    inside = Window.partitionBy("_group", "_slice").orderBy(by_order)
     inside = (inside.rangeBetween if with_ties else inside.rowsBetween)(Window.unboundedPreceding, -1)
-    earlier = Window.partitionBy(*group).orderBy(by_slice).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*group)
+    earlier = Window.partitionBy("_group").orderBy(by_slice).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("_group")
 
-    per_slice = sliced.groupBy(*keys, "_slice").agg(
+    per_slice = sliced.groupBy("_group", "_slice").agg(
         *[F.sum(source).alias(f"_t_{name}") for name, source in totals.items()]
     )
     carried = per_slice.select(
-        *keys,
+        "_group",
         "_slice",
         *[F.coalesce(F.sum(f"_t_{name}").over(earlier), F.lit(0)).alias(f"_c_{name}") for name in totals],
         *[F.sum(f"_t_{name}").over(whole).alias(f"{name}_all") for name in totals],
@@ -113,7 +114,7 @@ def running_totals(
             for name, source in totals.items()
         ],
     )
-    joined = null_safe_join(local, carried, [*keys, "_slice"])
+    joined = local.join(carried, ["_group", "_slice"])
     return joined.select(
         *rows.columns,
         *[(F.col(f"_l_{name}") + F.col(f"_c_{name}")).alias(f"{name}_before") for name in totals],
@@ -136,7 +137,7 @@ def exact_quantiles(
     """
     amount = F.count(F.lit(1)) if weight is None else F.sum(weight)
     counted = (
-        rows.filter(F.col(value).isNotNull())
+        rows.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
         .groupBy(*keys, F.col(value).cast("double").alias("_v"))
         .agg(amount.cast("bigint").alias("_n"))
     )
@@ -156,15 +157,21 @@ def exact_quantiles(
     return found.select(
         *keys,
         *[
-            (
-                F.col(f"_lo_{name}")
-                + (F.col(f"_hi_{name}") - F.col(f"_lo_{name}")) * F.col(f"_fr_{name}")
-            ).alias(name)
+            F.when((F.col(f"_lo_{name}") == F.col(f"_hi_{name}")) | (F.col(f"_fr_{name}") == 0), F.col(f"_lo_{name}"))
+            .otherwise(F.col(f"_lo_{name}") + (F.col(f"_hi_{name}") - F.col(f"_lo_{name}")) * F.col(f"_fr_{name}"))
+            .alias(name)
             for name in quantiles
         ],
     )
 
 
+def hash_positions(rows: DataFrame, keys: Sequence[str], number: Column, name: str) -> DataFrame:
+    """Adds ``name``: the place of a row in its group, from 0, by a 64-bit hash; spread evenly over 4096 slices."""
+    numbered = rows.withColumns({"_hash": number, "_one": F.lit(1).cast("bigint")})
+    placed = running_totals(numbered, keys, "_hash", {"_at": "_one"}, slice_by=F.shiftright(F.col("_hash"), 52))
+    return placed.withColumnRenamed("_at_before", name).drop("_hash", "_one", "_at_all")
+
+
 def stack_dimensions(rows: DataFrame, dims: Sequence[str], keep: Sequence[str]) -> DataFrame:
     """One row per (row, dimension) as ``variable``/``value`` plus the kept columns."""
     pairs = F.array(

@@ -147,21 +147,28 @@ def backtest_windows(
     year: str,
     target: str,
     subset: str,
-    test_years: Sequence[int],
+    test_years: Sequence[int] | None = None,
     first_year: int,
     min_rows: int = 10,
 ) -> DataFrame:
     """Training and test sizes for every subset and test year, with a reason where a run is skipped.
 
+    ``test_years`` defaults to every year of the data.
+
     Training years run from the subset's first year (not before ``first_year``) to the year before.
     """
     per_year = rows.filter(F.col(target).isNotNull()).groupBy(subset, F.col(year).alias("_y")).agg(
         F.count(F.lit(1)).alias("_n")
     )
-    tests = F.explode(F.array(*[F.lit(y) for y in test_years]))
     early = F.min("_y")
     bounds = per_year.groupBy(subset).agg(early.alias("_first"), F.sum("_n").alias("eligible_target_count"))
-    windows = bounds.select(subset, "_first", "eligible_target_count", tests.alias("test_year")).withColumn(
+    if test_years is None:
+        # one row that lists the years
+        years = per_year.agg(F.collect_set("_y").alias("_years")).withColumn("_k", F.lit(0))
+        bounds = bounds.withColumn("_k", F.lit(0)).join(F.broadcast(years), "_k")
+    else:
+        bounds = bounds.withColumn("_years", F.array(*[F.lit(y) for y in test_years]))
+    windows = bounds.select(subset, "_first", "eligible_target_count", F.explode("_years").alias("test_year")).withColumn(
         "_start", F.greatest("_first", F.lit(first_year))
     ).withColumn(
         "train_start_year", F.when(F.col("_start") > F.col("test_year") - 1, F.col("_first")).otherwise(F.col("_start"))

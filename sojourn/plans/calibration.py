@@ -35,15 +35,15 @@ class Calibrator:
         return out.select(*scored.columns, F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0)).alias(output))
 
 
-def calibrate(scored: DataFrame, *, label: str, method: str = "isotonic", digits: int = 4) -> Calibrator:
+def calibrate(scored: DataFrame, *, label: str, method: str = "isotonic") -> Calibrator:
     """Isotonic or sigmoid map from score to observed rate.
 
-    Isotonic regression depends on the count and mean label per score only. Scores are grouped to
-    ``digits`` decimals first, so its final merge sees at most 10 ** digits + 1 weighted points.
+    Isotonic regression depends on the count and mean label per score only, so it sees one weighted
+    point for each distinct score.
     """
     method = "sigmoid" if method in ("sigmoid", "platt") else "isotonic"
     if method == "isotonic":
-        points = scored.groupBy(F.round("score", digits).alias("score")).agg(
+        points = scored.groupBy("score").agg(
             F.avg(F.col(label).cast("double")).alias("label"), F.count(F.lit(1)).cast("double").alias("weight")
         )
         rows = VectorAssembler(inputCols=["score"], outputCol="_v").transform(points)

@@ -49,17 +49,22 @@ INTAKE_COLUMNS = (
 OUTCOME_COLUMNS = (
     "animal_id", "outcome_datetime", "outcome_type", "outcome_subtype", "sex_upon_outcome", "age_upon_outcome",
 )
-FEATURE_COLUMNS = (
+# Features known at the start, context features, and targets.
+BASE_COLUMNS = (
     "animal_type", "intake_type", "intake_condition", "sex_upon_intake", "age_days", "age_group", "primary_breed",
     "is_mixed_breed", "simplified_breed_group", "found_location_kind", "found_location_area", "is_austin_found_location",
     "is_outside_jurisdiction", "is_intersection_location", "is_address_like_location", "is_airport_location",
-    "primary_color", "simplified_color_group", "is_black_or_dark", "has_name", "is_named", "intake_year", "intake_month",
-    "intake_quarter", "intake_season", "covid_period", "daily_temp_max", "daily_temp_min", "daily_precipitation",
-    "is_extreme_heat", "is_rainy_day", "animal_311_requests_7d", "animal_311_requests_30d", "intake_volume_7d",
-    "intake_volume_30d",
+    "primary_color", "simplified_color_group", "is_black_or_dark", "is_named", "intake_year", "intake_month", "covid_period",
+)
+CONTEXT_COLUMNS = (
+    "daily_temp_max", "daily_temp_min", "daily_precipitation", "is_extreme_heat", "is_rainy_day",
+    "animal_311_requests_7d", "animal_311_requests_30d", "intake_volume_7d", "intake_volume_30d",
+)
+FEATURE_COLUMNS = BASE_COLUMNS + CONTEXT_COLUMNS
+TARGET_COLUMNS = (
+    "adopted", "is_adopted", "target_adopted", "classification_target", "regression_target_days", "days_to_outcome",
+    "days_to_adoption", "length_of_stay",
 )
-CONTEXT_COLUMNS = FEATURE_COLUMNS[26:]
-TARGET_COLUMNS = ("classification_target", "regression_target_days", "days_to_adoption")
 FALSE_DEFAULTS = {c: False for c, kind in DATASET_SCHEMA.items() if kind == "boolean"}
 DEFAULTS = {**FALSE_DEFAULTS, "target_adopted": 0, "classification_target": 0}
 
@@ -184,17 +189,17 @@ def write_dataset(
     write_table(episodes, f"{folder}/episodes", partition_by=["intake_year"])
     write_table(stored.filter(~F.col("is_matched")), f"{folder}/unresolved")
 
-    features = contracts.start_features(columns, FEATURE_COLUMNS)
-    write_registry(
-        spark,
-        f"{folder}/columns",
-        {
-            "feature_columns": features,
-            "target_columns": [c for c in TARGET_COLUMNS if c in columns],
-            "context_columns": [c for c in CONTEXT_COLUMNS if c in columns],
-            "horizon_target_columns": [f"adopted_in_{h}d" for h in horizons],
-        },
-    )
+    write_registry(spark, f"{folder}/columns", column_lists(columns, horizons))
+
+
+def column_lists(columns: Sequence[str], horizons: Sequence[int] = (7, 30, 60, 90)) -> dict[str, list[str]]:
+    """The features, targets and context columns that a table has, and its horizon labels."""
+    return {
+        "feature_columns": contracts.start_features(columns, FEATURE_COLUMNS),
+        "target_columns": [c for c in TARGET_COLUMNS if c in columns],
+        "context_columns": [c for c in CONTEXT_COLUMNS if c in columns],
+        "horizon_target_columns": [f"adopted_in_{h}d" for h in horizons],
+    }
 
 
 def example_records(events: DataFrame) -> tuple[DataFrame, DataFrame]:

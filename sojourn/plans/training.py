@@ -7,16 +7,17 @@ metric comes from one job over it.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexerModel, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
@@ -135,9 +136,15 @@ class Preparation:
     means: Mapping[str, DataFrame]
     folds: Mapping[str, DataFrame]
     pipeline: PipelineModel
+    medians: Mapping[str, float] = field(default_factory=dict)
 
     def apply(self, rows: DataFrame, training: bool = False) -> DataFrame:
-        return self.pipeline.transform(self.encode(rows, training))
+        return self.pipeline.transform(self.fill(self.encode(rows, training)))
+
+    def fill(self, rows: DataFrame) -> DataFrame:
+        """Numbers with their training median where they are missing or NaN."""
+        known = {c: F.when(~F.isnan(c), F.col(c)) for c in self.medians}
+        return rows.withColumns({f"{c}_f": F.coalesce(known[c], F.lit(m)) for c, m in self.medians.items()}) if known else rows
 
     def encode(self, rows: DataFrame, training: bool = False) -> DataFrame:
         out = _numbers(rows, self.features.numeric)
@@ -207,15 +214,19 @@ def prepare(train: DataFrame, features: Features, encoding: str) -> Preparation:
     if numeric_inputs:
         filled = [f"{c}_f" for c in numeric_inputs]
         stages += [
-            Imputer(strategy="median", inputCols=numeric_inputs, outputCols=filled),
             VectorAssembler(inputCols=filled, outputCol="_numbers"),
             StandardScaler(inputCol="_numbers", outputCol="_scaled", withMean=True, withStd=True),
         ]
         vectors = ["_scaled", *vectors]
     stages.append(VectorAssembler(inputCols=vectors, outputCol="features"))
     empty = Preparation(features, encoding, levels, literals, modes, means, by_fold, None)
-    fitted = Pipeline(stages=stages).fit(empty.encode(train, training=encoding == "target"))
-    return Preparation(features, encoding, levels, literals, modes, means, by_fold, fitted)
+    encoded = empty.encode(train, training=encoding == "target")
+    medians = {}
+    if numeric_inputs:
+        medians = {r["column"]: r["median"] or 0.0 for r in en.numeric_fit(encoded, numeric_inputs).select("column", "median").collect()}
+        medians = {c: medians.get(c, 0.0) for c in numeric_inputs}
+    empty = replace(empty, medians=medians)
+    return replace(empty, pipeline=Pipeline(stages=stages).fit(empty.fill(encoded)))
 
 
 # --- fitting and scoring -------------------------------------------------------------------
@@ -241,12 +252,57 @@ class Fitted:
         return out.select(*rows.columns, score.alias("score"))
 
     def save(self, path: str) -> None:
-        self.preparation.pipeline.write().overwrite().save(f"{path}/preparation")
-        self.model.write().overwrite().save(f"{path}/model")
-        if self.preparation.levels is not None:
-            self.preparation.levels.write.mode("overwrite").parquet(f"{path}/levels")
-        for c, means in self.preparation.means.items():
-            means.write.mode("overwrite").parquet(f"{path}/means_{c}")
+        """Everything that scoring needs, under ``path``; ``load_fitted`` reads it back."""
+        spec, prep = self.spec, self.preparation
+        facts = {
+            "name": spec.name, "task": spec.task, "encoding": spec.encoding, "balanced": spec.balanced,
+            "log_target": spec.log_target, "early_stop": spec.early_stop, "params": dict(spec.params),
+            "numeric": self.features.numeric, "categorical": self.features.categorical, "key": self.features.key,
+            "label": self.features.label, "constant": self.constant, "fitted": prep is not None,
+        }
+        if prep is not None:
+            facts |= {
+                "literals": {c: list(pairs.items()) for c, pairs in prep.literals.items()},
+                "modes": dict(prep.modes), "medians": dict(prep.medians), "means": list(prep.means), "levels": prep.levels is not None,
+            }
+            prep.pipeline.write().overwrite().save(f"{path}/preparation")
+            PipelineModel([self.model]).write().overwrite().save(f"{path}/model")
+            if prep.levels is not None:
+                prep.levels.write.mode("overwrite").parquet(f"{path}/levels")
+            for c, means in prep.means.items():
+                means.write.mode("overwrite").parquet(f"{path}/means_{c}")
+        spark = SparkSession.active()
+        spark.createDataFrame([(json.dumps(facts),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/facts")
+
+
+def load_fitted(spark: SparkSession, path: str) -> Fitted:
+    """A saved model; it scores as the one that was saved."""
+    facts = json.loads(spark.read.text(f"{path}/facts").first()["value"])
+    build = {(m.name, m.task): m.build for m in (f() for f in KNOWN_MODELS)}.get((facts["name"], facts["task"]))
+    spec = Model(
+        facts["name"], facts["task"], build, facts["encoding"], facts["balanced"], facts["log_target"], facts["early_stop"], facts["params"]
+    )
+    features = Features(tuple(facts["numeric"]), tuple(facts["categorical"]), tuple(facts["key"]), facts["label"])
+    if not facts["fitted"]:
+        return Fitted(spec, features, None, None, facts["constant"])
+    preparation = Preparation(
+        features,
+        spec.encoding,
+        spark.read.parquet(f"{path}/levels") if facts["levels"] else None,
+        {c: dict(pairs) for c, pairs in facts["literals"].items()},
+        facts["modes"],
+        {c: spark.read.parquet(f"{path}/means_{c}") for c in facts["means"]},
+        {},
+        PipelineModel.load(f"{path}/preparation"),
+        facts["medians"],
+    )
+    return Fitted(spec, features, preparation, PipelineModel.load(f"{path}/model").stages[0])
+
+
+KNOWN_MODELS = (
+    logistic, forest_classifier, boosting_classifier, target_boosting_classifier, dummy_classifier,
+    ridge, forest_regressor, boosting_regressor, target_boosting_regressor, dummy_regressor,
+)
 
 
 def class_weights(train: DataFrame, label: str) -> Column:

@@ -29,8 +29,11 @@ PROHIBITED_FEATURES = frozenset(
         "censoring_reason",
         "censoring_date",
         "event_type",
+        "observation_end_actual",
+        "followup_days_available",
     }
 )
+HORIZON_LABEL = re.compile(r"adopted_in_[0-9]+d", re.IGNORECASE)
 PROHIBITED_PARTS = ("future", "_next_")
 PROHIBITED_PREFIX = "next_"
 
@@ -75,7 +78,7 @@ def prohibited(columns: Iterable[str], extra: Iterable[str] = ()) -> list[str]:
     return [
         c
         for c in columns
-        if c in banned or c.lower().startswith(PROHIBITED_PREFIX) or any(p in c.lower() for p in PROHIBITED_PARTS)
+        if c.lower() in banned or c in banned or HORIZON_LABEL.fullmatch(c) or c.lower().startswith(PROHIBITED_PREFIX) or any(p in c.lower() for p in PROHIBITED_PARTS)
     ]
 
 

@@ -52,7 +52,7 @@ def test_stacking_needs_both_classes(rows):
 
 
 def test_permutation_ranks_the_planted_features_first(rows, forest):
-    table = explain.permutation_importance(forest, rows.filter("split = 'selection'"), repeats=1, max_rows=400)
+    table = explain.permutation_importance(forest, rows.filter("split = 'selection'"), repeats=1)
     assert table.first().feature in ("l_quantity", "l_discount", "o_orderpriority")
     with pytest.raises(ValueError, match="validation"):
         explain.permutation_importance(forest, rows.filter("false"))
