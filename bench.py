@@ -27,7 +27,7 @@ HEADLINE = (
     "price_quantiles", "classification_report", "ranking_areas", "threshold_grid", "operating_points",
     "frozen_thresholds", "cohort_reliability", "error_slices_regression", "bootstrap_intervals",
     "survival_of_lines", "product_limit_points", "missingness", "attrition",
-    "target_encode_oof", "winsorize", "expanding_folds", "text_rules", "coefficients",
+    "target_encode_oof", "winsorize", "expanding_folds", "text_rules", "coefficients", "boosting_models", "parameter_search",
 )
 
 

@@ -291,3 +291,94 @@ def drift_of_model(spark: SparkSession, folder: str) -> DataFrame:
     rows = model_rows(spark, folder)
     model = tr.fit(tr.forest_classifier(**SMALL_TREES), rows.filter(F.col("yr") <= 1996), FEATURES)
     return rounded(mx.drift_by_period(model.score(rows.filter(F.col("yr") > 1996)), "yr", label="label", score="score"))
+
+
+# --- models whose result SQL can state -------------------------------------------------------
+
+_MODEL_SQL = """m as (select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_discount, p_size, p_brand, o_orderpriority, year(o_orderdate)::INTEGER as yr,
+  (l_returnflag = 'R')::INTEGER as returned, date_diff('day', o_orderdate, l_shipdate)::DOUBLE as days
+  from lineitem join orders on l_orderkey = o_orderkey join part on l_partkey = p_partkey),
+train as (select * from m where yr <= 1998), test as (select * from m where yr = 2001)"""
+PLAIN = tr.Features(numeric=("l_quantity",), categorical=(), key=KEY, label="days")
+
+
+def _plain_rows(spark: SparkSession, folder: str) -> DataFrame:
+    orders = read_table(spark, folder, "orders")
+    part = read_table(spark, folder, "part").select("p_partkey", "p_brand", "p_size")
+    items = read_table(spark, folder, "lineitem")
+    return (
+        items.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        .join(part, F.col("l_partkey") == F.col("p_partkey"))
+        .select(
+            *KEY, "l_quantity", "l_discount", "p_size", "p_brand", "o_orderpriority", F.year("o_orderdate").alias("yr"),
+            (F.col("l_returnflag") == "R").cast("int").alias("returned"),
+            F.datediff("l_shipdate", "o_orderdate").cast("double").alias("days"),
+        )
+    )
+
+
+@registry.query(
+    f"""with {_MODEL_SQL}, c as (select (avg(returned) > 0.5)::INTEGER::DOUBLE as mode, quantile_cont(days, 0.5) as middle from train)
+select l_orderkey, l_linenumber, l_partkey, l_suppkey, mode as most_frequent, middle as median_days from test cross join c"""
+)
+def dummy_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """The constant models: most frequent class and median."""
+    rows = _plain_rows(spark, folder)
+    train, test = rows.filter("yr <= 1998"), rows.filter("yr = 2001")
+    classes = tr.fit(tr.dummy_classifier(), train, PLAIN.with_label("returned")).score(test).withColumnRenamed("score", "most_frequent")
+    return tr.fit(tr.dummy_regressor(), train, PLAIN).score(classes).select(*KEY, "most_frequent", F.col("score").alias("median_days"))
+
+
+@registry.query(
+    f"""with {_MODEL_SQL}, c as (select regr_slope(days, l_quantity) as a, regr_intercept(days, l_quantity) as b from train)
+select l_orderkey, l_linenumber, l_partkey, l_suppkey, round(a * l_quantity + b, 4) as score from test cross join c"""
+)
+def one_feature_regression(spark: SparkSession, folder: str) -> DataFrame:
+    """Least squares on one number: imputing, scaling and fitting end to end."""
+    rows = _plain_rows(spark, folder)
+    model = tr.fit(tr.ridge(regParam=0.0), rows.filter("yr <= 1998"), PLAIN)
+    return model.score(rows.filter("yr = 2001")).select(*KEY, F.round("score", 4).alias("score"))
+
+
+@registry.query(
+    f"""with {_MODEL_SQL}, c as (select regr_slope(days, l_quantity) * stddev_samp(l_quantity) as a from train)
+select 'l_quantity' as feature, round(a, 4) as coefficient, round(abs(a), 4) as abs_coefficient from c"""
+)
+def one_feature_coefficient(spark: SparkSession, folder: str) -> DataFrame:
+    train = _plain_rows(spark, folder).filter("yr <= 1998")
+    table = explain.coefficient_table(tr.fit(tr.ridge(regParam=0.0), train, PLAIN), train)
+    return rounded(table, 4)
+
+
+@registry.query(
+    f"""with {_MODEL_SQL}, n as (select returned, count(*) as n from train group by 1)
+select returned, round((select sum(n) from n) / (2.0::DOUBLE * n.n), 9) as weight, n.n::BIGINT as rows from n"""
+)
+def balanced_weights(spark: SparkSession, folder: str) -> DataFrame:
+    train = _plain_rows(spark, folder).filter("yr <= 1998")
+    weight = F.round(tr.class_weights(train, "returned"), 9).alias("weight")
+    return train.groupBy("returned", weight).agg(F.count(F.lit(1)).alias("rows")).select("returned", "weight", "rows")
+
+
+@registry.query(
+    f"""with {_MODEL_SQL}, c as (select quantile_cont(l_quantity, 0.5) as q, quantile_cont(l_discount, 0.5) as d, quantile_cont(p_size::DOUBLE, 0.5) as s from train),
+n as (select o_orderpriority as p, count(*) as n from train group by 1), o as (select p as mode from n order by n desc, p desc limit 1),
+k as (select l_orderkey, l_linenumber, l_partkey, l_suppkey, unnest([
+  {{'feature': 'l_quantity', 'value': l_quantity, 'c': (l_quantity - q) * 0.02::DOUBLE}}, {{'feature': 'l_discount', 'value': l_discount, 'c': (l_discount - d) * -3}},
+  {{'feature': 'p_size', 'value': p_size, 'c': (p_size - s) * 0.001::DOUBLE}},
+  {{'feature': 'o_orderpriority', 'value': null, 'c': (case when o_orderpriority = '1-URGENT' then 0.3::DOUBLE else 0 end) - (case when mode = '1-URGENT' then 0.3::DOUBLE else 0 end)}}]) as x from test cross join c cross join o),
+r as (select l_orderkey, l_linenumber, l_partkey, l_suppkey, x.feature as feature, round(x.c, 6) as contribution from k),
+g as (select *, row_number() over (partition by l_orderkey, l_linenumber, l_partkey, l_suppkey order by abs(contribution) desc, feature) as i from r)
+select l_orderkey, l_linenumber, l_partkey, l_suppkey, feature, contribution, abs(contribution) as abs_contribution,
+case when contribution > 0 then 'raises prediction' else 'lowers prediction' end as association from g where i <= 3"""
+)
+def reasons_of_formula(spark: SparkSession, folder: str) -> DataFrame:
+    """Reasons for every test row of a score that is a formula of four features."""
+    rows = _plain_rows(spark, folder)
+    features = tr.Features(("l_quantity", "l_discount", "p_size"), ("o_orderpriority",), KEY, "returned")
+    urgent = F.when(F.col("o_orderpriority") == "1-URGENT", 0.3).otherwise(0.0)
+    score = F.col("l_quantity") * 0.02 + F.col("l_discount") * -3 + F.col("p_size") * 0.001 + urgent
+    model = tr.Formula(tr.logistic(), features, score)
+    base = explain.baselines(rows.filter("yr <= 1998"), features)
+    long = explain.contributions(model, rows.filter("yr = 2001"), base).withColumn("contribution", F.round("contribution", 6))
+    return explain.local_reasons(long, list(KEY), top=3).drop("value")

@@ -305,6 +305,18 @@ KNOWN_MODELS = (
 )
 
 
+@dataclass(frozen=True)
+class Formula:
+    """A score that is an expression of the features; explanations take it like a fitted model."""
+
+    spec: Model
+    features: Features
+    expression: Column
+
+    def score(self, rows: DataFrame) -> DataFrame:
+        return rows.select("*", self.expression.alias("score"))
+
+
 def class_weights(train: DataFrame, label: str) -> Column:
     """Weights that give both classes the same total."""
     counts = {r[label]: r["n"] for r in train.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}

@@ -7,8 +7,10 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
-def build_session(app: str = "sojourn", master: str | None = None, partitions: int | None = None) -> SparkSession:
-    """A session with the settings the operators rely on."""
+def build_session(
+    app: str = "sojourn", master: str | None = None, partitions: int | None = None, checkpoint_dir: str | None = None
+) -> SparkSession:
+    """A session with the settings the operators rely on; ``checkpoint_dir`` is the folder all executors share."""
     builder = (
         SparkSession.builder.appName(app)
         .config("spark.sql.session.timeZone", "UTC")
@@ -19,6 +21,8 @@ def build_session(app: str = "sojourn", master: str | None = None, partitions: i
     )
     if master:
         builder = builder.master(master)
+    if checkpoint_dir:
+        builder = builder.config("spark.checkpoint.dir", checkpoint_dir)
     if partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(partitions))
     return builder.getOrCreate()
