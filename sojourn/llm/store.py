@@ -14,6 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from sojourn.session import ensure_checkpoint_dir
 
 
+TEXT_ROWS = 500
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     return f"{ensure_checkpoint_dir(spark)}/{label}-{uuid4().hex}"
 
@@ -26,6 +29,14 @@ def saved(rows: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(path)
 
 
+def small_batches(rows: DataFrame) -> DataFrame:
+    """Rows with long texts go to Python a few hundred at a time: lowers the session's batch size if it is larger."""
+    conf, key = rows.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= TEXT_ROWS:
+        conf.set(key, str(TEXT_ROWS))
+    return rows
+
+
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from uuid import uuid4
@@ -23,20 +24,27 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sojourn.llm.cache import Recent
-from sojourn.llm.store import new_path, saved
+from sojourn.llm.store import new_path, saved, small_batches
 
-CACHED = 250_000  # words, and stems without punctuation, remembered by a worker
+CACHED = 400_000  # words that a worker remembers (up to twice as many)
 READ_IDS = 1 << 20  # ids in one batch when reading back
 
 MANIFEST = "part int, name string, n_docs bigint, n_tokens bigint, null_docs bigint"
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: printable ones themselves, others from 256 on."""
+    plain = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
 class WordEncoder:
     """Ids of whole texts from a tokenizer whose tokens never cross a space.
 
-    The library encodes every word that the caches do not hold. Words of plain letters with punctuation
-    behind them share the ids of their letters. Texts without combining marks are lower-cased first where
-    the tokenizer does so itself.
+    The library encodes every word that the cache does not hold. Words of plain letters with punctuation
+    behind them share the ids of their letters in lower case, for which the library's model is asked directly;
+    the tokenizer lower-cases itself, and nothing in such a word combines with a letter.
     """
 
     def __init__(self, path: str, cached: int = CACHED) -> None:
@@ -45,21 +53,33 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.simple = regex.compile(r"(\p{L}+)([^\s\p{L}\p{N}\p{M}']+)").fullmatch
-        self.marks = regex.compile(r"\p{M}").search
+        self.model = self.tokenizer.model
+        self.letters = _byte_letters()
+        self.simple = regex.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([^\s\p{L}\p{N}\p{M}']*)").fullmatch
         self.words = Recent(self._word, cached)
-        self.stems = Recent(self._encode, cached)
+
+    def _stem(self, stem: str) -> bytes:
+        """Ids of lower-case Latin letters without marks: one pre-token in normal form."""
+        written = stem.encode("utf-8").decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(written)]).tobytes()
 
     def _encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _word(self, word: str) -> bytes:
         parts = self.simple(word)
-        return self.stems[parts[1]] + self.stems[parts[2]] if parts else self.stems[word]
+        if not parts:
+            return self._encode(word)
+        lower = parts[1].lower()
+        if lower == word:
+            return self._stem(word)
+        return self.words[lower] + (self.words[parts[2]] if parts[2] else b"")
+
+    def once(self, word: str) -> bytes:
+        """Ids of a text without spaces that will not come again: it is not remembered."""
+        return self.words.get(word) or self._word(word)
 
     def __call__(self, text: str) -> bytes:
-        if not self.marks(text):
-            text = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
         words = self.words
         return b"".join([words[w] for w in text.split(" ")])
 
@@ -126,6 +146,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str, *, end_id: int, v
     """
     kind = "<u2" if vocabulary <= 1 << 16 else "<u4"
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = small_batches(rows)
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order, "text")
     manifest = saved(rows.mapInArrow(_writer(folder, path, end_id, kind, encoder_of), MANIFEST).filter("n_docs > 0"), "token-parts")
