@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sojourn.llm.store import small_batches
+
 FEATURES = 1 << 13
 SAMPLE = 1000
 CENTROIDS = 4
@@ -112,20 +114,20 @@ def fit(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -> Mo
     """
     rows = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.filter("lang is not null").withColumn("draw", F.xxhash64("doc_id"))
-    counted = rows.select("text").mapInArrow(_frequencies, "feature bigint, n bigint").groupBy("feature").agg(F.sum("n").alias("n"))
+    counted = small_batches(rows).select("text").mapInArrow(_frequencies, "feature bigint, n bigint").groupBy("feature").agg(F.sum("n").alias("n"))
     found = {r.feature: r.n for r in counted.collect()}
     n = found.get(-1, 0)
     idf = np.array([np.log((1 + n) / (1 + found.get(f, 0))) + 1 for f in range(FEATURES)], dtype=np.float32)
 
-    # the sample-th smallest draw of each language, from two narrow columns
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
-    limits = rows.select("lang", "draw").withColumn("place", place).filter(F.col("place") <= sample)
-    limits = limits.groupBy("lang").agg(F.max("draw").alias("last")).limit(MOST_LANGUAGES + 1).collect()
-    if len(limits) > MOST_LANGUAGES:
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGUAGES + 1).collect()
+    if len(sizes) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    if not limits:
+    if not sizes:
         return Model([], np.zeros((0, FEATURES), np.float32), idf)
-    limit = F.create_map(*[x for r in limits for x in (F.lit(r.lang), F.lit(r.last))])
+    # draws are even over 64 bits: below this bound lie a little more than ``sample`` rows of a language
+    share = {r.lang: min(1.0, (sample + 8 * sample**0.5 + 8) / r.n) for r in sizes}
+    limit = F.create_map(*[x for lang, s in share.items() for x in (F.lit(lang), F.lit(min(2**63 - 1, int(s * 2**64) - 2**63)))])
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
     drawn = rows.filter(F.col("draw") <= limit[F.col("lang")]).withColumn("place", place).filter(F.col("place") <= sample)
 
     def centres(frame: pd.DataFrame) -> pd.DataFrame:
@@ -175,7 +177,7 @@ def identify(docs: DataFrame, model: Model, farthest: float = FARTHEST) -> DataF
                     [*part.columns, pa.array(languages), pa.array(scores), pa.array(rejected)], [f.name for f in schema]
                 )
 
-    return rows.mapInArrow(run, schema)
+    return small_batches(rows).mapInArrow(run, schema)
 
 
 def remainder(doc_id: Column, of: int) -> Column:
