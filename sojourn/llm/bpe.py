@@ -23,8 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sojourn.llm.cache import Recent
+from sojourn.llm.store import small_batches
 
-CACHED = 300_000  # texts between spaces that a worker remembers (up to twice as many)
+CACHED = 200_000  # texts between spaces that a worker remembers (up to twice as many)
 SHIFT = 8
 WORD = 1 << SHIFT  # ranks in a word of the lower bitmap
 LOW = WORD - 1
@@ -169,20 +170,29 @@ class Encoder:
     def __init__(self, path: str, pattern: str, cached: int = CACHED) -> None:
         self.merge = Merger(load_ranks(path))
         self.find = regex.compile(pattern).findall
-        self.tokens = Recent(lambda t: array("i", self.merge(t.encode("utf-8", "surrogatepass"))).tobytes(), cached)
+        # pre-tokens that begin with a space are remembered without it, among the words; the others here
+        self.tokens = Recent(self._merged, cached // 3)
         self.after_space = Recent(self._word, cached)
         self.is_space = regex.compile(r"\s").match
 
+    def _merged(self, token: str) -> bytes:
+        return array("i", self.merge(token.encode("utf-8", "surrogatepass"))).tobytes()
+
     def _edged(self, word: str) -> bool:
         return not word or bool(self.is_space(word[0]) or self.is_space(word[-1]))
 
     def _word(self, word: str) -> bytes | None:
         """What a space and this text stand for; None if white space meets at its edges."""
-        return None if self._edged(word) else self._split(" " + word)
+        if self._edged(word):
+            return None
+        found = self.find(" " + word)
+        return self._merged(found[0]) if len(found) == 1 else self._joined(found)
+
+    def _joined(self, found: list[str]) -> bytes:
+        return b"".join([self.after_space[t[1:]] if t[0] == " " and len(t) > 1 and not self._edged(t[1:]) else self.tokens[t] for t in found])
 
     def _split(self, text: str) -> bytes:
-        tokens = self.tokens
-        return b"".join([tokens[t] for t in self.find(text)])
+        return self._joined(self.find(text))
 
     def __call__(self, text: str) -> bytes:
         # A space between characters that are not white space starts a pre-token, so texts may be cut at such
@@ -230,7 +240,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             columns[ids] = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
-    return rows.mapInArrow(run, rows.schema)
+    return small_batches(rows).mapInArrow(run, rows.schema)
 
 
 def decode(rows: DataFrame, path: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from sojourn.llm.components import connected_components
 from sojourn.llm.exact import packed, unpacked, without
 from sojourn.llm.runs import blocks, joined, pieces
-from sojourn.llm.store import document_rows, saved
+from sojourn.llm.store import document_rows, saved, small_batches
 
 SEED = 42
 FAN = 8
@@ -100,7 +100,7 @@ def fingerprints(docs: DataFrame, words: int = 5, ties: Sequence[str] = (), prin
     rows = document_rows(docs, "doc_id", "text", *ties)
     rows = rows.withColumns({"doc_id": F.col("doc_id").cast("bigint"), "text": F.col("text").cast("string")})
     kinds = dict(rows.dtypes)
-    return rows.mapInArrow(run, ", ".join(["doc_id bigint", *[f"{n} bigint" for n in names], *[f"`{c}` {kinds[c]}" for c in ties]]))
+    return small_batches(rows).mapInArrow(run, ", ".join(["doc_id bigint", *[f"{n} bigint" for n in names], *[f"`{c}` {kinds[c]}" for c in ties]]))
 
 
 def gray_rank(code: Column) -> Column:
