@@ -14,8 +14,7 @@ dealt out evenly.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from functools import reduce
+from collections.abc import Iterable, Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
@@ -25,7 +24,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sojourn.llm.components import connected_components
-from sojourn.llm.exact import packed, unpacked, without
 from sojourn.llm.runs import blocks, joined, pieces
 from sojourn.llm.store import document_rows, saved, small_batches
 
@@ -59,48 +57,29 @@ def shingles(text: str | None, words: int) -> list[bytes]:
     return [whole[a:b] for a, b in zip(starts, (ends[words - 1 :] - 1).tolist())]
 
 
-def fingerprint(text: str | None, words: int, which: int = 0) -> int:
-    """Majority bits of the XXH64 of all word shingles; no words give zero. ``which`` picks further, independent ones."""
+def fingerprint(text: str | None, words: int) -> int:
+    """Majority bits of the XXH64 of all word shingles; no words give zero."""
     found = shingles(text, words)
-    if not found:
-        return 0
-    digest = xxhash.xxh64_digest
-    hashes = np.frombuffer(b"".join([digest(s, SEED) for s in found]), dtype=">u8").astype(np.uint64)
-    return _fingerprint_of(hashes, which)
-
-
-def _fingerprint_of(hashes: np.ndarray, which: int) -> int:
-    for _ in range(which):
-        hashes = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    return _majority(hashes ^ (hashes >> np.uint64(29)) if which else hashes)
+    return _majority(_hashes(found)) if found else 0
 
 
-def _fingerprints_of(text: str | None, words: int, prints: int) -> list[int]:
-    found = shingles(text, words)
-    if not found:
-        return [0] * prints
+def _hashes(found: Iterable[bytes]) -> np.ndarray:
     digest = xxhash.xxh64_digest
-    hashes = np.frombuffer(b"".join([digest(s, SEED) for s in found]), dtype=">u8").astype(np.uint64)
-    return [_fingerprint_of(hashes, k) for k in range(prints)]
+    return np.frombuffer(b"".join([digest(s, SEED) for s in found]), dtype=">u8").astype(np.uint64)
 
 
-def fingerprints(docs: DataFrame, words: int = 5, ties: Sequence[str] = (), prints: int = 1) -> DataFrame:
-    """``doc_id, fingerprint`` and the columns ``ties`` of every row; the 64 bits as a signed long.
-
-    With more ``prints`` there are columns ``fingerprint1``, ... for the further ones. A null text is empty.
-    """
-    names = ["fingerprint", *[f"fingerprint{k}" for k in range(1, prints)]]
+def fingerprints(docs: DataFrame, words: int = 5, ties: Sequence[str] = ()) -> DataFrame:
+    """``doc_id, fingerprint`` and the columns ``ties`` of every row; the 64 bits as a signed long. A null text is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([_fingerprints_of(t.as_py(), words, prints) for t in batch.column(1)], dtype=np.uint64).reshape(-1, prints)
-            columns = [pa.array(np.ascontiguousarray(found[:, k]).view(np.int64)) for k in range(prints)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, *batch.columns[2:]], ["doc_id", *names, *ties])
+            found = np.array([fingerprint(t.as_py(), words) for t in batch.column(1)], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64)), *batch.columns[2:]], ["doc_id", "fingerprint", *ties])
 
     rows = document_rows(docs, "doc_id", "text", *ties)
     rows = rows.withColumns({"doc_id": F.col("doc_id").cast("bigint"), "text": F.col("text").cast("string")})
     kinds = dict(rows.dtypes)
-    return small_batches(rows).mapInArrow(run, ", ".join(["doc_id bigint", *[f"{n} bigint" for n in names], *[f"`{c}` {kinds[c]}" for c in ties]]))
+    return small_batches(rows).mapInArrow(run, ", ".join(["doc_id bigint", "fingerprint bigint", *[f"`{c}` {kinds[c]}" for c in ties]]))
 
 
 def gray_rank(code: Column) -> Column:
@@ -314,64 +293,3 @@ def near_duplicates(
         own.eqNullSafe(F.col("name")).alias("kept"),
         *ties,
     )
-
-
-def _alike(words: int, least: float):
-    """Keeps the pairs whose sets of shingles overlap by ``least`` (Jaccard)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for left, right in zip(batch.column(2), batch.column(3)):
-                x, y = set(shingles(left.as_py(), words)), set(shingles(right.as_py(), words))
-                both = len(x & y)
-                keep.append(both >= least * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return run
-
-
-def similar_links(rows: DataFrame, words: int = 5, least: float = 0.8, prints: int = 3, radius: int = 8) -> tuple[DataFrame, DataFrame]:
-    """Rows with a number, and verified edges ``(a, b)`` between their numbers, from located rows.
-
-    Candidates are the links of ``prints`` independent fingerprints of every text at ``radius`` or fewer bits, nearest
-    first: enough of them to span what is linked in each bucket. The whole texts of a candidate pair decide:
-    Jaccard of their shingle sets of at least ``least``.
-    """
-    numbered = fingerprints(rows, words, ["_file", "_row"], prints).withColumn("n", F.monotonically_increasing_id())
-    numbered = saved(numbered, "similar-prints")
-    edges = []
-    for name in [c for c in numbered.columns if c.startswith("fingerprint")]:
-        nodes = saved(numbered.groupBy(F.col(name).alias("code")).agg(F.min("n").alias("first")), "similar-nodes")
-        same = numbered.join(nodes, numbered[name] == nodes["code"]).filter("n <> first").select(F.col("n").alias("a"), F.col("first").alias("b"))
-        linked = hamming_links(nodes.select("code"), radius)
-        first = nodes.select(F.col("code").alias("a"), F.col("first").alias("x"))
-        other = nodes.select(F.col("code").alias("b"), F.col("first").alias("y"))
-        near = linked.distinct().join(first, "a").join(other, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-        edges += [same, near]
-    pairs = reduce(DataFrame.unionByName, edges).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    pairs = saved(pairs, "similar-pairs")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("n")).distinct()
-    asked = saved(numbered.join(ends, "n").select("n", "_file", "_row"), "similar-ends")
-    texts = rows.select("_file", "_row", F.col("text").cast("string").alias("text")).join(asked, ["_file", "_row"]).select("n", "text")
-    texts = saved(texts, "similar-texts")
-    left, right = texts.toDF("a", "left"), texts.toDF("b", "right")
-    checked = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(_alike(words, least), EDGES)
-    return numbered.select("n", "doc_id", "_file", "_row"), checked
-
-
-def distinct_documents(docs: DataFrame, words: int = 5, least: float = 0.8, prints: int = 3, radius: int = 8) -> DataFrame:
-    """The rows of ``docs`` with one document of each group of similar texts, the one with the smallest doc_id.
-
-    Groups are the components of the links of ``similar_links``. Null and empty texts have no shingles and are all
-    alike. Null doc_ids come last; rows that repeat a doc_id are told apart by their place. An empty table gives no
-    rows; all columns come back.
-    """
-    rows = packed(docs)
-    numbered, edges = similar_links(rows, words, least, prints, radius)
-    linked = numbered.join(connected_components(edges), F.col("n") == F.col("node"))
-    own = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "n")
-    linked = saved(linked.withColumn("own", own), "similar-linked")
-    names = linked.groupBy("component").agg(F.min("own").alias("name"))
-    gone = linked.join(names, "component").filter(F.col("own") != F.col("name")).select("_file", "_row")
-    return unpacked(without(rows, gone), docs)
