@@ -48,20 +48,28 @@ def parts(url: Column) -> tuple[Column, Column, Column]:
     return host, F.regexp_extract(url, PARTS, 2), F.regexp_extract(url, PARTS, 3)
 
 
+def _further(kind: str, names: Column, after: int) -> Column:
+    """Tokens without place for the names after the first ones."""
+    return F.transform(F.filter(names, lambda x, i: (i >= after) & (x != "")), lambda x: F.concat(F.lit(f"{kind}+="), x))
+
+
 def tokens(host: Column, path: Column, rest: Column) -> Column:
-    """The tokens of a URL by their place, twelve at most, so a URL has a bounded number of combinations.
+    """The distinct tokens of a URL: every host label, path segment and query parameter name.
 
-    Four host labels from the right, three path segments, the extension of the last segment, the name of the
-    first query parameter, and the presence of a query, of a fragment, and of a final slash.
+    The four host labels from the right, the first three path segments and the first parameter carry their place, further
+    ones only their kind (``h+=``, ``p+=``, ``q+=``). Besides, the extension of the last segment, and the presence of a
+    query, of a fragment, and of a final slash.
     """
     labels = F.reverse(F.filter(F.split(host, r"\."), lambda x: x != ""))
     segments = F.filter(F.split(path, "/"), lambda x: x != "")
+    names = F.transform(F.split(F.regexp_extract(rest, r"^\?([^#]*)", 1), "&"), lambda x: F.substring_index(x, "=", 1))
     found = [F.concat(F.lit(f"h{i}="), F.get(labels, F.lit(i))) for i in range(4)]
     found += [F.concat(F.lit(f"p{i}="), F.get(segments, F.lit(i))) for i in range(3)]
-    extension, query = F.regexp_extract(path, r"\.([A-Za-z0-9]{1,8})$", 1), F.regexp_extract(rest, r"^\?([^=&#]+)", 1)
+    extension, query = F.regexp_extract(path, r"\.([A-Za-z0-9]{1,8})$", 1), F.get(names, F.lit(0))
     found += [F.when(extension != "", F.concat(F.lit("x="), extension)), F.when(query != "", F.concat(F.lit("q="), query))]
     found += [F.when(rest.startswith("?"), "query"), F.when(rest.contains("#"), "fragment"), F.when(path.endswith("/"), "slash")]
-    return F.filter(F.array(*found), lambda x: x.isNotNull())
+    further = [_further("h", labels, 4), _further("p", segments, 3), _further("q", names, 1)]
+    return F.array_distinct(F.concat(F.filter(F.array(*found), lambda x: x.isNotNull()), *further))
 
 
 def mine(labelled: DataFrame, min_support: float, min_confidence: float) -> DataFrame:
