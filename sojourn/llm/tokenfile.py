@@ -44,15 +44,16 @@ class WordEncoder:
 
     The library encodes every word that the cache does not hold. Words of plain letters with punctuation
     behind them share the ids of their letters in lower case, for which the library's model is asked directly;
-    the tokenizer lower-cases itself, and nothing in such a word combines with a letter.
+    the tokenizer lower-cases itself, and nothing in such a word combines with a letter. With ``special`` the strings
+    of added tokens in a text are those tokens, as the library has it by default; otherwise they are ordinary text.
     """
 
-    def __init__(self, path: str, cached: int = CACHED) -> None:
+    def __init__(self, path: str, cached: int = CACHED, special: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = not special
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
         self.simple = regex.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([^\s\p{L}\p{N}\p{M}']*)").fullmatch
@@ -89,6 +90,12 @@ def word_encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
+@lru_cache(maxsize=1)
+def library_encoder(path: str) -> WordEncoder:
+    """The ids of the library's call with ``add_special_tokens=False`` and nothing else."""
+    return WordEncoder(path, special=True)
+
+
 def _place(folder: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(re.sub(r"^file:/+|^/+", "file:///", folder))
 
@@ -136,7 +143,7 @@ def _writer(folder: str, path: str, end_id: int, kind: str, encoder_of: Callable
     return run
 
 
-def write_token_files(docs: DataFrame, folder: str, path: str, *, end_id: int, vocabulary: int, encoder_of=word_encoder) -> DataFrame:
+def write_token_files(docs: DataFrame, folder: str, path: str, *, end_id: int, vocabulary: int, encoder_of=library_encoder) -> DataFrame:
     """Write the ids of all texts of ``docs(doc_id, text)`` and return the manifest.
 
     ``folder`` must be reachable from all executors. Rows lie in ascending order of doc_id, nulls first,
