@@ -4,7 +4,8 @@ from test_pipeline import jaccard_components
 
 import corpus_pipeline as pipeline
 from sojourn.llm.exact import packed
-from sojourn.llm.overlap import _ask, similar_groups
+from sojourn.llm.overlap import _ask, band_keys, similar_groups
+from sojourn.llm.simhash import shingles
 from sojourn.llm.store import saved
 
 
@@ -59,3 +60,18 @@ def test_rows_left_out_are_reported():
     assert more and len(a) == 160 and (a != b).all()
     a, b, more = _ask(whole * 0, whole, side, side, 0.8, 64)
     assert not more and len(a) == 40 * 39
+
+
+def test_bands_propose_nearly_all_pairs_just_above_the_threshold():
+    rng, pairs, found = np.random.default_rng(14), 0, 0
+    for k in range(600):
+        words = [f"w{i}" for i in rng.integers(0, 5000, 300)]
+        other = list(words)
+        for at in rng.choice(300, 6, replace=False):
+            other[at] = f"new{k}x{at}"
+        a, b = " ".join(words), " ".join(other)
+        x, y = set(shingles(a, 5)), set(shingles(b, 5))
+        if 0.8 <= len(x & y) / len(x | y) < 0.85:
+            pairs += 1
+            found += bool((band_keys(a, 5)[1] == band_keys(b, 5)[1]).any())
+    assert pairs > 100 and found >= 0.99 * pairs
