@@ -13,6 +13,7 @@ from sojourn.llm.exact import exact_duplicates
 from sojourn.llm.langid import fit, identify, remainder
 from sojourn.llm.lm import score_texts
 from sojourn.llm.mixing import mix_report
+from sojourn.llm.pairtree import tree_decode, tree_encode
 from sojourn.llm.pii import find_personal_data
 from sojourn.llm.simhash import near_duplicates
 from sojourn.llm.store import documents
@@ -115,5 +116,16 @@ def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_pii, op3_embeddings, op4_language, op5_mixing, op6_token_files, op7_language_model, op8_exact, op9_urls, op10_byte_bpe)}
+def op13_pair_tree(spark: SparkSession, folder: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    ids = tree_encode(documents(spark, folder).select("doc_id", "text"), path, binary=True).drop("text")
+    return tree_decode(ids, path).select(
+        "doc_id",
+        F.floor(F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_pii, op3_embeddings, op4_language, op5_mixing, op6_token_files, op7_language_model, op8_exact, op9_urls, op10_byte_bpe, op13_pair_tree)}
 SQL = {"op5_mixing": OP5_SQL, "op8_exact": OP8_SQL}
