@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from sojourn.llm.bpe import decode, encode
+from sojourn.llm.divergence import source_divergence
 from sojourn.llm.embeddings import near_vectors
 from sojourn.llm.exact import exact_duplicates
 from sojourn.llm.langid import fit, identify, remainder
@@ -15,6 +16,7 @@ from sojourn.llm.lm import score_texts
 from sojourn.llm.mixing import mix_report
 from sojourn.llm.pairtree import tree_decode, tree_encode
 from sojourn.llm.pii import find_personal_data
+from sojourn.llm.search import ranked_search
 from sojourn.llm.simhash import near_duplicates
 from sojourn.llm.store import documents
 from sojourn.llm.tokenfile import read_token_files, token_folder, write_token_files
@@ -116,6 +118,78 @@ def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return source_divergence(documents(spark, folder))
+
+
+OP11_SQL = r"""
+with words as (
+  select row_number() over () as doc, coalesce(lang, '') as lang, coalesce(source, '') as source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as terms from documents),
+tokens as (select doc, lang, source, unnest(terms) as term from words),
+per_source as (select lang, source, term, count(*) as n from tokens group by all),
+kept as (select lang, term, count(*) as in_lang from tokens group by all having count(distinct doc) >= 30),
+langs as (select w.lang, (select count(*) from kept k where k.lang = w.lang) as v,
+                 coalesce((select sum(in_lang) from kept k where k.lang = w.lang), 0) as all_words
+          from (select distinct lang from words) w),
+groups as (
+  select g.lang, g.source, l.v, l.all_words, coalesce(s.n, 0) as words
+  from (select distinct lang, source from words) g join langs l using (lang)
+  left join (select lang, source, sum(p.n) as n from per_source p join kept using (lang, term) group by all) s using (lang, source)),
+shares as (
+  select g.lang, g.source, k.term, coalesce(p.n, 0) as n,
+         1 + (1000000000::HUGEINT * (coalesce(p.n, 0) + 5)) // (g.words + 5 * g.v)::HUGEINT as p,
+         1 + (1000000000::HUGEINT * (k.in_lang + 5)) // (g.all_words + 5 * g.v)::HUGEINT as q
+  from groups g join kept k using (lang) left join per_source p using (lang, source, term)),
+pairs as (
+  select a.lang, a.source, 'pair' as part, b.source as item, coalesce(f.value, 0)::BIGINT as value
+  from groups a join groups b on a.lang = b.lang and a.source <> b.source
+  left join (select x.lang, x.source, y.source as other, sum(abs(x.p - y.p)) as value
+             from shares x join shares y on x.lang = y.lang and x.term = y.term and x.source <> y.source group by all) f
+    on f.lang = a.lang and f.source = a.source and f.other = b.source),
+ranked as (
+  select *, row_number() over (partition by lang, source order by value desc, item)::INTEGER as rank from pairs
+  union all
+  select * from (
+    select lang, source, 'term', term, (p - q)::BIGINT, row_number() over (partition by lang, source order by p - q desc, term)::INTEGER as rank
+    from shares where n > 0 and p > q) where rank <= 50)
+select lang, source, part, item, value, rank from ranked
+"""
+
+
+def op12_search(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked_search(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
+
+
+OP12_SQL = r"""
+with texts as (
+  select row_number() over () as doc, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as terms from documents),
+docs as (select doc, doc_id, terms, len(terms)::BIGINT as n from texts where len(terms) > 0),
+corpus as (select count(*)::BIGINT as docs, sum(n)::BIGINT as length from docs),
+items as (
+  select item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark),
+asked as (select item_id, term, count(*)::BIGINT as times from items group by all),
+tokens as (select doc, unnest(terms) as term from docs),
+postings as (select doc, term, count(*)::BIGINT as tf from tokens where term in (select term from asked) group by all),
+weights as (
+  select term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT as w
+  from (select term, count(*)::BIGINT as df from postings group by term), corpus),
+impacts as (
+  select p.doc, p.term, w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * docs) // length))) as impact
+  from postings p join weights using (term) join docs using (doc), corpus),
+scores as (
+  select item_id, doc, sum(times * impact)::BIGINT as score from asked join impacts using (term) group by all)
+select item_id, rank, doc_id, score from (
+  select item_id, row_number() over (partition by item_id order by score desc, doc_id)::INTEGER as rank, doc_id, score
+  from scores join docs using (doc) where score > 0)
+where rank <= 10
+"""
+
+
 def op13_pair_tree(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     ids = tree_encode(documents(spark, folder).select("doc_id", "text"), path, binary=True).drop("text")
@@ -127,5 +201,5 @@ def op13_pair_tree(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_pii, op3_embeddings, op4_language, op5_mixing, op6_token_files, op7_language_model, op8_exact, op9_urls, op10_byte_bpe, op13_pair_tree)}
-SQL = {"op5_mixing": OP5_SQL, "op8_exact": OP8_SQL}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_pii, op3_embeddings, op4_language, op5_mixing, op6_token_files, op7_language_model, op8_exact, op9_urls, op10_byte_bpe, op11_divergence, op12_search, op13_pair_tree)}
+SQL = {"op5_mixing": OP5_SQL, "op8_exact": OP8_SQL, "op11_divergence": OP11_SQL, "op12_search": OP12_SQL}
