@@ -1,35 +1,34 @@
 """Byte-level BPE with a hierarchical-bitmap rank queue.
 
-Every pre-token starts as a linked list of bytes. Adjacent pairs wait in buckets by merge rank, each
-a heap of list positions. A bitmap marks the ranks whose bucket is not empty, a bitmap above it marks
-its words that are not zero; find-first-set from the top gives the lowest rank in two steps however
-long the pre-token is. A merge changes the pairs on both sides; entries that no longer describe their
-position are skipped when they come up. The work is a few steps per merge, so a pre-token of a
-million bytes is no different from many short ones.
+The distinct pre-tokens of a slice lie side by side as one linked list of bytes. Adjacent pairs wait in
+buckets by merge rank, each with list positions. A bitmap marks the ranks whose bucket is not empty, a bitmap
+above it marks its words that are not zero; find-first-set from the top gives the lowest rank in two steps
+however much waits. The whole bucket is merged at once: no pre-token in it has a lower rank waiting. A merge
+changes the pairs on both sides; entries that no longer describe their position are skipped when they come
+up. The work is a few steps per merge, so a pre-token of a million bytes is no different from many short ones.
 """
 
 from __future__ import annotations
 
 import base64
-from array import array
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sojourn.llm.cache import Recent
+from sojourn.llm.pretokens import CACHE_BYTES, PieceIds, encoded
 from sojourn.llm.store import small_batches
 
-CACHED = 200_000  # texts between spaces that a worker remembers (up to twice as many)
 SHIFT = 8
 WORD = 1 << SHIFT  # ranks in a word of the lower bitmap
 LOW = WORD - 1
 BITS = [1 << i for i in range(WORD)]
+FEW = 12  # a bucket of fewer positions is merged one by one
+BYTES_AT_ONCE = 1 << 20  # pre-tokens in one list
 
 
 class RankQueue:
@@ -72,137 +71,163 @@ class RankQueue:
             self.top = top ^ (1 << at)
         return rank, bucket[0]
 
+    def drain(self) -> tuple[int, list[int]]:
+        """The lowest waiting rank and all its positions, in no order; (-1, []) if nothing waits."""
+        top = self.top
+        if not top:
+            return -1, []
+        at = (top & -top).bit_length() - 1
+        word = self.words[at]
+        low = word & -word
+        rank = (at << SHIFT) + low.bit_length() - 1
+        bucket, self.buckets[rank] = self.buckets[rank], None
+        self.words[at] = word = word ^ low
+        if not word:
+            self.top = top ^ (1 << at)
+        return rank, bucket
+
 
 class Merger:
-    """Applies the merges of a rank table to single pre-tokens."""
+    """Applies the merges of a rank table to pre-tokens."""
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.ranks = ranks
         self.longest = max(map(len, ranks))
         self.queue = RankQueue(max(ranks.values()) + 1)
-        self.pairs = [ranks.get(bytes((a, b)), -1) for a in range(256) for b in range(256)]
-
-    def __call__(self, piece: bytes) -> list[int]:
-        ranks, longest, pairs = self.ranks, self.longest, self.pairs
-        whole = ranks.get(piece) if len(piece) <= longest else None
-        if whole is not None:
-            return [whole]
-        n, find = len(piece), ranks.get
-        after = list(range(1, n + 2))  # start of the following token; n at the end
-        before = list(range(-1, n))
-        waiting = [pairs[a << 8 | b] for a, b in zip(piece, piece[1:])]  # rank of the pair that starts here
-        waiting.append(-1)
-        # the steps of RankQueue.push and .pop, with its tables at hand; the queue is empty before and after
-        buckets, words, top = self.queue.buckets, self.queue.words, self.queue.top
-        for i, rank in enumerate(waiting):
-            if rank >= 0:
-                bucket = buckets[rank]
-                if bucket:
-                    bucket.append(i)  # positions come in order
-                else:
-                    buckets[rank] = [i]
-                    at = rank >> SHIFT
-                    words[at] |= BITS[rank & LOW]
-                    top |= 1 << at
-        while top:
-            at = (top & -top).bit_length() - 1
-            word = words[at]
-            low = word & -word
-            rank = (at << SHIFT) + low.bit_length() - 1
-            bucket = buckets[rank]
-            if len(bucket) > 1:
-                i = heappop(bucket)
-            else:
-                i = bucket[0]
-                buckets[rank] = None
-                words[at] = word = word ^ low
-                if not word:
-                    top ^= 1 << at
+        self.byte_id = np.array([ranks[bytes((b,))] for b in range(256)], np.int64)
+        # every way to cut a token into two tokens is a merge
+        self.by_pair = {}
+        # ranks whose merge may bring a pair of lower rank next to it, as a part of a token that comes earlier
+        self.unsafe = set()
+        for token, rank in ranks.items():
+            for i in range(1, len(token)):
+                a, b = ranks.get(token[:i], -1), ranks.get(token[i:], -1)
+                if a >= 0 and b >= 0:
+                    self.by_pair[a << 32 | b] = rank
+                self.unsafe.update(part for part in (a, b) if part > rank)
+        keys = np.fromiter(self.by_pair, np.int64, len(self.by_pair))
+        found = np.fromiter(self.by_pair.values(), np.int64, len(self.by_pair))
+        order = np.argsort(keys)
+        self.keys, self.found = np.r_[keys[order], np.iinfo(np.int64).max], np.r_[found[order], -1]
+
+    def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The rank of the merge of a with b; -1 where there is none or one of them is no symbol (-1)."""
+        key = a << 32 | b
+        at = np.searchsorted(self.keys, key)
+        return np.where((a >= 0) & (b >= 0) & (self.keys[at] == key), self.found[at], -1)
+
+    def _merge_few(self, rank: int, positions: list[int], symbol, after, before, waiting) -> None:
+        push, find = self.queue.push, self.by_pair.get
+        for i in positions:
             if waiting[i] != rank:
                 continue  # stale
             gone = after[i]
-            after[i] = right = after[gone]
+            right = after[gone]
+            after[i] = right
+            before[right] = i
+            symbol[i], symbol[gone] = rank, -1
             waiting[gone] = -1
             left = before[i]
-            new = -1
-            if right < n:
-                before[right] = i
-                end = after[right]
-                if end - i <= longest:
-                    new = find(piece[i:end], -1)
-            waiting[i] = new
-            if left >= 0:
-                other = find(piece[left:right], -1) if right - left <= longest else -1
-                waiting[left] = other
-                if other >= 0:
-                    bucket = buckets[other]
-                    if bucket:
-                        heappush(bucket, left)
-                    else:
-                        buckets[other] = [left]
-                        at = other >> SHIFT
-                        words[at] |= BITS[other & LOW]
-                        top |= 1 << at
+            waiting[i] = new = find(rank << 32 | symbol[right], -1) if symbol[right] >= 0 else -1
+            waiting[left] = other = find(symbol[left] << 32 | rank, -1) if symbol[left] >= 0 else -1
             if new >= 0:
-                bucket = buckets[new]
-                if bucket:
-                    heappush(bucket, i)
-                else:
-                    buckets[new] = [i]
-                    at = new >> SHIFT
-                    words[at] |= BITS[new & LOW]
-                    top |= 1 << at
-        out, i = [], 0
-        while i < n:
-            out.append(ranks[piece[i : after[i]]])
-            i = after[i]
+                push(new, i)
+            if other >= 0:
+                push(other, left)
+            if -1 < new < rank or -1 < other < rank:  # what is left of the bucket comes after the lower rank
+                for j in positions:
+                    if waiting[j] == rank:
+                        push(rank, j)
+                return
+
+    def _merge_many(self, rank: int, positions: np.ndarray, symbol, after, before, waiting) -> None:
+        # of pairs that overlap in a chain the first, third, ... are merged
+        chained = np.r_[False, after[positions[:-1]] == positions[1:]]
+        first = np.maximum.accumulate(np.where(chained, 0, np.arange(len(positions))))
+        i = positions[(np.arange(len(positions)) - first) % 2 == 0]
+        gone = after[i]
+        right = after[gone]
+        after[i] = right
+        before[right] = i
+        symbol[i], symbol[gone] = rank, -1
+        waiting[gone] = -1
+        left = before[i]
+        new, other = self._ranks(symbol[i], symbol[right]), self._ranks(symbol[left], symbol[i])
+        waiting[i], waiting[left] = new, other
+        place, rank_there = np.r_[i, left], np.r_[new, other]
+        some = rank_there >= 0
+        for r, p in zip(rank_there[some].tolist(), place[some].tolist()):
+            self.queue.push(r, p)
+
+    def _merge(self, pieces: Sequence[bytes]) -> list[bytes]:
+        """Merges pre-tokens that lie in one list, with a symbol that is none (-1) before, between and after them."""
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        gaps = np.r_[0, np.cumsum(size + 1)]
+        symbol = np.full(gaps[-1] + 1, -1, np.int64)
+        inside = np.ones(len(symbol), bool)
+        inside[gaps] = False
+        symbol[inside] = self.byte_id[np.frombuffer(b"".join(pieces), np.uint8)]
+        after, before = np.arange(1, len(symbol) + 1), np.arange(-1, len(symbol) - 1)
+        waiting = np.r_[self._ranks(symbol[:-1], symbol[1:]), -1]
+        order = np.argsort(waiting, kind="stable")
+        order = order[np.searchsorted(waiting[order], 0) :]
+        queue = self.queue
+        starts = np.flatnonzero(np.diff(waiting[order], prepend=-1))
+        for rank, a, b in zip(waiting[order[starts]].tolist(), starts.tolist(), [*starts[1:].tolist(), len(order)]):
+            positions = order[a:b].tolist()
+            queue.push(rank, positions[0])
+            queue.buckets[rank] = positions
+        views = [memoryview(x) for x in (symbol, after, before, waiting)]  # the same memory, quick to read one by one
+        while queue.top:
+            rank, positions = queue.drain()
+            if len(positions) < FEW or rank in self.unsafe:
+                self._merge_few(rank, sorted(set(positions)), *views)
+            else:
+                found = np.unique(np.array(positions))
+                self._merge_many(rank, found[waiting[found] == rank], symbol, after, before, waiting)
+        left = symbol >= 0
+        flat = symbol[left].astype("<i4").tobytes()
+        ends = (np.r_[0, np.cumsum(left)][gaps] * 4).tolist()
+        return [flat[a:b] for a, b in zip(ends, ends[1:])]
+
+    def merge_all(self, pieces: Sequence[bytes]) -> list[bytes]:
+        """The ids of each pre-token as little-endian 32-bit integers."""
+        out, find, open_ = [b""] * len(pieces), self.ranks.get, []
+        for i, piece in enumerate(pieces):
+            whole = find(piece)
+            if whole is None:
+                open_.append(i)
+            else:
+                out[i] = whole.to_bytes(4, "little")
+        held = 0
+        start = 0
+        for n, i in enumerate(open_):
+            held += len(pieces[i])
+            if held >= BYTES_AT_ONCE or n + 1 == len(open_):
+                some = open_[start : n + 1]
+                for j, ids in zip(some, self._merge([pieces[j] for j in some])):
+                    out[j] = ids
+                held, start = 0, n + 1
         return out
 
+    def __call__(self, piece: bytes) -> list[int]:
+        return np.frombuffer(self.merge_all([piece])[0], "<i4").tolist()
+
 
 def load_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as lines:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
-class Encoder:
+class Encoder(PieceIds):
     """Ids of texts as little-endian 32-bit integers."""
 
-    def __init__(self, path: str, pattern: str, cached: int = CACHED) -> None:
-        self.merge = Merger(load_ranks(path))
-        self.find = regex.compile(pattern).findall
-        # pre-tokens that begin with a space are remembered without it, among the words; the others here
-        self.tokens = Recent(self._merged, cached // 3)
-        self.after_space = Recent(self._word, cached)
-        self.is_space = regex.compile(r"\s").match
-
-    def _merged(self, token: str) -> bytes:
-        return array("i", self.merge(token.encode("utf-8", "surrogatepass"))).tobytes()
-
-    def _edged(self, word: str) -> bool:
-        return not word or bool(self.is_space(word[0]) or self.is_space(word[-1]))
-
-    def _word(self, word: str) -> bytes | None:
-        """What a space and this text stand for; None if white space meets at its edges."""
-        if self._edged(word):
-            return None
-        found = self.find(" " + word)
-        return self._merged(found[0]) if len(found) == 1 else self._joined(found)
-
-    def _joined(self, found: list[str]) -> bytes:
-        return b"".join([self.after_space[t[1:]] if t[0] == " " and len(t) > 1 and not self._edged(t[1:]) else self.tokens[t] for t in found])
-
-    def _split(self, text: str) -> bytes:
-        return self._joined(self.find(text))
+    def __init__(self, path: str, pattern: str, cache_bytes: int = CACHE_BYTES) -> None:
+        merger = Merger(load_ranks(path))
+        super().__init__(pattern, lambda pieces: merger.merge_all([p.encode("utf-8", "surrogatepass") for p in pieces]), None, cache_bytes)
 
     def __call__(self, text: str) -> bytes:
-        # A space between characters that are not white space starts a pre-token, so texts may be cut at such
-        # spaces. Where white space meets, the pattern goes over the whole text.
-        head, *rest = text.split(" ")
-        after_space = self.after_space
-        parts = [after_space[w] for w in rest]
-        if None in parts or rest and self._edged(head):
-            return self._split(text)
-        return self._split(head) + b"".join(parts)
+        return self.text(text)
 
 
 @lru_cache(maxsize=1)
@@ -224,21 +249,15 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     ``path`` must be readable on the executors; ``pattern`` cuts the text into pre-tokens that are merged
     separately. A null or empty text has no ids. Every row is returned as it came, so repeated rows,
-    ties and null ids need no rule; an empty table gives no rows. A column named ``ids`` is replaced.
+    ties and null ids need no rule; an empty table gives no rows; a very long text is laid out by itself. A column
+    named ``ids``, in any case, is replaced.
     """
     rows = docs.withColumn("ids", F.lit(None).cast("array<int>"))
     place = [c.lower() for c in rows.columns].index("text")
     ids = [c.lower() for c in rows.columns].index("ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(path, pattern)
-        for batch in batches:
-            found = [encoder(t.as_py() or "") for t in batch.column(place)]
-            ends = np.cumsum([0, *map(len, found)]) // 4
-            flat = np.frombuffer(b"".join(found), dtype="<i4")
-            columns = list(batch.columns)
-            columns[ids] = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
-            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+        yield from encoded(batches, place, ids, _encoder(path, pattern))
 
     return small_batches(rows).mapInArrow(run, rows.schema)
 
