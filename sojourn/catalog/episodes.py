@@ -119,7 +119,7 @@ def episode_match_tied_times(spark: SparkSession, folder: str) -> DataFrame:
 @registry.query(f"with {episode_sql()} {_MATCH_COLUMNS}")
 def episode_match_hot_entities(spark: SparkSession, folder: str) -> DataFrame:
     """The path for entities too big for one task, forced by a low threshold."""
-    return paired(spark, folder, slice_days=0.5, hot_rows=40).matched
+    return paired(spark, folder, slice_rows=500, hot_rows=40).matched
 
 
 @registry.query(
@@ -266,7 +266,7 @@ def orders_reentry(spark: SparkSession, folder: str) -> DataFrame:
     )
     result = ep.pair_episodes(
         starts, ends, entity="custkey", start_ts="start_ts", end_ts="end_ts",
-        extract_end=datetime(2100, 1, 1), slice_days=30,
+        extract_end=datetime(2100, 1, 1), slice_rows=500,
     )
     return result.all_starts.drop("observation_end", "followup_days_available")
 

@@ -77,7 +77,7 @@ select o_orderkey, position::BIGINT as position, case when position < n - 3 * (n
 )
 def expanding_folds(spark: SparkSession, folder: str) -> DataFrame:
     rows = read_table(spark, folder, "orders").select("o_orderkey", "o_orderdate")
-    return sp.expanding_folds(rows, ts="o_orderdate", tie="o_orderkey", k=3, slice_days=30).select("o_orderkey", "position", "block")
+    return sp.expanding_folds(rows, ts="o_orderdate", tie="o_orderkey", k=3).select("o_orderkey", "position", "block")
 
 
 @registry.query(

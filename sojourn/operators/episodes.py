@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sojourn.operators.ranking import first_per_group
-from sojourn.operators.skew import HOT_ROWS, MICROS_PER_DAY, hot_keys, micros, time_slice
+from sojourn.operators.skew import HOT_ROWS, MICROS_PER_DAY, hot_keys, micros, with_slices
 
 # End types (trimmed, lower case) and the reason they map to.
 CENSORING_REASONS: dict[str, tuple[str, ...]] = {
@@ -79,6 +79,17 @@ def _points(starts: DataFrame, ends: DataFrame, entity: str, start_ts: str, end_
     )
 
 
+def _instants(points: DataFrame, entity: str) -> DataFrame:
+    """One row per (entity, time) and kind: the first start, the first end."""
+    return points.groupBy(entity, "_us", "_is_start").agg(
+        F.min("_start").alias("_start"),
+        F.min("_end").alias("_end"),
+        F.min("_start_us").alias("_start_us"),
+        F.min("_end_us").alias("_end_us"),
+        F.min("_n").alias("_n"),
+    )
+
+
 def _edges(points: DataFrame, entity: str) -> DataFrame:
     """Two marker rows per slice of a cut entity: what lies before it and after it."""
     per_slice = points.groupBy(entity, "_slice").agg(
@@ -115,7 +126,7 @@ def pair_episodes(
     tie_break: Sequence[str] = (),
     end_type: str | None = None,
     reasons: Mapping[str, Sequence[str]] = CENSORING_REASONS,
-    slice_days: float = 1.0,
+    slice_rows: int | None = None,
     hot_rows: int | None = HOT_ROWS,
 ) -> Episodes:
     """Give every start the first end in ``[start, next start)`` not after ``extract_end``.
@@ -123,8 +134,9 @@ def pair_episodes(
     Also adds the running episode number, whether the entity was seen before, and the
     whole days since its last earlier end. Starts are unique per (entity, start). All of it
     is one pass over one partitioning of the two inputs by entity. Rows per entity are counted
-    first; entities with more than ``hot_rows`` rows are cut into time slices whose neighbours
-    are passed on as marker rows.
+    first; entities with more than ``hot_rows`` rows are cut into time slices of about ``slice_rows`` rows, with borders
+    from the rows, whose neighbours are passed on as marker rows. Of their events at one instant only the first
+    start and the first end can count, so these are picked before the cut.
     """
     starts = starts.dropna(subset=[entity, start_ts])
     ends = ends.dropna(subset=[entity, end_ts])
@@ -136,12 +148,11 @@ def pair_episodes(
     if hot is None or hot.isEmpty():
         rows = points.withColumn("_slice", F.lit(0).cast("bigint"))
     else:
-        cut = time_slice(F.col("_us"), slice_days)
         # every hot key has more than hot_rows rows, so there are at most (rows / hot_rows) of them
-        tagged = points.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), entity, "left")
-        rows = tagged.withColumn("_slice", F.when(F.col("_hot"), cut).otherwise(F.lit(0))).drop("_hot")
-        in_hot = points.join(F.broadcast(hot), entity, "leftsemi").withColumn("_slice", cut)
-        rows = rows.unionByName(_edges(in_hot, entity), allowMissingColumns=True)
+        hot = F.broadcast(hot)
+        in_hot = with_slices(_instants(points.join(hot, entity, "leftsemi"), entity), "_us", slice_rows)
+        rows = points.join(hot, entity, "leftanti").withColumn("_slice", F.lit(0).cast("bigint"))
+        rows = rows.unionByName(in_hot).unionByName(_edges(in_hot, entity), allowMissingColumns=True)
 
     # One shuffle by (entity, slice), then two orders. Forwards, repeated starts are found (the first by
     # tie-break stays) and the last earlier end and the start count follow; backwards, the next start and end.

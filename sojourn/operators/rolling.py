@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sojourn.operators.skew import MICROS_PER_DAY, micros, running_totals, time_slice
+from sojourn.operators.skew import MICROS_PER_DAY, micros, running_totals
 
 
 def prior_counts(
@@ -17,7 +17,7 @@ def prior_counts(
     ts: str,
     windows: Sequence[int] = (7, 30),
     prefix: str = "intake_volume",
-    slice_days: float = 1.0,
+    slice_rows: int | None = None,
 ) -> DataFrame:
     """Starts of all entities in ``[t - w days, t)`` for every (entity, t), w in ``windows``.
 
@@ -43,9 +43,7 @@ def prior_counts(
         ]
     )
     points = per_time.select("_t", F.explode(questions).alias("_q")).select("_t", "_q.us", "_q.w", "_q.n")
-    counted = running_totals(
-        points, [], "us", {"c": "n"}, slice_by=time_slice(F.col("us"), slice_days), with_ties=True
-    )
+    counted = running_totals(points, [], "us", {"c": "n"}, slice_rows=slice_rows, with_ties=True)
     per_question = counted.groupBy("_t").agg(
         *[F.max(F.when(F.col("w") == w, F.col("c_before"))).alias(f"_c{w}") for w in (0, *windows)]
     )

@@ -19,31 +19,50 @@ MICROS_PER_DAY = 86_400_000_000
 # at most (all rows / HOT_ROWS) keys can be hot.
 HOT_ROWS = 1_000_000
 
+# Rows of a slice, and the most slices that one order is cut into.
+SLICE_ROWS = 1_000_000
+GRID = 4096
+
 
 def micros(ts: Column) -> Column:
     """Microseconds since the epoch of a local timestamp (session zone UTC)."""
     return F.unix_micros(ts.cast("timestamp"))
 
 
-def time_slice(us: Column, days: float = 1.0) -> Column:
-    return F.floor(us / F.lit(int(MICROS_PER_DAY * days))).cast("bigint")
-
-
-def value_slice(value: Column, resolution: int = 256) -> Column:
-    """Order-preserving bucket number of a double with constant relative width.
+def with_slices(
+    rows: DataFrame, order: str, slice_rows: int | None = None, name: str = "_slice", *, narrow: bool = False
+) -> DataFrame:
+    """Adds ``name``: which of several consecutive ranges of ``order`` a row lies in, about ``slice_rows`` rows each.
 
-    Every power of two is cut into ``resolution`` equal parts, so long tails and
-    tiny values get their own buckets without knowing the data's range.
+    The borders are quantiles of the rows themselves, from quantile sketches that are merged over all tasks, so the number of
+    slices grows with the rows and follows them into any narrow range. One aggregate finds them as a
+    scalar subquery of the same plan; a row finds its slice by binary search. Rows of equal ``order`` share a slice; nulls are
+    in slice 0. Sketches only choose borders: what is computed over the slices stays exact.
+    Of ``narrow`` rows the aggregate reads all columns, so that it shares the shuffle that makes the rows.
     """
-    size = F.abs(value.cast("double"))
-    plain = F.when(size < float("inf"), size)
-    exponent = F.floor(F.log2(plain))
-    part = F.floor((plain / F.pow(F.lit(2.0), exponent) - 1.0) * resolution)
-    bucket = (exponent + 1100) * resolution + part
-    last = F.lit(1 << 40)  # beyond every finite value's bucket
-    infinite = F.when(value > 0, last).otherwise(-last)
-    finite = F.when(value == 0, F.lit(0)).when(value > 0, bucket).otherwise(-bucket)
-    return F.when(size == float("inf"), infinite).otherwise(finite.cast("bigint"))
+    wanted = F.lit(SLICE_ROWS if slice_rows is None else slice_rows)
+    value = f"cast(`{order}` as double)"
+    shares = ",".join(repr(i / GRID) for i in range(1, GRID))
+    read = F.count_if(F.xxhash64(*rows.columns) != 0) if narrow else F.count(F.col(order))
+    sketch = rows.agg(
+        read.alias("n"),
+        F.expr(f"percentile_approx({value}, cast(split('{shares}', ',') as array<double>), {4 * GRID})").alias("grid"),
+    )
+    parts = F.least(F.lit(GRID), F.ceil(F.col("n") / wanted)).cast("int")
+    none = F.array().cast("array<double>")
+    border = F.transform(F.sequence(F.lit(1), F.col("parts") - 1), lambda i: F.get("grid", F.floor(i * GRID / F.col("parts")).cast("int") - 1))
+    powers = F.transform(F.sequence(F.lit(12), F.lit(0)), lambda k: F.pow(F.lit(2), k).cast("int"))
+    found = sketch.select("grid", parts.alias("parts")).select(
+        F.struct(
+            F.when(F.col("parts") > 1, border).otherwise(none).alias("borders"),
+            F.filter(powers, lambda step: step < F.col("parts")).alias("steps"),
+        ).alias("found")
+    )
+    marked = rows.withColumn("_found", found.scalar())
+    at = F.expr(
+        f"aggregate(_found.steps, 0, (at, step) -> if(coalesce(get(_found.borders, at + step - 1) <= {value}, false), at + step, at))"
+    )
+    return marked.withColumn(name, at.cast("bigint")).drop("_found")
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -76,7 +95,7 @@ def running_totals(
     order: str,
     totals: Mapping[str, str],
     *,
-    slice_by: Column | None = None,
+    slice_rows: int | None = None,
     descending: bool = False,
     with_ties: bool = False,
 ) -> DataFrame:
@@ -86,11 +105,13 @@ def running_totals(
     rows ``with_ties``. ``totals`` maps an output name to the column to add up.
     ``<name>_before`` sums all rows of the group that come strictly before this one;
     ``<name>_all`` sums the group. Only per-slice totals are ever brought together, one
-    row per slice.
+    row per slice. Slices are ranges of ``order`` that all groups share (``with_slices``): a group has at most
+    the rows of a slice in one task, whatever its size and however close its values lie.
     """
-    slice_by = value_slice(F.col(order)) if slice_by is None else slice_by
     # a struct equals itself even where it holds null: windows and joins share one partitioning, with plain equality
-    sliced = rows.withColumns({"_slice": slice_by, "_group": F.struct(*keys) if keys else F.struct(F.lit(0).alias("_all"))})
+    group = F.struct(*keys) if keys else F.struct(F.lit(0).alias("_all"))
+    narrow = set(rows.columns) == {*keys, order, *totals.values()}
+    sliced = with_slices(rows, order, slice_rows, narrow=narrow).withColumn("_group", group)
     by_order = F.col(order).desc() if descending else F.col(order).asc()
     by_slice = F.col("_slice").desc() if descending else F.col("_slice").asc()
     inside = Window.partitionBy("_group", "_slice").orderBy(by_order)
@@ -166,9 +187,9 @@ def exact_quantiles(
 
 
 def hash_positions(rows: DataFrame, keys: Sequence[str], number: Column, name: str) -> DataFrame:
-    """Adds ``name``: the place of a row in its group, from 0, by a 64-bit hash; spread evenly over 4096 slices."""
+    """Adds ``name``: the place of a row in its group, from 0, by a 64-bit hash."""
     numbered = rows.withColumns({"_hash": number, "_one": F.lit(1).cast("bigint")})
-    placed = running_totals(numbered, keys, "_hash", {"_at": "_one"}, slice_by=F.shiftright(F.col("_hash"), 52))
+    placed = running_totals(numbered, keys, "_hash", {"_at": "_one"})
     return placed.withColumnRenamed("_at_before", name).drop("_hash", "_one", "_at_all")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sojourn.functions.clean import recency_weight
-from sojourn.operators.skew import micros, running_totals, time_slice
+from sojourn.operators.skew import micros, running_totals
 
 
 @dataclass(frozen=True)
@@ -109,17 +109,17 @@ def folds(rows: DataFrame, *, key: Sequence[str], k: int = 5, seed: int = 42, cl
     return rows.withColumn("fold", F.floor(hash_share(parts, seed) * k).cast("int"))
 
 
-def row_positions(rows: DataFrame, *, ts: str, tie: str, slice_days: float = 1.0) -> DataFrame:
+def row_positions(rows: DataFrame, *, ts: str, tie: str, slice_rows: int | None = None) -> DataFrame:
     """Zero-based position of every row in the order (time, tie), without a global sort.
 
-    ``tie`` is a number that is unique within a time.
+    ``tie`` is a number that is unique within a time; rows of one time are cut by it, so no instant is too large.
     """
     timed = rows.withColumn("_us", micros(F.col(ts)))
     per_time = timed.groupBy("_us").agg(F.count(F.lit(1)).alias("_n"))
-    before = running_totals(per_time, [], "_us", {"t": "_n"}, slice_by=time_slice(F.col("_us"), slice_days)).select(
+    before = running_totals(per_time, [], "_us", {"t": "_n"}, slice_rows=slice_rows).select(
         "_us", F.col("t_before").alias("_before"), F.col("t_all").alias("total_rows")
     )
-    inside = running_totals(timed.withColumn("_one", F.lit(1).cast("bigint")), ["_us"], tie, {"i": "_one"})
+    inside = running_totals(timed.withColumn("_one", F.lit(1).cast("bigint")), ["_us"], tie, {"i": "_one"}, slice_rows=slice_rows)
     return (
         inside.join(before, "_us")
         .withColumn("position", F.col("_before") + F.col("i_before"))
@@ -127,12 +127,12 @@ def row_positions(rows: DataFrame, *, ts: str, tie: str, slice_days: float = 1.0
     )
 
 
-def expanding_folds(rows: DataFrame, *, ts: str, tie: str, k: int = 3, slice_days: float = 1.0) -> DataFrame:
+def expanding_folds(rows: DataFrame, *, ts: str, tie: str, k: int = 3, slice_rows: int | None = None) -> DataFrame:
     """Block number 0..k of every row by time; fold f trains on blocks below f and validates on block f.
 
     Blocks 1..k have floor(n / (k + 1)) rows each, block 0 the earlier rest.
     """
-    placed = row_positions(rows, ts=ts, tie=tie, slice_days=slice_days)
+    placed = row_positions(rows, ts=ts, tie=tie, slice_rows=slice_rows)
     size = F.floor(F.col("total_rows") / (k + 1))
     first = F.col("total_rows") - size * k
     block = F.when(F.col("position") < first, F.lit(0)).otherwise(

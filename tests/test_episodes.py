@@ -84,8 +84,8 @@ def greedy(starts, ends, extract):
     return out
 
 
-@pytest.mark.parametrize("hot_rows, slice_days", [(None, 1.0), (5, 1.0), (0, 0.25), (30, 3.0)])
-def test_random_histories_with_one_dominant_entity(spark, hot_rows, slice_days):
+@pytest.mark.parametrize("hot_rows, slice_rows", [(None, None), (5, 40), (0, 7), (30, 1)])
+def test_random_histories_with_one_dominant_entity(spark, hot_rows, slice_rows):
     rng = random.Random(7)
     base = d("2020-01-01")
     moment = lambda: base + timedelta(hours=rng.randrange(0, 24 * 20))
@@ -93,7 +93,7 @@ def test_random_histories_with_one_dominant_entity(spark, hot_rows, slice_days):
     starts = [(who(), moment(), i) for i in range(160)]
     ends = [(who(), moment(), rng.choice(["Adoption", "Transfer"])) for _ in range(160)]
     extract = base + timedelta(days=17)
-    rows = pair(spark, starts, ends, end=extract, hot_rows=hot_rows, slice_days=slice_days).all_starts.collect()
+    rows = pair(spark, starts, ends, end=extract, hot_rows=hot_rows, slice_rows=slice_rows).all_starts.collect()
     want = greedy(starts, ends, extract)
     assert len(rows) == len(want)
     for r in rows:

@@ -1,11 +1,12 @@
 import math
 import random
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sojourn.operators.skew import exact_quantiles, running_totals, stacked_sums, value_slice
+from sojourn.operators.skew import exact_quantiles, running_totals, stacked_sums, with_slices
 
 
 def values(rng, n):
@@ -16,22 +17,55 @@ def values(rng, n):
     return [rng.choice(makers)() for _ in range(n)]
 
 
+def slice_sizes(rows, order, slice_rows):
+    found = with_slices(rows, order, slice_rows).groupBy("_slice").agg(F.count("*").alias("n"), F.min(order).alias("low"), F.max(order).alias("high"))
+    found = found.orderBy("_slice").collect()
+    assert all(a.high < b.low for a, b in zip(found, found[1:]))
+    return [r.n for r in found]
+
+
 def test_slices_never_break_the_order(spark):
-    vs = values(random.Random(1), 4000)
-    rows = spark.createDataFrame([(v,) for v in vs], "v double").select("v", value_slice(F.col("v")).alias("s")).collect()
-    ordered = sorted((r.v, r.s) for r in rows)
-    assert all(a[1] <= b[1] for a, b in zip(ordered, ordered[1:]))
-    assert len({r.s for r in rows}) > 100
+    vs = sorted(set(values(random.Random(1), 4000)))
+    sizes = slice_sizes(spark.createDataFrame([(v,) for v in vs], "v double"), "v", 40)
+    assert sum(sizes) == len(vs) and len(sizes) > len(vs) / 60 and max(sizes) < 80
+
+
+def test_slices_follow_the_rows(spark):
+    """All values in [0.5, 1), all times within a second: a hundred times the rows are a hundred times the slices."""
+    for value in (F.rand(3) / 2 + 0.5, F.col("id") + 1_700_000_000_000_000):
+        for n in (1_000, 100_000):
+            sizes = slice_sizes(spark.range(n).select(value.alias("v")), "v", 500)
+            assert max(sizes) < 750 and len(sizes) > n / 750
+
+
+def test_one_slice_for_few_rows_and_none_for_no_rows(spark):
+    rows = spark.createDataFrame([(1.0,), (None,), (float("inf"),), (float("-inf"),), (-0.0,)], "v double")
+    assert {r._slice for r in with_slices(rows, "v").collect()} == {0}
+    assert with_slices(rows.limit(0), "v", 1).collect() == []
+    many = spark.createDataFrame([(float(v),) for v in range(50)] + [(7.0,)] * 500, "v double")
+    by_slice = with_slices(many, "v", 5).groupBy("v").agg(F.count_distinct("_slice").alias("k")).collect()
+    assert {r.k for r in by_slice} == {1}
+
+
+def test_borders_are_found_once(spark):
+    """Both sides of a running total use the same borders, and the borders the shuffle that made the rows."""
+    rows = spark.range(5000).groupBy((F.col("id") % 3).alias("k"), F.col("id").cast("double").alias("v")).agg(F.count("*").alias("n"))
+    out = running_totals(rows, ["k"], "v", {"t": "n"}, slice_rows=100)
+    assert len(out.collect()) == 5000
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert len(set(re.findall(r"Subquery (subquery#\d+)", plan))) == 1 and "ReusedSubquery" in plan
+    assert "ReusedExchange" in plan
 
 
+@pytest.mark.parametrize("slice_rows", [None, 60])
 @pytest.mark.parametrize("descending", [False, True])
-def test_running_totals_with_a_dominant_group(spark, descending):
+def test_running_totals_with_a_dominant_group(spark, descending, slice_rows):
     rng = random.Random(2)
     data = {}
     for v in values(rng, 900):
         data[("hot" if rng.random() < 0.6 else f"g{rng.randrange(5)}", v)] = rng.randrange(1, 9)
     rows = spark.createDataFrame([(k, v, n) for (k, v), n in data.items()], "k string, v double, n bigint")
-    for r in running_totals(rows, ["k"], "v", {"t": "n"}, descending=descending).collect():
+    for r in running_totals(rows, ["k"], "v", {"t": "n"}, descending=descending, slice_rows=slice_rows).collect():
         same = {v: n for (k, v), n in data.items() if k == r.k}
         assert r.t_all == sum(same.values())
         assert r.t_before == sum(n for v, n in same.items() if (v > r.v if descending else v < r.v))
