@@ -117,7 +117,7 @@ def adopted_timing(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(
         co.adopted_timing(
             stays(spark, folder), dims=["o_orderpriority", "o_orderstatus"], entity_type="o_orderstatus",
-            label="label", days="days", whole_days=True,
+            label="label", days="days",
         )
     )
 

@@ -304,7 +304,7 @@ def quantiles_odd_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 _RELIABILITY_SQL = f"""{SCORED_SQL}, rel as (
 """ + " union all ".join(
-    f"""select '{c}' as cohort, {c}::VARCHAR as value, count(*)::BIGINT as records, count(*) < 9000 as small_cohort_flag,
+    f"""select '{c}' as cohort, {c}::VARCHAR as value, count(*)::BIGINT as records, count(*) < 870 as small_cohort_flag,
 avg(label) as observed_adoption_rate, avg(score) as mean_predicted_adoption_probability, abs(avg(label) - avg(score)) as calibration_gap,
 avg((score - label) * (score - label)) as brier_score, avg(absolute_error) as mae,
 count(*) filter (where predicted = 1 and label = 0)::DOUBLE / count(*) as false_positive_rate,
@@ -314,7 +314,7 @@ count(*) filter (where predicted = 0 and label = 1)::DOUBLE / count(*) as false_
 
 
 def _reliability(spark: SparkSession, folder: str) -> DataFrame:
-    return mx.cohort_reliability(scored(spark, folder), COHORTS, absolute_error="absolute_error", min_records=9000, **_COLS)
+    return mx.cohort_reliability(scored(spark, folder), COHORTS, absolute_error="absolute_error", min_records=870, **_COLS)
 
 
 def _r6(*names: str) -> str:
@@ -370,7 +370,7 @@ def failure_modes(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(mx.failure_modes(_reliability(spark, folder), top=3))
 
 
-_SLICES = dict(absolute_error="absolute_error", min_records=9000, whole_units=True, **_COLS)
+_SLICES = dict(absolute_error="absolute_error", min_records=870, **_COLS)
 
 
 @registry.query(
@@ -385,7 +385,7 @@ def error_slices_classification(spark: SparkSession, folder: str) -> DataFrame:
     f"with {SCORED_SQL} "
     + " union all ".join(
         f"""select '{c}' as slice, {c}::VARCHAR as value, count(absolute_error)::BIGINT as records, round(avg(absolute_error), 6) as mae,
-round(quantile_cont(absolute_error, 0.5), 6) as median_absolute_error from scored group by {c} having count(*) >= 9000"""
+round(quantile_cont(absolute_error, 0.5), 6) as median_absolute_error from scored group by {c} having count(*) >= 870"""
         for c in COHORTS
     )
 )
@@ -396,7 +396,7 @@ def error_slices_regression(spark: SparkSession, folder: str) -> DataFrame:
 @registry.query(
     f"with {SCORED_SQL} "
     + " union all ".join(
-        f"""select '{c}: ' || {c}::VARCHAR as cohort, round(avg(absolute_error), 6) as mae, count(absolute_error)::BIGINT as records from scored group by {c} having count(*) >= 9000"""
+        f"""select '{c}: ' || {c}::VARCHAR as cohort, round(avg(absolute_error), 6) as mae, count(absolute_error)::BIGINT as records from scored group by {c} having count(*) >= 870"""
         for c in COHORTS
     )
 )

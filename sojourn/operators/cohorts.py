@@ -118,33 +118,38 @@ def adopted_timing(
     label: str,
     days: str,
     marks: Sequence[int] = (7, 30, 60, 90),
-    whole_days: bool = False,
 ) -> DataFrame:
     """Timing of positive episodes per dimension value, for each entity type and combined.
 
-    Totals count all rows of the group, timing only the positive ones.
+    Totals count all rows of the group, timing only the positive ones. Rows are counted per joint cell
+    (all dimensions, type, days) first; the histograms of single values, from which the exact
+    quantiles are read, are sums of cells.
     """
     both = F.explode(
         F.array(F.col(entity_type).cast("string"), F.lit("Combined"))
     )
     hit = F.col(label) == 1
     value = F.when(hit, F.col(days))
-    split = stack_dimensions(
-        rows.select(*[d for d in dims if d != entity_type], entity_type, hit.alias("_hit"), value.alias("_days")),
-        dims,
-        [entity_type, "_hit", "_days"],
-    ).select("variable", "value", both.alias("animal_type"), "_hit", "_days")
+    joint = [*[d for d in dims if d != entity_type], entity_type]
+    cells = rows.groupBy(*joint, hit.alias("_hit"), value.alias("_days")).agg(F.count(F.lit(1)).alias("_n"))
+    split = stack_dimensions(cells, dims, [entity_type, "_hit", "_days", "_n"]).select(
+        "variable", "value", both.alias("animal_type"), "_hit", "_days", "_n"
+    )
     keys = ["variable", "value", "animal_type"]
+    histogram = split.groupBy(*keys, "_days").agg(
+        F.sum("_n").alias("_n"), F.sum(F.when(F.col("_hit"), F.col("_n")).otherwise(F.lit(0))).alias("_hits")
+    )
+    timed = F.when(F.col("_days").isNotNull() & ~F.isnan(F.col("_days").cast("double")), F.col("_n"))
+    sums = histogram.groupBy(*keys).agg(
+        F.sum("_n").alias("all_records"),
+        F.sum("_hits").alias("adopted_records"),
+        (F.sum(F.col("_days") * timed) / F.sum(timed)).alias("mean_days_to_adoption"),
+        *[F.sum(F.when(F.col("_days") <= m, F.col("_n")).otherwise(F.lit(0))).alias(f"adopted_within_{m}_days") for m in marks],
+    )
     names = {"p25_days_to_adoption": 0.25, "median_days_to_adoption": 0.5, "p75_days_to_adoption": 0.75}
-    measures = [
-        F.count(F.lit(1)).alias("all_records"),
-        F.count_if("_hit").alias("adopted_records"),
-        F.avg("_days").alias("mean_days_to_adoption"),
-        *[F.count_if(F.col("_days") <= m).alias(f"adopted_within_{m}_days") for m in marks],
-    ]
+    spread = exact_quantiles(histogram, keys, "_days", names, weight="_n")
     return (
-        grouped(split, keys, measures, "_days", names, whole_days)
-        .filter(F.col("mean_days_to_adoption").isNotNull())
+        null_safe_join(sums.filter(F.col("mean_days_to_adoption").isNotNull()), spread, keys, "left")
         .withColumnRenamed("variable", "group_variable")
         .withColumnRenamed("value", "group_value")
     )

@@ -564,9 +564,12 @@ def error_slices(
     predicted: str,
     absolute_error: str,
     min_records: int = 100,
-    whole_units: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
-    """Classification and regression error per slice value."""
+    """Classification and regression error per slice value.
+
+    Errors are counted per joint cell (all dimensions, error) first; means and exact medians of single
+    values come from sums of cells.
+    """
     table = cohort_reliability(
         scored, dims, label=label, score=score, predicted=predicted, absolute_error=absolute_error, min_records=min_records
     )
@@ -583,11 +586,16 @@ def error_slices(
         )
         .orderBy(F.desc("false_negative_rate"), F.desc("records"), "slice", "value")
     )
-    long = stack_dimensions(scored, dims, [absolute_error])
+    cells = scored.groupBy(*dims, F.col(absolute_error).alias("_e")).agg(F.count(F.lit(1)).alias("_n"))
     keys = ["variable", "value"]
-    measures = [F.count(absolute_error).alias("records"), F.avg(absolute_error).alias("mae")]
+    histogram = stack_dimensions(cells, dims, ["_e", "_n"]).groupBy(*keys, "_e").agg(F.sum("_n").alias("_n"))
+    known = F.when(F.col("_e").isNotNull(), F.col("_n")).otherwise(F.lit(0))
+    sums = histogram.groupBy(*keys).agg(
+        F.sum(known).alias("records"), (F.sum(F.col("_e") * F.col("_n")) / F.nullif(F.sum(known), F.lit(0))).alias("mae")
+    )
+    medians = exact_quantiles(histogram, keys, "_e", {"median_absolute_error": 0.5}, weight="_n")
     regression = (
-        grouped(long, keys, measures, absolute_error, {"median_absolute_error": 0.5}, whole_units)
+        null_safe_join(sums, medians, keys, "left")
         .filter(F.col("records") >= min_records)
         .withColumnRenamed("variable", "slice")
         .orderBy(F.desc("mae"), F.desc("records"), "slice", "value")
