@@ -10,6 +10,7 @@ from sojourn.catalog.tables import SCORED_SQL, rounded, scored
 from sojourn.operators import bootstrap as bs
 from sojourn.operators import metrics as mx
 from sojourn.operators.cohorts import nearest_row, slice_view
+from sojourn.operators.isotonic import isotonic_values, pooled_blocks
 from sojourn.operators.skew import exact_quantiles
 from sojourn.sources.tables import read_table
 
@@ -503,3 +504,46 @@ def bootstrap_intervals_by_row(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(
         bs.row_bootstrap_intervals(scored(spark, folder), key, replicates=REPLICATES, absolute_error="absolute_error", **_COLS)
     )
+
+
+_ISOTONIC_POINTS = f"""{SCORED_SQL},
+points as (select floor(score * 200) / 200 as s, sum(label)::DOUBLE as t, count(label)::DOUBLE as w from scored group by 1),
+numbered as (select *, row_number() over (order by s) as i, sum(t) over (order by s) as st, sum(w) over (order by s) as sw from points),
+spans as (select a.i as lo, b.i as hi, (b.st - a.st + a.t) / (b.sw - a.sw + a.w) as mean from numbered a join numbered b on a.i <= b.i),
+ends as (select lo, i, min(mean) as least from spans join numbered n on n.i between lo and hi group by lo, i),
+fitted as (select i, max(least) as value from ends group by i)"""
+
+
+def _isotonic(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    at = F.floor(F.col("score") * 200) / 200
+    points = scored(spark, folder).groupBy(at.alias("s")).agg(
+        F.sum(F.col("label").cast("double")).alias("t"), F.count("label").cast("double").alias("w")
+    )
+    return points, pooled_blocks(points, score="s", total="t", weight="w", slice_rows=16)
+
+
+@registry.query(
+    f"""with {_ISOTONIC_POINTS} select min(s) as low, max(s) as high, sum(t)::BIGINT as positives, sum(w)::BIGINT as records, round(value, 8) as value
+from numbered join fitted using (i) group by value"""
+)
+def isotonic_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """Level sets of labels over rounded scores, pooled in many small slices; SQL states the max-min formula."""
+    blocks = _isotonic(spark, folder)[1]
+    return blocks.select(
+        "low", "high", F.col("total").cast("bigint").alias("positives"), F.col("weight").cast("bigint").alias("records"), F.round("value", 8).alias("value")
+    )
+
+
+@registry.query(
+    f"""with {_ISOTONIC_POINTS}, edges as (select min(s) as low, max(s) as high, value from numbered join fitted using (i) group by value),
+asked as (select distinct floor(score * 1000) / 1000 + 0.0005 as s from scored)
+select s, round(case when b.value is null then a.value when a.value is null then b.value when s <= a.high then a.value
+  else a.value + (b.value - a.value) * ((s - a.high) / (b.low - a.high)) end, 8) as value
+from (select s, (select arg_max(low, low) from edges where low <= s) as under, (select arg_min(low, low) from edges where low > s) as over from asked)
+left join edges a on a.low = under left join edges b on b.low = over"""
+)
+def isotonic_calibration(spark: SparkSession, folder: str) -> DataFrame:
+    """Calibrated values at scores between the points."""
+    asked = scored(spark, folder).select((F.floor(F.col("score") * 1000) / 1000 + 0.0005).alias("s")).distinct()
+    out = isotonic_values(asked, _isotonic(spark, folder)[1], score="s", output="value", slice_rows=50)
+    return out.select("s", F.round("value", 8).alias("value"))

@@ -9,11 +9,12 @@ from functools import reduce
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression, LinearRegression
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sojourn.functions.labels import days_bucket
+from sojourn.operators.isotonic import isotonic_values, pooled_blocks
 from sojourn.operators.splits import folds
 from sojourn.plans.training import CLASSIFICATION, Features, Fitted, Model, evaluate, fit
 from sojourn.session import ensure_checkpoint_dir
@@ -26,30 +27,29 @@ class Calibrator:
     """Fitted on scores of the calibration period only."""
 
     method: str
-    model: object
+    model: object  # blocks of the isotonic regression as a table, or a fitted logistic model
 
     def apply(self, scored: DataFrame, output: str = "calibrated") -> DataFrame:
-        rows = VectorAssembler(inputCols=["score"], outputCol="_v").transform(scored)
-        out = self.model.transform(rows)
-        value = vector_to_array("probability")[1] if self.method == "sigmoid" else F.col("prediction")
-        return out.select(*scored.columns, F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0)).alias(output))
+        bounded = lambda value: F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0)).alias(output)
+        if self.method == "isotonic":
+            out = isotonic_values(scored, self.model, score="score", output="_value")
+            return out.select(*scored.columns, bounded(F.col("_value")))
+        out = self.model.transform(VectorAssembler(inputCols=["score"], outputCol="_v").transform(scored))
+        return out.select(*scored.columns, bounded(vector_to_array("probability")[1]))
 
 
 def calibrate(scored: DataFrame, *, label: str, method: str = "isotonic") -> Calibrator:
     """Isotonic or sigmoid map from score to observed rate.
 
-    Isotonic regression depends on the count and mean label per score only, so it sees one weighted
-    point for each distinct score.
+    Isotonic regression depends on the count and sum of labels per score only; its blocks are pooled
+    slice by slice and stay a table.
     """
     method = "sigmoid" if method in ("sigmoid", "platt") else "isotonic"
     if method == "isotonic":
         points = scored.groupBy("score").agg(
-            F.avg(F.col(label).cast("double")).alias("label"), F.count(F.lit(1)).cast("double").alias("weight")
-        )
-        rows = VectorAssembler(inputCols=["score"], outputCol="_v").transform(points)
-        return Calibrator(
-            method, IsotonicRegression(featuresCol="_v", labelCol="label", weightCol="weight", isotonic=True).fit(rows)
+            F.sum(F.col(label).cast("double")).alias("total"), F.count(label).cast("double").alias("weight")
         )
+        return Calibrator(method, pooled_blocks(points, score="score", total="total", weight="weight"))
     # a distinct (score, label) pair enters once with its count as weight
     pairs = scored.groupBy("score", F.col(label).cast("double").alias("label")).agg(
         F.count(F.lit(1)).cast("double").alias("weight")
