@@ -145,21 +145,22 @@ def parameter_search(spark: SparkSession, folder: str) -> DataFrame:
     rows = split_rows(spark, folder).filter(F.col("split") == "train").withColumn(
         "_tie", F.xxhash64(*KEY)
     )
-    return rounded(reduce(DataFrame.unionByName, [_study(rows, *study) for study in STUDIES]))
+    windows = ex.search_windows(rows, FEATURES, ["label", "days"], ts="o_orderdate", tie="_tie", k=FOLDS)
+    return rounded(reduce(DataFrame.unionByName, [_study(windows, *study) for study in STUDIES]))
 
 
 # name, model, label, space: one search each
 STUDIES = (
-    ("boosting", tr.boosting_classifier(maxIter=4), "label", {"maxDepth": (2, 4), "stepSize": (0.05, 0.3, "log")}),
-    ("forest", tr.forest_classifier(numTrees=6), "label", {"maxDepth": (2, 5), "minInstancesPerNode": (5, 50)}),
-    ("boosting_days", tr.boosting_regressor(maxIter=4), "days", {"maxDepth": (2, 4), "stepSize": (0.05, 0.3, "log")}),
-    ("forest_days", tr.forest_regressor(numTrees=6), "days", {"maxDepth": (2, 5), "minInstancesPerNode": (5, 50)}),
+    ("boosting", tr.boosting_classifier(maxIter=6), "label", {"maxDepth": (2, 4), "stepSize": (0.05, 0.3, "log")}),
+    ("forest", tr.forest_classifier(numTrees=12), "label", {"maxDepth": (2, 6), "minInstancesPerNode": (5, 50)}),
+    ("boosting_days", tr.boosting_regressor(maxIter=6), "days", {"maxDepth": (2, 4), "stepSize": (0.05, 0.3, "log")}),
+    ("forest_days", tr.forest_regressor(numTrees=12), "days", {"maxDepth": (2, 6), "minInstancesPerNode": (5, 50)}),
 )
-TRIALS, FOLDS = 3, 3
+TRIALS, FOLDS = 5, 3
 
 
-def _study(rows: DataFrame, name: str, spec: tr.Model, label: str, space: dict) -> DataFrame:
-    found = ex.search(rows, FEATURES.with_label(label), spec, ex.draw_params(space, TRIALS), ts="o_orderdate", tie="_tie", k=FOLDS)
+def _study(windows: list, name: str, spec: tr.Model, label: str, space: dict) -> DataFrame:
+    found = ex.search(windows, label, spec, ex.draw_params(space, TRIALS))
     best = ex.best_params(found, spec.task).select("trial", F.lit(True).alias("is_best"))
     return found.join(best, "trial", "left").withColumns({"study": F.lit(name), "is_best": F.coalesce("is_best", F.lit(False))})
 

@@ -169,6 +169,41 @@ def _numbers(rows: DataFrame, numeric: Sequence[str]) -> DataFrame:
     return rows.withColumns({f"{c}__n": F.col(c).cast("double") for c in numeric}) if numeric else rows
 
 
+def one_hot(counts: DataFrame, names: Sequence[str]):
+    """From the counts per (column, level): level table, its few-level part, modes, stages and the columns they make."""
+    literals: dict[str, dict[str, str]] = {}
+    levels = en.level_map(counts, MIN_LEVEL_ROWS)
+    modes = en.level_modes(counts)
+    sizes = {r["column"]: r["n"] for r in counts.groupBy("column").agg(F.count("level").alias("n")).collect()}
+    few = [c for c, n in sizes.items() if 0 < n <= FEW_LEVELS]
+    for r in levels.filter(F.col("column").isin(few)).collect():
+        literals.setdefault(r["column"], {})[r["level"]] = r["encoded"]
+    # labels of a one-hot column are part of the model and have at least MIN_LEVEL_ROWS rows each
+    labels = {
+        r["column"]: sorted(r["labels"])
+        for r in levels.groupBy("column").agg(F.collect_set("encoded").alias("labels")).collect()
+    }
+    stages = [
+        StringIndexerModel.from_labels(labels.get(n, ["_none"]), inputCol=n, outputCol=f"{n}_i", handleInvalid="keep")
+        for n in names
+    ]
+    # the extra index of unknown levels is last and dropped: they become zeros
+    stages.append(OneHotEncoder(inputCols=[f"{n}_i" for n in names], outputCols=[f"{n}_v" for n in names], dropLast=True).fit(_sizes(counts, names, labels)))
+    return levels, literals, modes, stages, [f"{n}_v" for n in names]
+
+
+def _sizes(counts: DataFrame, names: Sequence[str], labels: Mapping[str, Sequence[str]]) -> DataFrame:
+    """One row that tells the encoder how many values each index has."""
+    last = [float(len(labels.get(n, ["_none"]))) for n in names]
+    row = counts.sparkSession.createDataFrame([tuple(last)], ", ".join(f"`{n}_i` double" for n in names))
+    # the largest index is that of unknown levels
+    return row.select(*[F.col(f"{n}_i").alias(f"{n}_i", metadata=_nominal(f"{n}_i", len(labels.get(n, ["_none"])) + 1)) for n in names])
+
+
+def _nominal(name: str, size: int) -> dict:
+    return {"ml_attr": {"type": "nominal", "num_vals": size, "name": name}}
+
+
 def prepare(train: DataFrame, features: Features, encoding: str) -> Preparation:
     """Fit the preprocessing on training rows only."""
     check_no_leakage(features.columns())
@@ -183,25 +218,8 @@ def prepare(train: DataFrame, features: Features, encoding: str) -> Preparation:
         ensure_checkpoint_dir(train.sparkSession)
         renamed = train.select(*[F.col(c).alias(f"{c}__x") for c in features.categorical])
         counts = en.level_counts(renamed, renamed.columns).checkpoint()
-        levels = en.level_map(counts, MIN_LEVEL_ROWS)
-        modes = en.level_modes(counts)
-        sizes = {r["column"]: r["n"] for r in counts.groupBy("column").agg(F.count("level").alias("n")).collect()}
-        few = [c for c, n in sizes.items() if 0 < n <= FEW_LEVELS]
-        for r in levels.filter(F.col("column").isin(few)).collect():
-            literals.setdefault(r["column"], {})[r["level"]] = r["encoded"]
-        # labels of a one-hot column are part of the model and have at least MIN_LEVEL_ROWS rows each
-        labels = {
-            r["column"]: sorted(r["labels"])
-            for r in levels.groupBy("column").agg(F.collect_set("encoded").alias("labels")).collect()
-        }
-        names = list(renamed.columns)
-        stages += [
-            StringIndexerModel.from_labels(labels.get(n, ["_none"]), inputCol=n, outputCol=f"{n}_i", handleInvalid="keep")
-            for n in names
-        ]
-        # the extra index of unknown levels is last and dropped: they become zeros
-        stages.append(OneHotEncoder(inputCols=[f"{n}_i" for n in names], outputCols=[f"{n}_v" for n in names], dropLast=True))
-        vectors = [f"{n}_v" for n in names]
+        levels, literals, modes, more, vectors = one_hot(counts, list(renamed.columns))
+        stages += more
     elif encoding == "target":
         ensure_checkpoint_dir(train.sparkSession)
         for c in features.categorical:
@@ -244,12 +262,16 @@ class Fitted:
         """Rows with ``score``: a probability, or a prediction on the original scale."""
         if self.preparation is None:
             return rows.withColumn("score", F.lit(self.constant))
-        out = self.model.transform(self.preparation.apply(rows))
+        return self.score_encoded(self.preparation.apply(rows), rows.columns)
+
+    def score_encoded(self, rows: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+        """The same for rows that have their ``features`` already."""
+        out = self.model.transform(rows)
         if self.spec.task == CLASSIFICATION:
             score = vector_to_array("probability")[1]
         else:
             score = F.greatest(F.expm1("prediction"), F.lit(0.0)) if self.spec.log_target else F.col("prediction")
-        return out.select(*rows.columns, score.alias("score"))
+        return out.select(*(rows.columns if columns is None else columns), score.alias("score"))
 
     def save(self, path: str) -> None:
         """Everything that scoring needs, under ``path``; ``load_fitted`` reads it back."""
