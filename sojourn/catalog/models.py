@@ -246,8 +246,8 @@ def local_reasons(spark: SparkSession, folder: str) -> DataFrame:
     rows = split_rows(spark, folder)
     model = _fitted_forest(rows)
     base = explain.baselines(rows.filter(F.col("split") == "train"), FEATURES)
-    long = explain.contributions(model, rows.filter(F.col("split") == "test"), base)
-    return rounded(explain.local_reasons(long, list(KEY), top=3))
+    found = explain.contributions(model, rows.filter(F.col("split") == "test"), base)
+    return rounded(explain.local_reasons(found, list(KEY), top=3))
 
 
 @registry.query()
@@ -381,5 +381,5 @@ def reasons_of_formula(spark: SparkSession, folder: str) -> DataFrame:
     score = F.col("l_quantity") * 0.02 + F.col("l_discount") * -3 + F.col("p_size") * 0.001 + urgent
     model = tr.Formula(tr.logistic(), features, score)
     base = explain.baselines(rows.filter("yr <= 1998"), features)
-    long = explain.contributions(model, rows.filter("yr = 2001"), base).withColumn("contribution", F.round("contribution", 6))
-    return explain.local_reasons(long, list(KEY), top=3).drop("value")
+    found = explain.contributions(model, rows.filter("yr = 2001"), base, digits=6)
+    return explain.local_reasons(found, list(KEY), top=3).drop("value")

@@ -87,6 +87,9 @@ def read_existing(spark: SparkSession, paths: Sequence[str]) -> DataFrame | None
     return union_ragged(found) if found else None
 
 
+RUN = "run"
+
+
 def write_table(rows: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequence[str] = ()) -> None:
     writer = rows.write.mode("overwrite")
     if partition_by:
@@ -96,8 +99,27 @@ def write_table(rows: DataFrame, path: str, fmt: str = "parquet", partition_by:
     writer.format(fmt).save(path)
 
 
-def append_table(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").parquet(path)
+def append_table(rows: DataFrame, path: str, run: str) -> None:
+    """Adds the rows of one run to a table; a run that is repeated replaces what it wrote before.
+
+    A run is a partition of the table, written by dynamic overwrite: the other runs stay, and a task or a job that is
+    tried again leaves each row once. A run without rows leaves the table as it is.
+    """
+    if not run:
+        raise ValueError("a run needs a name")
+    named = rows.withColumn(RUN, F.lit(run))
+    named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(RUN).parquet(path)
+
+
+def read_appended(spark: SparkSession, path: str, runs: Sequence[str] | None = None) -> DataFrame:
+    """The rows of all runs, or of some; the runs' name is the last column ``run``."""
+    # names of runs are text, also those that look like numbers
+    rows = spark.read.option("basePath", path).schema(_with_run(spark.read.parquet(path).schema)).parquet(path)
+    return rows if runs is None else rows.filter(F.col(RUN).isin(list(runs)))
+
+
+def _with_run(schema: StructType) -> StructType:
+    return StructType([*[f for f in schema if f.name != RUN], StructField(RUN, StringType())])
 
 
 def write_registry(spark: SparkSession, path: str, lists: Mapping[str, Sequence[str]]) -> None:

@@ -13,6 +13,8 @@ from sojourn.operators import quality as ql
 from sojourn.operators import splits as sp
 from sojourn.operators import survival as sv
 from sojourn.operators.similar import similar_cases
+from sojourn.plans import explain
+from sojourn.plans import training as tr
 from sojourn.plans.dataset import build_dataset, snapshot_date, write_dataset
 from sojourn.sources import contracts, tables
 
@@ -217,3 +219,33 @@ def test_csv_source(spark, tmp_path):
     rows = tables.read_events(spark, path, tables.text_schema(["Animal ID", "DateTime"]), "intake")
     assert rows.columns == ["animal_id", "intake_datetime"] and rows.count() == 1
     assert tables.read_existing(spark, [str(tmp_path / "none")]) is None
+
+
+def test_a_repeated_run_replaces_its_rows(spark, tmp_path):
+    path = str(tmp_path / "table")
+    part = lambda a, b: spark.range(a, b).toDF("v")
+    tables.append_table(part(0, 5), path, "2024")
+    tables.append_table(part(5, 9), path, "0007")
+    tables.append_table(part(0, 3), path, "2024")
+    tables.append_table(part(0, 0), path, "0007")  # no rows: nothing is replaced
+    back = sorted(tuple(r) for r in tables.read_appended(spark, path).collect())
+    assert back == sorted([(v, "2024") for v in range(3)] + [(v, "0007") for v in range(5, 9)])
+    assert tables.read_appended(spark, path, ["0007"]).count() == 4
+    with pytest.raises(ValueError, match="name"):
+        tables.append_table(part(0, 1), path, "")
+
+
+def test_reasons_are_found_within_rows(spark):
+    """No copy and no shuffle: the plan of the contributions has neither a generator nor an exchange."""
+    features = tr.Features(("a", "b"), ("c",), ("k",), "y")
+    score = F.col("a") * 2 + F.col("b") - F.when(F.col("c") == "x", 3.0).otherwise(0.0)
+    model = tr.Formula(tr.logistic(), features, score)
+    rows = spark.createDataFrame([(1, 1.0, 5.0, "x"), (2, 4.0, 0.0, None)], "k int, a double, b double, c string")
+    found = explain.contributions(model, rows, {"a": 1.0, "b": 0.0, "c": "x"})
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate" not in plan
+    got = {(r.k, r.feature): (r.value, r.contribution, r.association) for r in explain.local_reasons(found, ["k"], top=2).collect()}
+    assert got == {
+        (1, "b"): ("5.0", 5.0, "raises prediction"), (1, "a"): ("1.0", 0.0, "lowers prediction"),
+        (2, "a"): ("4.0", 6.0, "raises prediction"), (2, "c"): (None, 3.0, "raises prediction"),
+    }
