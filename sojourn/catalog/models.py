@@ -237,7 +237,7 @@ def tree_importances(spark: SparkSession, folder: str) -> DataFrame:
 def permutation_importance(spark: SparkSession, folder: str) -> DataFrame:
     rows = split_rows(spark, folder)
     validation = rows.filter(F.col("split").isin("calibration", "selection"))
-    return rounded(explain.permutation_importance(_fitted_forest(rows), validation, repeats=2))
+    return rounded(explain.permutation_importance(_fitted_forest(rows), validation, repeats=5))
 
 
 @registry.query()
@@ -383,3 +383,36 @@ def reasons_of_formula(spark: SparkSession, folder: str) -> DataFrame:
     base = explain.baselines(rows.filter("yr <= 1998"), features)
     found = explain.contributions(model, rows.filter("yr = 2001"), base, digits=6)
     return explain.local_reasons(found, list(KEY), top=3).drop("value")
+
+
+def _round_sql(number: int) -> str:
+    """One Feistel round of ``shuffled_place`` on the columns a (base), l, r."""
+    return f"(l{number} + ((((r{number} + (k * 4 + {number + 1}) * 7919) % 2147483647 * 48271) % 2147483647 * 69621) % 2147483647)) % a as r{number + 1}, r{number} as l{number + 1}"
+
+
+_SHUFFLE_SQL = ", ".join(_round_sql(i) for i in range(4))
+
+
+@registry.query(
+    f"""with recursive {_MODEL_SQL},
+s as (select *, 40 + l_quantity * 2 - l_discount * 100 as own, row_number() over (order by ('0x' || substr(md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey)), 1, 15))::BIGINT) - 1 as p from test),
+n as (select count(*)::BIGINT as n, ceil(sqrt(count(*)::DOUBLE))::BIGINT as a from s),
+w as (
+  select p as p, k, x, n, a from (select p, k, n, a, l4 * a + r4 as x from (select *, {_SHUFFLE_SQL} from (select p, k, n, a, p // a as l0, p % a as r0 from s, n, (select unnest(range(5))::BIGINT as k))))
+  union all
+  select p, k, l4 * a + r4 as x, n, a from (select *, {_SHUFFLE_SQL} from (select p, k, n, a, x // a as l0, x % a as r0 from w where x >= n))),
+pairs as (select s.days, s.own, w.k, s.l_quantity, s.l_discount, o.l_quantity as other_quantity, o.l_discount as other_discount from w join s using (p) join s o on o.p = w.x where w.x < w.n),
+base as (select avg(abs(days - own)) as m from s),
+moved as (select 'l_quantity' as feature, k, avg(abs(days - (40 + other_quantity * 2 - l_discount * 100))) - (select m from base) as d from pairs group by k
+  union all select 'l_discount', k, avg(abs(days - (40 + l_quantity * 2 - other_discount * 100))) - (select m from base) from pairs group by k)
+select feature, round(avg(d), 6) as importance_mean, round(stddev_pop(d), 6) as importance_std from moved group by feature"""
+)
+def permutation_of_formula(spark: SparkSession, folder: str) -> DataFrame:
+    """Five shuffles of two features of a formula, over all test rows; SQL walks the same bijection."""
+    rows = _plain_rows(spark, folder).filter("yr = 2001")
+    features = tr.Features(("l_quantity", "l_discount"), (), KEY, "days")
+    model = tr.Formula(tr.ridge(), features, 40 + F.col("l_quantity") * 2 - F.col("l_discount") * 100)
+    digest = F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in KEY]))
+    number = F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
+    table = explain.permutation_importance(model, rows, repeats=5, number=number)
+    return table.select("feature", F.round("importance_mean", 6).alias("importance_mean"), F.round("importance_std", 6).alias("importance_std"))

@@ -7,7 +7,7 @@ small per-slice totals from slice to slice, so the largest task is one slice.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -193,6 +193,40 @@ def hash_positions(rows: DataFrame, keys: Sequence[str], number: Column, name: s
     return placed.withColumnRenamed("_at_before", name).drop("_hash", "_one", "_at_all")
 
 
+# A prime and two multipliers of linear congruential generators: cheap mixing that SQL can state.
+_PRIME, _MIX = 2147483647, (48271, 69621)
+_WALK = 64  # steps back into range; a step leaves it with probability below 0.6, and below 2 / sqrt(n) for n rows
+
+
+def shuffled_place(place: Column, total: Column, shuffle: Column) -> Column:
+    """Where the row at ``place`` of ``total`` rows goes in shuffle number ``shuffle``: a seeded bijection, computed per row.
+
+    Places are pairs of digits to the base a = ceil(sqrt(total)). Four Feistel rounds add to one digit a mix of the
+    other, which can be undone; a result beyond the last place goes through the rounds again.
+    """
+
+    def round_(number: int) -> Callable[[Column], Column]:
+        def step(pair: Column) -> Column:
+            mixed = pair["right"] + (shuffle * 4 + number + 1) * 7919
+            for factor in _MIX:
+                mixed = mixed % _PRIME * factor
+            return F.struct(pair["right"].alias("left"), ((pair["left"] + mixed % _PRIME) % pair["base"]).alias("right"), pair["base"].alias("base"))
+
+        return step
+
+    def once(at: Column, base: Column) -> Column:
+        pair = F.array(F.struct(F.call_function("div", at, base).alias("left"), (at % base).alias("right"), base.alias("base")))
+        for number in range(4):
+            pair = F.transform(pair, round_(number))
+        return F.transform(pair, lambda p: p["left"] * p["base"] + p["right"])[0]
+
+    base = F.ceil(F.sqrt(total.cast("double"))).cast("bigint")
+    first = once(place.cast("bigint"), base)
+    # only a place out of range walks on
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(_WALK)), first, lambda at, _: F.when(at < total, at).otherwise(once(at, base)))
+    return F.when(first < total, first).otherwise(walked)
+
+
 def stack_dimensions(rows: DataFrame, dims: Sequence[str], keep: Sequence[str]) -> DataFrame:
     """One row per (row, dimension) as ``variable``/``value`` plus the kept columns."""
     pairs = F.array(

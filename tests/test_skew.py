@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sojourn.operators.skew import exact_quantiles, running_totals, stacked_sums, with_slices
+from sojourn.operators.skew import exact_quantiles, running_totals, shuffled_place, stacked_sums, with_slices
 
 
 def values(rng, n):
@@ -87,3 +87,17 @@ def test_stacked_sums_keep_null_values(spark):
     rows = spark.createDataFrame([("a", None, 1), ("a", 1, 2), (None, 1, 4)], "x string, y int, n int")
     got = {(r.variable, r.value): r.s for r in stacked_sums(rows, ["x", "y"], {"s": F.col("n")}).collect()}
     assert got == {("x", "a"): 3, ("x", None): 4, ("y", None): 1, ("y", "1"): 6}
+
+
+@pytest.mark.parametrize("total", [1, 2, 3, 5, 10, 97, 1000, 4096])
+def test_shuffled_places_are_bijections(spark, total):
+    rows = spark.range(total).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(4)))).select(
+        "id", "s", shuffled_place(F.col("id"), F.lit(total).cast("bigint"), F.col("s").cast("bigint")).alias("at")
+    )
+    found = {}
+    for r in rows.collect():
+        found.setdefault(r.s, {})[r.id] = r.at
+    assert all(sorted(f.values()) == list(range(total)) for f in found.values())
+    if total >= 1000:
+        assert len({tuple(f[i] for i in range(total)) for f in found.values()}) == 5
+        assert all(sum(f[i] == i for i in f) < 20 and abs(np.corrcoef(list(f), list(f.values()))[0, 1]) < 0.4 for f in found.values())
