@@ -1,12 +1,12 @@
 """Personal data: four base kinds, and more found by bootstrapped contextual extraction.
 
 One scan cuts every text at the matches of each kind's pattern; only the matches, the lengths between
-them and a little of the text before each go on. Positions are running sums per row and kind. The base
+them and the words before each go on. Positions are running sums per row and kind. The base
 matches that pass their checks are seeds. The words before a seed are a lexical pattern; other
 identifier-like strings behind the same words are candidate instances. Spark scores the graph of patterns
 and instances in rounds: a pattern is as good for a kind as the mean score of the distinct instances
 behind it, an instance of a kind is as good as its best pattern. Candidates that are good enough join
-as spans and count as instances of the next round.
+as spans and count as instances of the next round, in which the phrases before them may become patterns.
 """
 
 from __future__ import annotations
@@ -39,37 +39,54 @@ CANDIDATES = {
     "at": rf"(?<![^{SPACE}])[^{SPACE}@]++@[^{SPACE}]++",
 }
 
-CONTEXT = 60  # characters before a match in which its words are looked for
+NEAR = 4  # earlier matches between which the words before a match mostly lie
 
 
 @dataclass(frozen=True)
 class Bootstrap:
-    rounds: int = 3
+    rounds: int = 6  # generations at most; it ends when one brings nothing new
     words: int = 2  # of a pattern
     min_seeds: int = 3  # distinct seeds of a kind behind a pattern
     min_pattern: float = 0.8  # a pattern's score
     min_instance: float = 0.8  # a candidate's score
 
 
-def _cut(text: Column, name: str, pattern: str) -> Column:
-    """The matches of one kind with the length and the last characters of the text before each."""
+def _last(text: Column, words: int) -> Column:
+    """The last ``words`` words of a text and what is glued to what follows, with single spaces."""
+    return F.substring_index(F.regexp_replace(text, rf"[{SPACE}]+", " "), " ", -(words + 1))
+
+
+def _cut(text: Column, name: str, pattern: str, words: int) -> Column:
+    """The matches of one kind with the length of the text before each and the words of the whole text before it."""
     hint = HINTS.get(name)
-    pieces = F.split(text, pattern, -1)
-    found = F.zip_with(
-        pieces,
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
-        lambda piece, match: F.struct(
-            F.lit(name).alias("name"), F.length(piece).alias("gap"), match.alias("match"), F.substring(piece, -CONTEXT, CONTEXT).alias("before")
-        ),
-    )
-    found = F.filter(found, lambda x: x["match"].isNotNull())
-    found = F.transform(found, lambda x, i: F.struct(i.alias("place"), *[x[f].alias(f) for f in ("name", "gap", "match", "before")]))
+    both = F.struct(F.split(text, pattern, -1).alias("pieces"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))
+
+    def listed(cut: Column) -> Column:
+        pieces, found = cut["pieces"], cut["found"]
+
+        def before(i: Column) -> Column:
+            """The words before match i: between the matches next to it, or, where these hold too few, in all that precedes it."""
+            own = [_last(F.get(pieces, i), words)]
+            for k in range(1, NEAR + 1):
+                own = [F.when(i >= k, F.concat(_last(F.get(pieces, i - k), words), F.get(found, i - k))).otherwise(F.lit("")), *own]
+            near = _last(F.concat(*own), words)
+            pairs = F.zip_with(F.slice(pieces, 1, i), F.slice(found, 1, i), lambda p, m: F.concat(p, m))
+            whole = _last(F.concat(F.array_join(pairs, ""), F.get(pieces, i)), words)
+            return F.when((i <= NEAR) | (F.size(F.split(near, " ")) > words), near).otherwise(whole)
+
+        return F.transform(
+            found,
+            lambda m, i: F.struct(
+                i.alias("place"), F.lit(name).alias("name"), F.length(F.get(pieces, i)).alias("gap"), m.alias("match"), before(i).alias("before")
+            ),
+        )
+
     tried = text.contains(hint) if hint else F.lit(True)
     digits = text.rlike("[0-9]") if name != "email" and name != "at" else text.contains("@")
-    return F.when(tried & digits, found)
+    return F.when(tried & digits, F.element_at(F.transform(F.array(both), listed), 1))
 
 
-def matches(docs: DataFrame) -> DataFrame:
+def matches(docs: DataFrame, words: int = 2) -> DataFrame:
     """``row_id, doc_id, name, place, gap, match, before``: one row per match, one with nulls for a row without any.
 
     Written to the shared folder, so that ``row_id`` stands.
@@ -77,7 +94,7 @@ def matches(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"))
     empty = F.array().cast("array<struct<place:int,name:string,gap:int,match:string,before:string>>")
-    cuts = [F.coalesce(_cut(F.col("text"), n, p), empty) for n, p in (PATTERNS | CANDIDATES).items()]
+    cuts = [F.coalesce(_cut(F.col("text"), n, p, words), empty) for n, p in (PATTERNS | CANDIDATES).items()]
     found = rows.select("row_id", "doc_id", F.explode_outer(F.concat(*cuts)).alias("m")).select("row_id", "doc_id", "m.*")
     return saved(found, "pii-matches")
 
@@ -163,21 +180,23 @@ def discover(base: DataFrame, candidates: DataFrame, how: Bootstrap) -> DataFram
     """
     seeds = base.select("kind", "value", "pattern").distinct()
     asked = candidates.select("kind", "value", "pattern").distinct()
-    strong = seeds.groupBy("kind", "pattern").agg(F.count(F.lit(1)).alias("seeds")).filter(F.col("seeds") >= how.min_seeds)
-    # everything identifier-like behind the patterns that have seeds enough
     edges = seeds.select("pattern", "kind", "value", F.lit(True).alias("seed")).unionByName(asked.select("pattern", "kind", "value", F.lit(False).alias("seed")))
-    edges = saved(edges.join(strong.select("pattern").distinct(), "pattern", "left_semi"), "pii-graph")
-    totals = edges.groupBy("pattern").agg(F.count_distinct("value").alias("total"))
-    strong = saved(strong.join(totals, "pattern"), "pii-patterns")
-    scores = edges.filter("seed").select("kind", "value", F.lit(1.0).alias("score")).distinct()
+    edges = saved(edges, "pii-graph")
+    totals = saved(edges.groupBy("pattern").agg(F.count_distinct("value").alias("total")).filter(F.col("total") >= how.min_seeds), "pii-patterns")
+    known = saved(edges.filter("seed").select("kind", "value", F.lit(1.0).alias("score")).distinct(), "pii-seeds")
+    scores, accepted = known, 0
     for _ in range(how.rounds):
-        good = edges.join(scores, ["kind", "value"]).groupBy("kind", "pattern").agg(F.sum("score").alias("mass"))
-        good = good.join(strong, ["kind", "pattern"]).select("kind", "pattern", (F.col("mass") / F.col("total")).alias("quality"))
+        # the patterns of this round: behind them lie seeds and accepted instances enough
+        good = edges.join(scores, ["kind", "value"]).groupBy("kind", "pattern", "value").agg(F.first("score").alias("score"))
+        good = good.groupBy("kind", "pattern").agg(F.sum("score").alias("mass"), F.count(F.lit(1)).alias("seeds"))
+        good = good.filter(F.col("seeds") >= how.min_seeds).join(totals, "pattern").select("kind", "pattern", (F.col("mass") / F.col("total")).alias("quality"))
         good = good.filter(F.col("quality") >= how.min_pattern)
         best = edges.filter("not seed").join(good, ["kind", "pattern"]).groupBy("kind", "value").agg(F.max("quality").alias("score"))
         best = best.filter(F.col("score") >= how.min_instance)
-        known = edges.filter("seed").select("kind", "value", F.lit(1.0).alias("score")).distinct()
         scores = saved(known.unionByName(best).groupBy("kind", "value").agg(F.max("score").alias("score")), "pii-scores")
+        before, accepted = accepted, scores.count()
+        if accepted == before:
+            break
     accepted = edges.filter("not seed").select("kind", "value", "pattern").join(scores, ["kind", "value"])
     return accepted.groupBy("value").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"))
 
@@ -194,9 +213,9 @@ def find_personal_data(docs: DataFrame, how: Bootstrap = Bootstrap()) -> DataFra
     The counts and ``base_spans`` are those of the base kinds; ``spans`` also has what the bootstrap
     found, which never overlaps a base span (of the rest the leftmost stays). Lists are ``kind:start:end`` in code
     points, by kind and start, comma-joined. Null and empty texts have no spans; repeated rows and rows
-    with equal or null doc_id are rows of their own; an empty table gives no rows; other columns are ignored.
+    with equal or null doc_id are rows of their own; an empty table gives no rows; a very long text is searched as a whole; other columns are ignored.
     """
-    found = matches(docs)
+    found = matches(docs, how.words)
     placed = saved(_placed(found).withColumns({"valid": _valid(), "pattern": _context(how.words)}), "pii-placed")
     base = placed.filter("valid").withColumnRenamed("name", "kind")
     seeds = base.filter("pattern is not null").select("kind", F.lower("match").alias("value"), "pattern")

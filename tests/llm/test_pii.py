@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sojourn.llm import queries
-from sojourn.llm.pii import KINDS, PATTERNS, find_personal_data
+from sojourn.llm.pii import KINDS, PATTERNS, find_personal_data, matches
 
 BASE = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -94,3 +94,25 @@ def test_nulls_repeats_and_no_rows(spark):
     both = "email:0:6,ip:7:14"
     assert got == sorted([(1, 0, 0, ""), (None, 1, 0, "email:0:6"), (2, 1, 1, both), (2, 1, 1, both), (3, 0, 0, "")], key=repr)
     assert find_personal_data(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_words_before_an_earlier_number_count(spark):
+    """The context of a match is that of the whole text, and long words are whole."""
+    text = "please call me: 555-010-7777 or 555-010-9999 and a" + "b" * 90 + " zip 12/34/56/78/90/12/34 now"
+    rows = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    got = {r.match: r.before for r in matches(rows).filter("name = 'digits'").collect()}
+    assert got["555-010-7777"].split()[-2:] == ["call", "me:"]
+    assert got["555-010-9999"].split()[-2:] == ["555-010-7777", "or"]
+    last = [r.before for r in matches(rows).filter("name = 'digits'").orderBy("place").collect()][-1]
+    assert last.split()[-1].startswith("12/34") and last.split()[-2] == "zip"
+
+
+def test_accepted_instances_bring_new_patterns(spark):
+    """Seeds are behind 'call me:'; what is found there stands elsewhere behind 'ring up', which then finds more."""
+    seeds = [(i, f"please call me: +1 555 010 {1000 + i} soon") for i in range(100)]
+    bridge = [(100 + i, f"please call me: 555-010-{2000 + i} soon") for i in range(8)] + [(200 + i, f"or ring up 555-010-{2000 + i} then") for i in range(8)]
+    last = [(300, "or ring up 555-010-9999 then"), (301, "order number 555-010-8888 then")]
+    rows = find_personal_data(spark.createDataFrame(seeds + bridge + last, "doc_id bigint, text string"))
+    got = {r.doc_id: r.n_added for r in rows.collect()}
+    assert all(got[100 + i] == 1 and got[200 + i] == 1 for i in range(8))
+    assert got[300] == 1 and got[301] == 0
