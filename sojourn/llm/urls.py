@@ -2,8 +2,9 @@
 
 URLs that a rule judges are the labelled ones. FP-growth mines the combinations of URL tokens and label
 that are frequent among them; combinations that imply a label with enough confidence become rules, and a
-rule is dropped if a part of its tokens implies the same label as surely. Rules are indexed by their
-rarest token: a URL looks up its tokens and keeps the rules all of whose tokens it has.
+rule is dropped if a part of its tokens implies the same label as surely. Tokens that the same labelled URLs have
+are one item, so a long path that many URLs share is no more to mine than one token; a URL has an item if it has any of its tokens.
+Rules are indexed by their rarest item: a URL looks up its items and keeps the rules all of whose items it has.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sojourn.llm.store import saved
@@ -72,15 +73,41 @@ def tokens(host: Column, path: Column, rest: Column) -> Column:
     return F.array_distinct(F.concat(F.filter(F.array(*found), lambda x: x.isNotNull()), *further))
 
 
+def items_of(labelled: DataFrame, min_support: float) -> DataFrame:
+    """``token, item`` of the frequent tokens of rows ``(url, tokens, n)``: tokens of the same rows share an item, the first of them.
+
+    Rows are told apart by two sums of their hashes. There are at most (tokens of a row / min_support) frequent tokens.
+    """
+    hashes = [F.sum(F.xxhash64(F.lit(seed), "url").cast("decimal(38,0)")).alias(f"hash{seed}") for seed in (1, 2)]
+    counted = labelled.select("url", "n", F.explode("tokens").alias("token")).groupBy("token").agg(F.sum("n").alias("freq"), *hashes)
+    total = labelled.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    frequent = counted.filter(F.col("freq") >= min_support * total)
+    same = F.min("token").over(Window.partitionBy("freq", "hash1", "hash2"))
+    return frequent.select("token", same.alias("item"))
+
+
+def with_items(rows: DataFrame, items: DataFrame) -> DataFrame:
+    """``rows(url, tokens)`` with the ``items`` that their tokens stand for."""
+    own = rows.select("url", F.explode("tokens").alias("token")).join(items, "token").groupBy("url").agg(F.collect_set("item").alias("items"))
+    return rows.join(own, "url", "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
+
+
 def mine(labelled: DataFrame, min_support: float, min_confidence: float) -> DataFrame:
     """``items, verdict, confidence, support, token`` from rows ``(tokens, verdict)``; ``token`` is the rarest item."""
     baskets = labelled.select(F.array_union("tokens", F.array(F.concat(F.lit(LABEL), F.col("verdict")))).alias("items"))
+    total = F.lit(float(max(baskets.count(), 1)))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
-    single = model.freqItemsets.filter(F.size("items") == 1).select(F.element_at("items", 1).alias("token"), F.col("freq").alias("token_freq"))
-    target = F.element_at("consequent", 1)
-    rules = model.associationRules.filter(target.startswith(LABEL)).select(
-        F.array_sort("antecedent").alias("items"), F.substring_index(target, "=", -1).alias("verdict"), "confidence", "support"
-    )
+    found = saved(model.freqItemsets.select(F.array_sort("items").alias("all"), "freq"), "url-itemsets")
+    single = found.filter(F.size("all") == 1).select(F.element_at("all", 1).alias("token"), F.col("freq").alias("token_freq"))
+    # a row has one label: the sets that hold one are the rules, their rest is as frequent as its own set
+    marked = found.withColumns({"label": F.filter("all", lambda x: x.startswith(LABEL)), "rest": F.filter("all", lambda x: ~x.startswith(LABEL))})
+    rest = found.select(F.col("all").alias("rest"), F.col("freq").alias("rest_freq"))
+    rules = marked.filter((F.size("label") == 1) & (F.size("rest") > 0)).join(rest, "rest").select(
+        F.col("rest").alias("items"),
+        F.substring_index(F.element_at("label", 1), "=", -1).alias("verdict"),
+        (F.col("freq") / F.col("rest_freq")).alias("confidence"),
+        (F.col("freq") / total).alias("support"),
+    ).filter(F.col("confidence") >= min_confidence)
     each = rules.withColumn("token", F.explode("items")).join(single, "token")
     keyed = each.groupBy("items", "verdict").agg(
         F.first("confidence").alias("confidence"), F.first("support").alias("support"), F.min_by("token", F.struct("token_freq", "token")).alias("token")
@@ -101,9 +128,9 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule], *, min_support: float =
 
     Of the rules that fit, the one with the longest text wins (then the longest host). Elsewhere the
     matching mined rule with the highest confidence, then support, then most tokens decides (``mined``
-    lists its tokens), and ``default`` where none matches. Null urls and those without ``://`` have empty
+    lists its items), and ``default`` where none matches. Null urls and those without ``://`` have empty
     parts and get the default. Equal urls are judged once; all rows are returned, repeated ones too; an empty
-    table gives no rows; other columns are ignored.
+    table gives no rows; a very long url is one of many tokens; other columns are ignored.
     """
     urls = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"))
     host, path, rest = parts(F.col("url"))
@@ -115,10 +142,12 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule], *, min_support: float =
     judged = saved(judged.select("url", "n", "host", "path", "fit.rule", "fit.verdict", "tokens"), "url-parts")
 
     labelled = judged.filter("verdict is not null")
-    repeated = labelled.select("tokens", "verdict", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    items = saved(items_of(labelled.select("url", "tokens", "n"), min_support), "url-items")
+    judged = saved(with_items(judged, items).drop("tokens"), "url-items-of")
+    repeated = judged.filter("verdict is not null").select(F.col("items").alias("tokens"), "verdict", F.explode(F.sequence(F.lit(1), F.col("n"))))
     mined = saved(mine(repeated, min_support, min_confidence), "url-mined")
-    asked = judged.filter("verdict is null").select("url", "tokens", F.explode("tokens").alias("token"))
-    found = asked.join(mined, "token").filter(F.size(F.array_except("items", "tokens")) == 0)
+    asked = judged.filter("verdict is null").select("url", F.col("items").alias("own"), F.explode("items").alias("token"))
+    found = asked.join(mined, "token").filter(F.size(F.array_except("items", "own")) == 0)
     best = found.groupBy("url").agg(
         F.max(F.struct("confidence", "support", F.size("items").alias("size"), "verdict", "items")).alias("best")
     )

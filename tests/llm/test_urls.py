@@ -4,7 +4,7 @@ from itertools import combinations
 from pyspark.sql import functions as F
 
 from sojourn.llm import queries
-from sojourn.llm.urls import judge_urls, mine, parts, rule
+from sojourn.llm.urls import items_of, judge_urls, mine, parts, rule
 
 
 def plain_parts(url):
@@ -70,3 +70,19 @@ def test_method_decides_where_no_rule_fits(spark):
 def test_parts_need_no_slash(spark):
     row = spark.range(1).select(*[p.alias(n) for n, p in zip("abc", parts(F.lit("s://H.x?q=1#f")))]).first()
     assert tuple(row) == ("h.x", "", "?q=1#f")
+
+
+def test_a_long_path_that_many_urls_share(spark):
+    """Twenty segments that always come together are one item to mine, and any of them has it."""
+    deep = "/".join(f"s{i}" for i in range(20))
+    pages = [(i, f"http://h{i}.example.net/fr/{deep}/{i}") for i in range(200)] + [(1000 + i, f"http://h{i}.shop.com/{i}") for i in range(200)]
+    pages += [(2000 + i, f"http://x{i}.org/{deep}") for i in range(3)] + [(3000, "http://x.org/a/b/c/s7/z")]
+    got = {r.page_id: (r.rule, r.verdict) for r in judge_urls(spark.createDataFrame(pages, "page_id bigint, url string"), queries.URL_RULES).collect()}
+    assert {got[2000 + i] for i in range(3)} == {(None, "block")} and got[3000] == (None, "block")
+    assert got[0] == ("net/fr/", "block") and got[1000] == ("com/", "allow")
+
+
+def test_items_join_tokens_of_the_same_rows(spark):
+    rows = [("u1", ["a", "b", "c"], 2), ("u2", ["a", "b"], 1), ("u3", ["d"], 1), ("u4", [], 5)]
+    found = items_of(spark.createDataFrame(rows, "url string, tokens array<string>, n int"), 0.1)
+    assert {(r.token, r.item) for r in found.collect()} == {("a", "a"), ("b", "a"), ("c", "c"), ("d", "d")}
