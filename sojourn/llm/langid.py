@@ -110,25 +110,28 @@ def fit(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -> Mo
     """Learn from all rows of ``docs(doc_id, text, lang)`` with a language.
 
     The driver gets one number per feature and ``centroids`` vectors per language. Texts without
-    letters teach nothing. No labelled rows give a model without languages.
+    letters teach nothing. No labelled rows give a model without languages. The sample for the centroids is drawn by a hash of
+    doc_id and text, so null and repeated ids are drawn like others; equal rows are drawn once. A very long text
+    is counted as a whole; other columns are ignored.
     """
     rows = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    rows = rows.filter("lang is not null").withColumn("draw", F.xxhash64("doc_id"))
+    rows = rows.filter("lang is not null").withColumn("draw", F.xxhash64("doc_id", "text"))
     counted = small_batches(rows).select("text").mapInArrow(_frequencies, "feature bigint, n bigint").groupBy("feature").agg(F.sum("n").alias("n"))
     found = {r.feature: r.n for r in counted.collect()}
     n = found.get(-1, 0)
     idf = np.array([np.log((1 + n) / (1 + found.get(f, 0))) + 1 for f in range(FEATURES)], dtype=np.float32)
 
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGUAGES + 1).collect()
+    # different draws of each language, about
+    sizes = rows.groupBy("lang").agg(F.approx_count_distinct("draw", 0.02).alias("n")).limit(MOST_LANGUAGES + 1).collect()
     if len(sizes) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
     if not sizes:
         return Model([], np.zeros((0, FEATURES), np.float32), idf)
-    # draws are even over 64 bits: below this bound lie a little more than ``sample`` rows of a language
-    share = {r.lang: min(1.0, (sample + 8 * sample**0.5 + 8) / r.n) for r in sizes}
+    # draws are even over 64 bits: below this bound lie a little more than ``sample`` draws of a language
+    share = {r.lang: min(1.0, 1.1 * (sample + 8 * sample**0.5 + 8) / max(r.n, 1)) for r in sizes}
     limit = F.create_map(*[x for lang, s in share.items() for x in (F.lit(lang), F.lit(min(2**63 - 1, int(s * 2**64) - 2**63)))])
     place = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
-    drawn = rows.filter(F.col("draw") <= limit[F.col("lang")]).withColumn("place", place).filter(F.col("place") <= sample)
+    drawn = rows.filter(F.col("draw") <= limit[F.col("lang")]).groupBy("lang", "draw").agg(F.min("text").alias("text")).withColumn("place", place).filter(F.col("place") <= sample)
 
     def centres(frame: pd.DataFrame) -> pd.DataFrame:
         counts = [c for c in map(ngram_counts, frame["text"]) if c is not None]

@@ -73,3 +73,14 @@ def test_clusters_are_unit_vectors_apart():
     assert np.allclose(np.linalg.norm(found, axis=1), 1, atol=1e-5)
     assert sorted(np.argmax(found[:, :3], axis=1)) == [0, 1, 2]
     assert isinstance(Model(["x"], found, rows[0]).languages, list)
+
+
+def test_null_and_repeated_ids_are_drawn_like_others(spark):
+    rows = [(None, f"the house and the dog {i} were in the garden with them", "en") for i in range(300)]
+    rows += [(7, f"la maison et le chien {i} sont dans le jardin avec eux", "fr") for i in range(300)]
+    rows += [(8, "der hund und das haus sind im garten mit ihnen", "de")] * 300 + [(i, f"el perro y la casa {i} en el patio con ellos", "es") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = fit(docs, sample=40)
+    assert set(model.languages) == {"en", "fr", "de", "es"}
+    found = identify(docs, model).filter("lang_pred <> lang").count()
+    assert found == 0
