@@ -77,11 +77,15 @@ def mix_report(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float =
 def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, most_times: int = MOST_TIMES, seed: int = 7) -> DataFrame:
     """The mix itself: every row of ``docs`` as many times as ``mix_report`` says, with all its columns.
 
-    Rows of sources without words have rate 0 and are left out.
+    Rows of sources without words have rate 0 and are left out. A null text has size 0 and a null source is a source;
+    rows with equal doc_id share their draw; a very long text counts all its words; an empty table gives no rows.
+    Columns may have any names.
     """
-    sizes = docs.select(F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
-    targets = source_targets(sizes, weights, share, most_times)
-    targets = saved(targets.select(F.col("source").alias("_mix_source"), F.col("rate").alias("_mix_rate")), "mixing-targets")
-    rows = docs.join(targets, docs["source"].cast("string").eqNullSafe(F.col("_mix_source")))
-    times = copies(F.col("_mix_rate"), docs["doc_id"], seed)
-    return rows.withColumn("_mix_copy", F.explode(F.array_repeat(F.lit(True), times.cast("int")))).select(*[docs[f"`{c}`"] for c in docs.columns])
+    place = [c.lower() for c in docs.columns]
+    rows = docs.toDF(*[f"_{i}" for i in range(len(place))])  # no name meets the operator's
+    doc_id, source, text = (F.col(f"_{place.index(c)}") for c in ("doc_id", "source", "text"))
+    sizes = rows.select(source.cast("string").alias("source"), word_count(text).alias("size"))
+    targets = saved(source_targets(sizes, weights, share, most_times).select(F.col("source").alias("mixed"), "rate"), "mixing-targets")
+    times = copies(F.col("rate"), doc_id, seed).cast("int")
+    taken = rows.join(targets, source.cast("string").eqNullSafe(F.col("mixed"))).withColumn("copy", F.explode(F.array_repeat(F.lit(True), times)))
+    return taken.select(*rows.columns).toDF(*docs.columns)

@@ -76,3 +76,15 @@ def test_mix_takes_what_the_report_says(spark):
     assert all(r.taken <= 2 * r.size for r in report.collect())
     sums = report.groupBy("source").agg(F.sum("taken").alias("got"), F.first("target").alias("want")).filter("want > 0").collect()
     assert all(abs(r.got / r.want - 1) < 0.1 for r in sums)
+
+
+def test_mix_takes_columns_of_any_name(spark):
+    names = ["doc_id", "text", "source", "_mix_rate", "_mix_source", "rate", "copy", "mixed", "source_size", "_0"]
+    rows = [(i, "a b c", f"s{i % 3}", *range(7)) for i in range(60)]
+    docs = spark.createDataFrame(rows, ", ".join(f"{n} {'string' if n in ('text', 'source') else 'int'}" for n in names))
+    out = mix(docs)
+    assert out.columns == names
+    taken = {r.doc_id: r.n for r in out.groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
+    report = {r.doc_id: r.copies for r in mix_report(docs).collect()}
+    assert {d: report[d] for d in report if report[d]} == taken
+    assert {tuple(r)[3:] for r in out.collect()} == {tuple(range(7))}
