@@ -107,5 +107,6 @@ def test_failed_trials_have_no_value(spark):
             raise RuntimeError("second fold fails " + "x" * 400)
         return tr.logistic(maxIter=2).build(**{k: v for k, v in params.items() if k != "odd"})
 
-    got = ex.search(rows, FEATURES, tr.Model("m", tr.CLASSIFICATION, build), [{"odd": 1}], ts="ts", tie="id", k=2).first()
+    windows = ex.search_windows(rows, FEATURES, ["label"], ts="ts", tie="id", k=2)
+    got = ex.search(windows, "label", tr.Model("m", tr.CLASSIFICATION, build), [{"odd": 1}]).first()
     assert got.state == "FAILED" and got.value is None and len(got.error) > 400
