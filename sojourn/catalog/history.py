@@ -143,6 +143,16 @@ def context_features(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("user_id", "start_ts", "daily_temp_max", "is_extreme_heat", "animal_311_requests_7d", "intake_volume_7d")
 
 
-@registry.query("select 0::BIGINT as missing_rows")
+@registry.query(
+    """select count(*)::BIGINT as missing_rows from events s where event_type = 'signup' and not exists (
+  select 1 from events b where b.event_type = 'signup' and b.user_id % 5 <> 0 and b.user_id = s.user_id and b.ts = s.ts)"""
+)
 def context_completeness(spark: SparkSession, folder: str) -> DataFrame:
-    return cx.missing_history(context_features(spark, folder), ["intake_volume_7d"])
+    """Starts whose entity the history lacks, here every fifth one."""
+    starts = _events(spark, folder).filter(F.col("event_type") == "signup").select("user_id", F.col("ts").alias("start_ts"))
+    requests = _errors(spark, folder).withColumnRenamed("requests", "animal_311_requests")
+    out = cx.add_context(
+        starts, starts=starts.filter(F.col("user_id") % 5 != 0), weather=_weather(spark, folder), requests=requests,
+        entity="user_id", ts="start_ts", windows=(7,),
+    )
+    return cx.missing_history(out, ["intake_volume_7d"])
