@@ -4,7 +4,7 @@ from test_pipeline import jaccard_components
 
 import corpus_pipeline as pipeline
 from sojourn.llm.exact import packed
-from sojourn.llm.overlap import _ask, band_keys, similar_groups
+from sojourn.llm.overlap import band_keys, links, similar_groups
 from sojourn.llm.simhash import shingles
 from sojourn.llm.store import saved
 
@@ -53,13 +53,30 @@ def test_pieces_of_a_bucket_meet(spark, piece_rows):
     assert sorted(mine.values()) == sorted(want.values())
 
 
-def test_rows_left_out_are_reported():
-    side = (np.arange(40), np.arange(40), np.full(40, 10, dtype=np.int32))
-    whole = np.full(40, 40)
-    a, b, more = _ask(whole * 0, whole, side, side, 0.8, 4)
-    assert more and len(a) == 160 and (a != b).all()
-    a, b, more = _ask(whole * 0, whole, side, side, 0.8, 64)
-    assert not more and len(a) == 40 * 39
+@pytest.mark.parametrize("side", [None, np.arange(60) % 2])
+def test_links_span_what_is_verified(side):
+    rng = np.random.default_rng(15)
+    base = rng.integers(0, 1 << 60, 50).astype(np.uint64)
+    sets = [np.unique(np.r_[base[: rng.integers(35, 51)], rng.integers(0, 1 << 60, rng.integers(0, 12)).astype(np.uint64)]) for _ in range(58)]
+    sets += [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]  # texts without words are alike
+    label = np.r_[np.arange(50), np.full(10, 7)]
+    found = links(np.arange(60), label, sets, 0.8, side)
+    parent = label.copy()
+
+    def merge(a, b):
+        if parent[a] == parent[b]:
+            return False
+        parent[parent == parent[a]] = parent[b]
+        return True
+
+    assert all(merge(a, b) for a, b in found)  # no link is more than needed
+    spanned, parent = parent, label.copy()
+    for a in range(60):
+        for b in range(a):
+            both = len(np.intersect1d(sets[a], sets[b]))
+            if both >= 0.8 * (len(sets[a]) + len(sets[b]) - both) and (side is None or side[a] != side[b]):
+                merge(a, b)
+    assert len(np.unique(np.c_[spanned, parent], axis=0)) == len(np.unique(parent)) == len(np.unique(spanned))
 
 
 def test_bands_propose_nearly_all_pairs_just_above_the_threshold():
