@@ -3,6 +3,7 @@ import pytest
 from test_pipeline import jaccard_components
 
 import corpus_pipeline as pipeline
+from sojourn.llm import overlap
 from sojourn.llm.exact import packed
 from sojourn.llm.overlap import band_keys, links, similar_groups
 from sojourn.llm.simhash import shingles
@@ -33,8 +34,9 @@ def test_repeated_passages_count_once(spark):
     assert kept(spark, texts) == set(range(0, 40, 2)) == set(jaccard_components(texts))
 
 
-@pytest.mark.parametrize("piece_rows", [4096, 8])
-def test_pieces_of_a_bucket_meet(spark, piece_rows):
+@pytest.mark.parametrize("piece_rows, sent", [(4096, 500_000), (8, 0)])
+def test_pieces_of_a_bucket_meet(spark, monkeypatch, piece_rows, sent):
+    monkeypatch.setattr(overlap, "BROADCAST_ROWS", sent)
     rng = np.random.default_rng(13)
     base, texts = [f"w{i}" for i in range(200)], []
     for k in range(120):
