@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sojourn.functions.clean import clip
-from sojourn.operators.skew import exact_quantiles, null_safe_join
+from sojourn.operators.skew import SLICE_ROWS, exact_quantiles, null_safe_join
+from sojourn.session import ensure_checkpoint_dir
 from sojourn.sources.contracts import check_no_leakage
 
 
@@ -91,12 +92,22 @@ def apply_level_literals(rows: DataFrame, encoded: Mapping[str, str], column: st
     return rows.withColumn(column, F.try_element_at(table, F.coalesce(F.col(column).cast("string"), F.lit(mode))))
 
 
-def ordinal_map(counts: DataFrame) -> DataFrame:
-    """Number of each level in the order of its name, per column, from the level table."""
-    from pyspark.sql import Window
+def ordinal_map(counts: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """Number of each level in the order of its name, per column, from the level table; null levels have none.
 
-    order = Window.partitionBy("column").orderBy("level")
-    return counts.filter(F.col("level").isNotNull()).select("column", "level", (F.row_number().over(order) - 1).alias("code"))
+    Levels are dealt to ranges of about ``slice_rows`` names, numbered inside them, and moved up by the levels of the
+    ranges before. The ranges are stored, as another sample of the names would draw other borders.
+    """
+    ensure_checkpoint_dir(counts.sparkSession)
+    levels = counts.filter(F.col("level").isNotNull()).select("column", "level").checkpoint()
+    ranges = levels.repartitionByRange(1 + levels.count() // slice_rows, "column", "level")
+    sliced = ranges.withColumn("_slice", F.spark_partition_id()).checkpoint()
+    inside = Window.partitionBy("column", "_slice").orderBy("level")
+    earlier = Window.partitionBy("column").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sliced.groupBy("column", "_slice").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("column", "_slice", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    local = sliced.withColumn("_at", F.row_number().over(inside) - 1)
+    return local.join(before, ["column", "_slice"]).select("column", "level", (F.col("_at") + F.col("_before")).cast("int").alias("code"))
 
 
 def ordinal_encode(rows: DataFrame, codes: DataFrame, column: str) -> DataFrame:
