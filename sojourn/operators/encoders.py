@@ -110,6 +110,28 @@ def ordinal_map(counts: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
     return local.join(before, ["column", "_slice"]).select("column", "level", (F.col("_at") + F.col("_before")).cast("int").alias("code"))
 
 
+def level_codes(levels: DataFrame, rare: str = "_rare") -> DataFrame:
+    """The level table with ``code``: the place of a level's encoded name among those of its column, from 0.
+
+    Frequent levels find their code by their own name; the shared name has one code per column, which needs no join.
+    """
+    names = levels.select("column", F.col("encoded").alias("level")).distinct()
+    codes = ordinal_map(names).checkpoint()
+    shared = {r["column"]: r["code"] for r in codes.filter(F.col("level") == rare).collect()}
+    own = F.lit(None).cast("int")
+    for column, code in shared.items():
+        own = F.when(F.col("column") == column, F.lit(code)).otherwise(own)
+    joined = levels.join(codes, ["column", "level"], "left")
+    return joined.withColumn("code", F.when(F.col("encoded") == rare, own).otherwise(F.col("code")))
+
+
+def apply_codes(rows: DataFrame, levels: DataFrame, column: str, mode: str | None, unknown: int, name: str) -> DataFrame:
+    """Adds ``name``: the code of the level, of the most frequent one for nulls, and ``unknown`` for unseen levels."""
+    own = levels.filter(F.col("column") == column).select(F.col("level").alias("_level"), F.col("code").alias("_code"))
+    filled = rows.withColumn("_level", F.coalesce(F.col(column).cast("string"), F.lit(mode)))
+    return filled.join(own, "_level", "left").withColumn(name, F.coalesce("_code", F.lit(unknown)).cast("double")).drop("_level", "_code")
+
+
 def ordinal_encode(rows: DataFrame, codes: DataFrame, column: str) -> DataFrame:
     """Level numbers; unknown levels are -1."""
     own = codes.filter(F.col("column") == column).select(F.col("level").alias("_level"), F.col("code").alias("_code"))

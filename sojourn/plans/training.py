@@ -137,6 +137,7 @@ class Preparation:
     folds: Mapping[str, DataFrame]
     pipeline: PipelineModel
     medians: Mapping[str, float] = field(default_factory=dict)
+    coded: Mapping[str, int] = field(default_factory=dict)  # columns whose names stay in the level table, and how many
 
     def apply(self, rows: DataFrame, training: bool = False) -> DataFrame:
         return self.pipeline.transform(self.fill(self.encode(rows, training)))
@@ -154,8 +155,8 @@ class Preparation:
                 out = out.withColumn(name, F.col(c))
                 if name in self.literals:
                     out = en.apply_level_literals(out, self.literals[name], name, self.modes.get(name))
-                else:
-                    out = en.apply_levels(out, self.levels, name, self.modes.get(name))
+                elif name in self.coded:
+                    out = en.apply_codes(out, self.levels, name, self.modes.get(name), self.coded[name], f"{name}_i")
             return out
         for c in self.features.categorical:
             if training:
@@ -170,34 +171,36 @@ def _numbers(rows: DataFrame, numeric: Sequence[str]) -> DataFrame:
 
 
 def one_hot(counts: DataFrame, names: Sequence[str]):
-    """From the counts per (column, level): level table, its few-level part, modes, stages and the columns they make."""
+    """From the counts per (column, level): level table, its few-level part, modes, coded columns, stages and the columns they make.
+
+    The names of a column with more than ``FEW_LEVELS`` levels stay in the level table, with their codes; only how many they
+    are reaches the driver.
+    """
     literals: dict[str, dict[str, str]] = {}
     levels = en.level_map(counts, MIN_LEVEL_ROWS)
     modes = en.level_modes(counts)
-    sizes = {r["column"]: r["n"] for r in counts.groupBy("column").agg(F.count("level").alias("n")).collect()}
-    few = [c for c, n in sizes.items() if 0 < n <= FEW_LEVELS]
+    known = {r["column"]: r["n"] for r in counts.groupBy("column").agg(F.count("level").alias("n")).collect()}
+    few = [c for c, n in known.items() if 0 < n <= FEW_LEVELS]
     for r in levels.filter(F.col("column").isin(few)).collect():
         literals.setdefault(r["column"], {})[r["level"]] = r["encoded"]
-    # labels of a one-hot column are part of the model and have at least MIN_LEVEL_ROWS rows each
-    labels = {
-        r["column"]: sorted(r["labels"])
-        for r in levels.groupBy("column").agg(F.collect_set("encoded").alias("labels")).collect()
-    }
-    stages = [
-        StringIndexerModel.from_labels(labels.get(n, ["_none"]), inputCol=n, outputCol=f"{n}_i", handleInvalid="keep")
-        for n in names
-    ]
+    coded: dict[str, int] = {}
+    if any(n > FEW_LEVELS for n in known.values()):
+        large = en.level_codes(levels.filter(~F.col("column").isin(few)))
+        levels = levels.filter(F.col("column").isin(few)).withColumn("code", F.lit(None).cast("int")).unionByName(large).checkpoint()
+        coded = {r["column"]: r["n"] for r in levels.groupBy("column").agg((F.max("code") + 1).alias("n")).collect() if r["n"]}
+    labels = {n: sorted(set(literals[n].values())) if n in literals else ["_none"] for n in names if n not in coded}
+    sizes = {n: coded[n] if n in coded else len(labels[n]) for n in names}
+    stages = [StringIndexerModel.from_labels(own, inputCol=n, outputCol=f"{n}_i", handleInvalid="keep") for n, own in labels.items()]
     # the extra index of unknown levels is last and dropped: they become zeros
-    stages.append(OneHotEncoder(inputCols=[f"{n}_i" for n in names], outputCols=[f"{n}_v" for n in names], dropLast=True).fit(_sizes(counts, names, labels)))
-    return levels, literals, modes, stages, [f"{n}_v" for n in names]
+    stages.append(OneHotEncoder(inputCols=[f"{n}_i" for n in names], outputCols=[f"{n}_v" for n in names], dropLast=True).fit(_sizes(counts, sizes)))
+    return levels, literals, modes, coded, stages, [f"{n}_v" for n in names]
 
 
-def _sizes(counts: DataFrame, names: Sequence[str], labels: Mapping[str, Sequence[str]]) -> DataFrame:
+def _sizes(counts: DataFrame, sizes: Mapping[str, int]) -> DataFrame:
     """One row that tells the encoder how many values each index has."""
-    last = [float(len(labels.get(n, ["_none"]))) for n in names]
-    row = counts.sparkSession.createDataFrame([tuple(last)], ", ".join(f"`{n}_i` double" for n in names))
+    row = counts.sparkSession.createDataFrame([tuple(float(n) for n in sizes.values())], ", ".join(f"`{n}_i` double" for n in sizes))
     # the largest index is that of unknown levels
-    return row.select(*[F.col(f"{n}_i").alias(f"{n}_i", metadata=_nominal(f"{n}_i", len(labels.get(n, ["_none"])) + 1)) for n in names])
+    return row.select(*[F.col(f"{n}_i").alias(f"{n}_i", metadata=_nominal(f"{n}_i", size + 1)) for n, size in sizes.items()])
 
 
 def _nominal(name: str, size: int) -> dict:
@@ -210,6 +213,7 @@ def prepare(train: DataFrame, features: Features, encoding: str) -> Preparation:
     levels = None
     literals: dict[str, dict[str, str]] = {}
     modes: dict[str, str] = {}
+    coded: dict[str, int] = {}
     means: dict[str, DataFrame] = {}
     by_fold: dict[str, DataFrame] = {}
     numeric_inputs = [f"{c}__n" for c in features.numeric]
@@ -218,7 +222,7 @@ def prepare(train: DataFrame, features: Features, encoding: str) -> Preparation:
         ensure_checkpoint_dir(train.sparkSession)
         renamed = train.select(*[F.col(c).alias(f"{c}__x") for c in features.categorical])
         counts = en.level_counts(renamed, renamed.columns).checkpoint()
-        levels, literals, modes, more, vectors = one_hot(counts, list(renamed.columns))
+        levels, literals, modes, coded, more, vectors = one_hot(counts, list(renamed.columns))
         stages += more
     elif encoding == "target":
         ensure_checkpoint_dir(train.sparkSession)
@@ -237,7 +241,7 @@ def prepare(train: DataFrame, features: Features, encoding: str) -> Preparation:
         ]
         vectors = ["_scaled", *vectors]
     stages.append(VectorAssembler(inputCols=vectors, outputCol="features"))
-    empty = Preparation(features, encoding, levels, literals, modes, means, by_fold, None)
+    empty = Preparation(features, encoding, levels, literals, modes, means, by_fold, None, coded=coded)
     encoded = empty.encode(train, training=encoding == "target")
     medians = {}
     if numeric_inputs:
@@ -285,7 +289,7 @@ class Fitted:
         if prep is not None:
             facts |= {
                 "literals": {c: list(pairs.items()) for c, pairs in prep.literals.items()},
-                "modes": dict(prep.modes), "medians": dict(prep.medians), "means": list(prep.means), "levels": prep.levels is not None,
+                "modes": dict(prep.modes), "coded": dict(prep.coded), "medians": dict(prep.medians), "means": list(prep.means), "levels": prep.levels is not None,
             }
             prep.pipeline.write().overwrite().save(f"{path}/preparation")
             PipelineModel([self.model]).write().overwrite().save(f"{path}/model")
@@ -317,6 +321,7 @@ def load_fitted(spark: SparkSession, path: str) -> Fitted:
         {},
         PipelineModel.load(f"{path}/preparation"),
         facts["medians"],
+        facts.get("coded", {}),
     )
     return Fitted(spec, features, preparation, PipelineModel.load(f"{path}/model").stages[0])
 
