@@ -18,6 +18,7 @@ from sojourn.llm.mixing import mix
 from sojourn.llm.overlap import distinct_documents
 from sojourn.llm.store import documents, saved
 
+REMEMBERED = 16 << 20  # bytes of pre-tokens in a worker, which the stages of the next run find in memory
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
@@ -34,7 +35,10 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose five-word shingles overlap by 0.8 or more the one with the smallest doc_id stays."""
+    """Of documents whose five-word shingles overlap by 0.8 or more the one with the smallest doc_id stays.
+
+    The fingerprint operator proposes, then MinHash bands; whole texts decide.
+    """
     return distinct_documents(docs)
 
 
@@ -45,7 +49,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, lang, source, n_tokens, ids`` of every row."""
-    rows = encode(docs, RANKS, public_tokenizers.PATTERN)
+    rows = encode(docs, RANKS, public_tokenizers.PATTERN, REMEMBERED)
     return rows.select("doc_id", "lang", "source", F.size("ids").cast("bigint").alias("n_tokens"), "ids")
 
 

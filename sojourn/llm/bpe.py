@@ -231,8 +231,8 @@ class Encoder(PieceIds):
 
 
 @lru_cache(maxsize=1)
-def _encoder(path: str, pattern: str) -> Encoder:
-    return Encoder(path, pattern)
+def _encoder(path: str, pattern: str, cache_bytes: int) -> Encoder:
+    return Encoder(path, pattern, cache_bytes)
 
 
 @lru_cache(maxsize=1)
@@ -244,20 +244,20 @@ def _tokens(path: str) -> pa.Array:
     return pa.array(out, pa.binary())
 
 
-def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, cache_bytes: int = CACHE_BYTES) -> DataFrame:
     """``docs`` with its columns and ``ids array<int>``: the whole ``text`` by the rank file at ``path``.
 
     ``path`` must be readable on the executors; ``pattern`` cuts the text into pre-tokens that are merged
     separately. A null or empty text has no ids. Every row is returned as it came, so repeated rows,
     ties and null ids need no rule; an empty table gives no rows; a very long text is laid out by itself. A column
-    named ``ids``, in any case, is replaced.
+    named ``ids``, in any case, is replaced. A worker remembers about ``cache_bytes`` of pre-tokens, also after its task.
     """
     rows = docs.withColumn("ids", F.lit(None).cast("array<int>"))
     place = [c.lower() for c in rows.columns].index("text")
     ids = [c.lower() for c in rows.columns].index("ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from encoded(batches, place, ids, _encoder(path, pattern))
+        yield from encoded(batches, place, ids, _encoder(path, pattern, cache_bytes))
 
     return small_batches(rows).mapInArrow(run, rows.schema)
 

@@ -1,6 +1,7 @@
 """Groups of documents whose sets of word shingles overlap, for the pipeline.
 
-MinHash bands propose: every document goes to one bucket per band, and two documents with Jaccard overlap J share a band
+The groups of the fingerprint operator (``simhash``: Gray-order trees) are the first buckets, so near copies are
+found by it. For overlaps that fingerprints of 64 bits miss MinHash bands propose too: every document goes to one bucket per band, and two documents with Jaccard overlap J share a band
 of ``DEPTH`` values with probability J ** DEPTH. Rows that share a bucket take the sorted hashes of all their shingles
 with them, so that the task that holds the bucket decides each pair on the whole texts and returns verified links
 only: a forest that spans the groups, at most a link per row. Pairs inside one group are not compared again. A bucket beyond
@@ -19,11 +20,13 @@ from pyspark.sql import functions as F
 
 from sojourn.llm.components import connected_components
 from sojourn.llm.exact import packed, unpacked, without
-from sojourn.llm.simhash import EDGES, SEED, _hashes, shingles
+from sojourn.llm.simhash import EDGES, SEED, _hashes, near_duplicates, shingles
 from sojourn.llm.store import saved, small_batches
 
 BANDS, DEPTH = 25, 5
-ROUNDS = (range(0, 2), range(2, 8), range(8, BANDS))  # bands that are searched together
+PRINT_WORDS, PRINT_RADIUS = 4, 4  # shingles of a fingerprint, and bits that linked ones differ in at most
+# bands that are searched together; the first is the fingerprint groups
+ROUNDS = (range(-1, 0), range(0, 2), range(2, 8), range(8, BANDS))
 PIECE_ROWS, PIECE_HASHES = 2048, 1 << 19
 WIDE = 4096  # shingles hashed at once
 BROADCAST_ROWS = 500_000  # locators that are sent to all tasks at most, about 60 MB; more are joined by a shuffle of the texts
@@ -197,7 +200,12 @@ def similar_groups(rows: DataFrame, words: int = 5, least: float = 0.8, piece_ro
     placed = small_batches(rows.select(F.col("doc_id").cast("bigint").alias("doc_id"), "_file", "_row", F.col("text").cast("string").alias("text")))
     numbered = placed.mapInArrow(_place(words), PLACED).withColumn("n", F.monotonically_increasing_id())
     numbered = saved(numbered, "overlap-prints")
-    each = numbered.select(F.posexplode("buckets").alias("band", "bucket"), "n", "size")
+    places = ["_file", "_row"]
+    prints = near_duplicates(rows.select("doc_id", "text", *places), PRINT_WORDS, PRINT_RADIUS, ties=places)
+    # rows that repeat a doc_id or have none may share a bucket: the whole texts decide
+    grouped = prints.select(F.xxhash64(F.lit("print"), "component_id").alias("bucket"), *places).join(numbered, places)
+    each = grouped.select(F.lit(-1).alias("band"), "bucket", "n", "size")
+    each = each.unionByName(numbered.select(F.posexplode("buckets").alias("band", "bucket"), "n", "size"))
     shared = each.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("bucket")
     each = saved(each.join(shared, "bucket"), "overlap-buckets")
     asked = saved(numbered.join(each.select("n").distinct(), "n").select("n", "_file", "_row"), "overlap-asked")
