@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from sojourn.functions.labels import days_bucket
 from sojourn.operators.isotonic import isotonic_values, pooled_blocks
 from sojourn.operators.splits import folds
-from sojourn.plans.training import CLASSIFICATION, Features, Fitted, Model, evaluate, fit
-from sojourn.session import ensure_checkpoint_dir
+from sojourn.plans.training import CLASSIFICATION, Features, Fitted, Model, evaluate, fit_all
+from sojourn.session import ensure_checkpoint_dir, stored
 
 MAX_DAYS = 4000.0
 
@@ -77,8 +77,8 @@ def calibrated_reports(
             fitted[subset]
             .score(split.filter(condition & F.col("split").isin("calibration", "selection", "test")))
             .select("split", label, "score")
-            .checkpoint()
         )
+        scored = stored(scored, "scored")
         own, rest = scored.filter(F.col("split") == "calibration"), scored.filter(F.col("split") != "calibration")
         versions = {"none": rest} | {
             m: calibrate(own, label=label, method=m).apply(rest).drop("score").withColumnRenamed("calibrated", "score")
@@ -103,10 +103,19 @@ def weighted_score(columns: Sequence[str], weights: Mapping[str, float] | None =
 
 
 def with_base_scores(models: Mapping[str, Fitted], rows: DataFrame) -> DataFrame:
-    out = rows
+    """Rows with ``score_<name>`` of every model; models of one preparation share the encoded row."""
+    out, shared = rows, None
     for name, model in models.items():
-        out = model.score(out).withColumnRenamed("score", f"score_{name}")
-    return out
+        kept = [c for c in out.columns if c in rows.columns or c.startswith("score_")]
+        if model.preparation is None:
+            out = model.score(out.select(*kept)).withColumnRenamed("score", f"score_{name}")
+            shared = None
+            continue
+        if shared is None or model.preparation is not shared:
+            out = model.preparation.apply(out.select(*kept)).select(*kept, "features")
+            shared = model.preparation
+        out = model.score_encoded(out).withColumnRenamed("score", f"score_{name}")
+    return out.drop("features")
 
 
 @dataclass(frozen=True)
@@ -130,19 +139,22 @@ def stack(train: DataFrame, features: Features, bases: Sequence[Model], *, k: in
         sizes = [r["n"] for r in train.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()]
         if len(sizes) < 2 or min(sizes) < k:
             raise ValueError(f"stacking needs at least {k} rows of both classes, got {sizes}")
-    folded = folds(train, key=features.key, k=k, classes=label if task == CLASSIFICATION else None)
+    # the folds are digests of the key: stored with what fitting reads
+    known = dict.fromkeys([*features.key, *features.columns(), label])
+    folded = stored(folds(train, key=features.key, k=k, classes=label if task == CLASSIFICATION else None).select("fold", *known), "folds")
     parts = []
     for i in range(k):
         inside = folded.filter(F.col("fold") != i).drop("fold")
         outside = folded.filter(F.col("fold") == i).drop("fold")
-        models = {m.name: fit(m, inside, features) for m in bases}
-        parts.append(with_base_scores(models, outside))
-    scored = reduce(DataFrame.unionByName, parts)
+        models = {m.name: own for m, own in zip(bases, fit_all(bases, inside, features, ready=True))}
+        parts.append(with_base_scores(models, outside).select(label, *[f"score_{name}" for name in models]))
+    # the meta model reads the scores in every step
+    scored = stored(reduce(DataFrame.unionByName, parts), "base-scores")
     inputs = [f"score_{m.name}" for m in bases]
     rows = VectorAssembler(inputCols=inputs, outputCol="_v").transform(scored).select("_v", F.col(label).cast("double").alias("label"))
     meta = LogisticRegression if task == CLASSIFICATION else LinearRegression
     fitted_meta = meta(featuresCol="_v", labelCol="label").fit(rows)
-    return Stack({m.name: fit(m, train, features) for m in bases}, fitted_meta, task)
+    return Stack({m.name: own for m, own in zip(bases, fit_all(bases, folded, features, ready=True))}, fitted_meta, task)
 
 
 def bounded_predictions(
