@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sojourn.operators.skew import exact_quantiles, null_safe_join
+from sojourn.operators.skew import group_quantile, null_safe_join
 
 
 def _tiers(fields: Sequence[str], tiers: Sequence[tuple[str, Sequence[str]]]) -> Column:
@@ -55,14 +55,15 @@ def similar_cases(
         .groupBy(*keys)
         .agg(*[F.sum(c).alias(c) for c in sums])
     )
-    timed = (
-        history.filter(F.col(days).isNotNull()).groupBy(*fields, F.col(days).alias("_d")).agg(F.count(F.lit(1)).alias("_w"))
-    )
-    spread = timed.select(F.explode(_tiers(fields, tiers)).alias("_t"), "_d", "_w").select("_t.*", "_d", "_w")
+    timed = history.filter(F.col(days).isNotNull())
     if whole_days:
+        timed = timed.groupBy(*fields, F.col(days).alias("_d")).agg(F.count(F.lit(1)).alias("_w"))
+        spread = timed.select(F.explode(_tiers(fields, tiers)).alias("_t"), "_d", "_w").select("_t.*", "_d", "_w")
         medians = spread.groupBy(*keys).agg(F.percentile("_d", 0.5, F.col("_w")).alias("_median"))
     else:
-        medians = exact_quantiles(spread, keys, "_d", {"_median": 0.5}, weight="_w")
+        # nearly as many values as rows: counting them first would shuffle the rows
+        spread = timed.select(F.explode(_tiers(fields, tiers)).alias("_t"), F.col(days).alias("_d")).select("_t.*", "_d")
+        medians = group_quantile(spread, keys, "_d", 0.5, "_median")
     table = null_safe_join(cases, medians, keys, "left")
 
     asked = profiles.select(profile_id, F.explode(_tiers(fields, tiers)).alias("_t")).select(profile_id, "_t.*")

@@ -1,5 +1,8 @@
 """Bounded tasks of a fit, quantiles per group without shuffling the rows, calibrated scores made once."""
 
+from pyspark.sql import functions as F
+
+from sojourn.operators import skew
 from sojourn.plans import training as tr
 from sojourn.session import read_by, stored
 
@@ -33,3 +36,30 @@ def test_read_by_restores_the_setting(spark):
     with read_by(spark, 100):
         assert table.select("id").rdd.getNumPartitions() >= 50
     assert table.select("id").rdd.getNumPartitions() == before
+
+
+def test_group_quantile_is_the_exact_one(spark):
+    rows = spark.range(5000).select(
+        F.when(F.col("id") % 5 > 0, F.concat(F.lit("g"), (F.col("id") % 5).cast("string"))).alias("g"),
+        F.when(F.col("id") % 11 > 0, F.pmod(F.xxhash64("id"), F.lit(1000 - F.lit(800) * (F.col("id") % 5 == 1).cast("int"))) / 7.0).alias("v"),
+    ).unionByName(spark.createDataFrame([("nan", float("nan")), ("nan", 2.0), ("one", -1.0), ("none", None)], "g string, v double"))
+    for share in (0.25, 1.0):
+        want = {r.g: r.q for r in skew.exact_quantiles(rows, ["g"], "v", {"q": share}).collect()}
+        # narrow brackets, whole groups, and brackets that miss
+        for near, accuracy in ((0.05, 100), (skew.NEAR, skew.SKETCH), (0.0, 10)):
+            got = {r.g: r.q for r in skew.group_quantile(rows, ["g"], "v", share, "q", near, accuracy).collect()}
+            assert got == want
+
+
+def test_group_quantile_shuffles_few_rows(spark, monkeypatch):
+    kept = {}
+    real = skew.stored
+
+    def watched(rows, label, *rest):
+        kept[label] = real(rows, label, *rest)
+        return kept[label]
+
+    monkeypatch.setattr(skew, "stored", watched)
+    rows = spark.range(100_000).select((F.col("id") % 2).alias("g"), F.rand(3).alias("v"))
+    skew.group_quantile(rows, ["g"], "v", 0.5, "q").collect()
+    assert kept["near-quantiles"].count() < 1000
