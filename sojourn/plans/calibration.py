@@ -75,7 +75,7 @@ def calibrated_reports(
     for subset, condition in subsets.items():
         scored = (
             fitted[subset]
-            .score(split.filter(condition & F.col("split").isin("calibration", "selection", "test")))
+            .score(split.filter(condition & F.col("split").isin("calibration", "selection", "test")), compact=True)
             .select("split", label, "score")
         )
         scored = stored(scored, "scored")
@@ -92,7 +92,8 @@ def calibrated_reports(
             for m, rows in versions.items()
         ]
     keys = ["animal_subset", "calibration_method", "metric_split"]
-    return evaluate(reduce(DataFrame.unionByName, parts), keys, CLASSIFICATION)
+    # the metrics read the scores many times, and an isotonic score is a plan of several shuffles
+    return evaluate(stored(reduce(DataFrame.unionByName, parts), "calibrated"), keys, CLASSIFICATION)
 
 
 def weighted_score(columns: Sequence[str], weights: Mapping[str, float] | None = None) -> Column:

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from sojourn.operators import skew
+from sojourn.plans import calibration as cal
 from sojourn.plans import training as tr
 from sojourn.session import read_by, stored
 
@@ -63,3 +64,18 @@ def test_group_quantile_shuffles_few_rows(spark, monkeypatch):
     rows = spark.range(100_000).select((F.col("id") % 2).alias("g"), F.rand(3).alias("v"))
     skew.group_quantile(rows, ["g"], "v", 0.5, "q").collect()
     assert kept["near-quantiles"].count() < 1000
+
+
+def test_calibrated_reports_read_stored_scores(spark, monkeypatch):
+    found = {}
+
+    def watched(scored, keys, task, label="label"):
+        found["plan"] = scored._jdf.queryExecution().optimizedPlan().toString()
+        return scored.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+
+    monkeypatch.setattr(cal, "evaluate", watched)
+    rows = _rows(spark).withColumn("split", F.element_at(F.array(*[F.lit(s) for s in ("train", "calibration", "selection", "test")]), (F.floor(F.col("id") / 150) + 1).cast("int")))
+    model = tr.fit(tr.forest_classifier(numTrees=2, maxDepth=2), rows.filter("split = 'train'"), tr.Features(("n",), ("c",), ("id",), "label"))
+    out = cal.calibrated_reports(rows, {"all": model}, {"all": F.lit(True)}, label="label").collect()
+    assert {(r.calibration_method, r.metric_split): r.n for r in out} == {(m, s): 150 for m in ("none", "isotonic", "sigmoid") for s in ("selection", "test")}
+    assert "Join" not in found["plan"] and "Window" not in found["plan"]
