@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sojourn.llm.pretokens import CACHE_BYTES, PieceIds, encoded
-from sojourn.llm.store import small_batches
+from sojourn.llm.store import released, small_batches
 
 SHIFT = 8
 WORD = 1 << SHIFT  # ranks in a word of the lower bitmap
@@ -259,7 +259,7 @@ def encode(docs: DataFrame, path: str, pattern: str, cache_bytes: int = CACHE_BY
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from encoded(batches, place, ids, _encoder(path, pattern, cache_bytes))
 
-    return small_batches(rows).mapInArrow(run, rows.schema)
+    return small_batches(rows).mapInArrow(released(run), rows.schema)
 
 
 def decode(rows: DataFrame, path: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from sojourn.llm.components import connected_components
 from sojourn.llm.exact import packed, unpacked, without
 from sojourn.llm.simhash import EDGES, SEED, _hashes, near_duplicates, shingles
-from sojourn.llm.store import saved, small_batches
+from sojourn.llm.store import released, saved, small_batches
 
 BANDS, DEPTH = 25, 5
 PRINT_WORDS, PRINT_RADIUS = 4, 4  # shingles of a fingerprint, and bits that linked ones differ in at most
@@ -160,7 +160,7 @@ def _mixed(rows: DataFrame, labels: DataFrame | None, *keys: str) -> DataFrame:
 def _verified(rows: DataFrame, sets: DataFrame, least: float, crossing: bool) -> DataFrame:
     names = ["bucket", "piece", "n", "label", "hashes", *(["side"] if crossing else [])]
     dealt = rows.join(sets, "n").select(*names).repartition("bucket", "piece").sortWithinPartitions("bucket", "piece", "n")
-    return saved(small_batches(dealt).mapInArrow(_search(least, crossing), EDGES), "overlap-links")
+    return saved(small_batches(dealt).mapInArrow(released(_search(least, crossing)), EDGES), "overlap-links")
 
 
 def _round(rows: DataFrame, sets: DataFrame, labels: DataFrame | None, edges: DataFrame | None, least: float, piece_rows: int):
@@ -198,7 +198,7 @@ def _round(rows: DataFrame, sets: DataFrame, labels: DataFrame | None, edges: Da
 def similar_groups(rows: DataFrame, words: int = 5, least: float = 0.8, piece_rows: int = PIECE_ROWS) -> tuple[DataFrame, DataFrame]:
     """Located rows with a number ``n``, and ``(node, component)`` of the numbers in verified groups of two or more."""
     placed = small_batches(rows.select(F.col("doc_id").cast("bigint").alias("doc_id"), "_file", "_row", F.col("text").cast("string").alias("text")))
-    numbered = placed.mapInArrow(_place(words), PLACED).withColumn("n", F.monotonically_increasing_id())
+    numbered = placed.mapInArrow(released(_place(words)), PLACED).withColumn("n", F.monotonically_increasing_id())
     numbered = saved(numbered, "overlap-prints")
     places = ["_file", "_row"]
     prints = near_duplicates(rows.select("doc_id", "text", *places), PRINT_WORDS, PRINT_RADIUS, ties=places)
@@ -211,7 +211,7 @@ def similar_groups(rows: DataFrame, words: int = 5, least: float = 0.8, piece_ro
     asked = saved(numbered.join(each.select("n").distinct(), "n").select("n", "_file", "_row"), "overlap-asked")
     located = F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked
     texts = rows.select("_file", "_row", F.col("text").cast("string").alias("text")).join(located, ["_file", "_row"]).select("n", "text")
-    sets = saved(small_batches(texts).mapInArrow(_sets(words), SETS), "overlap-sets")
+    sets = saved(small_batches(texts).mapInArrow(released(_sets(words)), SETS), "overlap-sets")
     edges = labels = None
     for bands in ROUNDS:
         some = each.filter(F.col("band").between(bands[0], bands[-1])).select("bucket", "n", "size")

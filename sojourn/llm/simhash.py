@@ -25,13 +25,13 @@ from pyspark.sql import functions as F
 
 from sojourn.llm.components import connected_components
 from sojourn.llm.runs import blocks, joined, pieces
-from sojourn.llm.store import document_rows, saved, small_batches
+from sojourn.llm.store import document_rows, released, saved, small_batches
 
 SEED = 42
 FAN = 8
 PIECE_ROWS = 4096
 BLOCK_ROWS = 1 << 16
-FRONTIER = 1 << 21
+FRONTIER = 1 << 18  # comparisons of a search that are open at once: about 100 bytes each
 
 
 def _majority(hashes: np.ndarray) -> int:
@@ -79,7 +79,7 @@ def fingerprints(docs: DataFrame, words: int = 5, ties: Sequence[str] = ()) -> D
     rows = document_rows(docs, "doc_id", "text", *ties)
     rows = rows.withColumns({"doc_id": F.col("doc_id").cast("bigint"), "text": F.col("text").cast("string")})
     kinds = dict(rows.dtypes)
-    return small_batches(rows).mapInArrow(run, ", ".join(["doc_id bigint", "fingerprint bigint", *[f"`{c}` {kinds[c]}" for c in ties]]))
+    return small_batches(rows).mapInArrow(released(run), ", ".join(["doc_id bigint", "fingerprint bigint", *[f"`{c}` {kinds[c]}" for c in ties]]))
 
 
 def gray_rank(code: Column) -> Column:
@@ -251,7 +251,7 @@ def hamming_links(codes: DataFrame, radius: int = 3, piece_rows: int = PIECE_ROW
     # one row for each code and pair of blocks, in Gray order inside its bucket
     ordered = rows.withColumn("rank", gray_rank(F.col("code")))
     ordered = ordered.repartitionByRange("bucket", "rank").sortWithinPartitions("bucket", "rank").select("bucket", "code")
-    found = saved(ordered.mapInArrow(_search_buckets(radius, piece_rows), FOUND), "simhash-links")
+    found = saved(ordered.mapInArrow(released(_search_buckets(radius, piece_rows)), FOUND), "simhash-links")
     shared = found.filter("codes is not null")
     x, y = shared.alias("x"), shared.alias("y")
     differing = F.bit_count(
@@ -260,7 +260,7 @@ def hamming_links(codes: DataFrame, radius: int = 3, piece_rows: int = PIECE_ROW
     pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.piece") < F.col("y.piece")) & (differing <= radius))
     pairs = pairs.select(F.col("x.codes").alias("left"), F.col("y.codes").alias("right"))
     pairs = pairs.repartition(int(codes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    across = pairs.mapInArrow(_search_pairs(radius), EDGES)
+    across = pairs.mapInArrow(released(_search_pairs(radius)), EDGES)
     return found.filter("codes is null").select("a", "b").unionByName(across)
 
 
